@@ -7,8 +7,10 @@ import contextlib
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word of the white-space rule is a longest run of bytes other than these.
 BLANKS = "\\x20\\x09-\\x0D"
@@ -98,3 +100,30 @@ def running_before(df: DataFrame, group: list[str], order: list[str], amounts: d
     out = ranged.withColumns({f"__w_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in amounts.items()}).join(offsets, on, "left")
     out = out.withColumns({n: F.col(f"__w_{n}") + F.col(f"__o_{n}") for n in amounts})
     return out.select(*df.columns, *amounts), path
+
+
+def annotate(df: DataFrame, used: list[str], make_worker, added: T.StructType) -> DataFrame:
+    """df with columns that a worker computes from Arrow batches of the used columns.
+
+    make_worker() runs once in each task and returns a function from a RecordBatch of the used columns to the added
+    columns' arrays. The other columns pass through under positional names, so that odd names do no harm on the way;
+    an input column with the name of an added one is left out of the result.
+    """
+    names = [f.name for f in added]
+    kept = [(i, f) for i, f in enumerate(df.schema) if f.name not in names]
+    flat = df.select(*(F.col(f"`{c}`").alias(f"u{i}") for i, c in enumerate(used)), *(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in kept))
+    schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in kept), *(T.StructField(f"a{i}", f.dataType) for i, f in enumerate(added))])
+    n, out_names = len(used), [f.name for f in schema]
+
+    def run(batches):
+        worker = make_worker()
+        for batch in batches:
+            arrays = worker(pa.RecordBatch.from_arrays(batch.columns[:n], [f"u{i}" for i in range(n)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[n:], *arrays], out_names)
+
+    out = flat.mapInArrow(run, schema)
+    return out.select(*(F.col(f"c{i}").alias(f.name) for i, f in kept), *(F.col(f"a{i}").alias(f.name) for i, f in enumerate(added)))
+
+
+def prefixed(schema: T.StructType, prefix: str) -> T.StructType:
+    return T.StructType([T.StructField(prefix + f.name, f.dataType) for f in schema])

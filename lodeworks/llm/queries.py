@@ -5,17 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodeworks.llm import decontaminate, simhash, toxicity
 from lodeworks.llm.common import table
-from lodeworks.llm.simhash import simhash_groups
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, grammar).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(table(spark, sf_dir, "documents"))
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_simhash_near_dedup": op10_simhash_near_dedup}
+    return {
+        "op4_toxicity": op4_toxicity,
+        "op6_decontamination": op6_decontamination,
+        "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
