@@ -70,3 +70,23 @@ def mixed(docs: DataFrame) -> DataFrame:
     plan = plan.groupBy("__id", "__size").agg(F.max("__times").alias("__times"))
     found = docs.withColumn("__n", size_of(F.col("text"))).join(plan, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
     return found.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, source, length(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS weight, 3 * source_size AS cap FROM s),
+o AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+      coalesce(sum(cap) OVER p, 0) AS caps_before, coalesce(sum(weight) OVER p, 0) AS weights_before
+      FROM w WINDOW p AS (ORDER BY cap::DOUBLE / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (total - caps_before)::DOUBLE / (weights - weights_before)::DOUBLE AS level FROM o),
+c AS (SELECT *, level > cap::DOUBLE / weight AS capped FROM l),
+t AS (SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE
+      ELSE least(cap::DOUBLE, max(CASE WHEN NOT capped THEN level END) OVER () * weight) END AS target FROM c),
+b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM d),
+j AS (SELECT b.doc_id, b.size::BIGINT AS size, t.source_size, t.target, b.before, floor(t.target)::BIGINT AS budget,
+      CASE WHEN t.source_size > 0 THEN floor(t.target)::BIGINT // t.source_size ELSE 0 END AS rounds
+      FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (rounds * size + greatest(0, least(size, budget - rounds * source_size - before)))::BIGINT AS taken FROM j
+"""
