@@ -1,0 +1,5 @@
+"""Readers and writers of pages, documents, sitemaps, logs and stage results."""
+
+from lodeworks.sources.tables import TABLES, table
+
+__all__ = ["TABLES", "table"]
