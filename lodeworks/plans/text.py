@@ -344,7 +344,7 @@ def terms(spark, sf_dir):
 
 
 def _terms_sql(patterns, vocabulary) -> str:
-    hits = " || ".join(f"list_transform(regexp_extract_all(text, '(?i){p}'), lambda x: lower(x))" for p in patterns)
+    hits = " || ".join(f"list_transform(regexp_extract_all(text, '(?i){p}'), lambda x: lower(x))" for p in patterns).replace("regexp_extract_all(text,", "regexp_extract_all(regexp_replace(text, '[\u00c0-\u024f\u0370-\u1fff]', 'z', 'g'),")
     return f"array_to_string(list_sort(list_distinct({hits} || list_filter({_sql_list(vocabulary)}, lambda v: contains(lower(text), v)))), ',')"
 
 
