@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import chunking, html, quality, text
 from lodeworks.operators import vectors
-from lodeworks.plans.text import CHUNK_SIMPLE_SQL
+from lodeworks.plans.text import CHUNK_SIMPLE_SQL, SCORED_SQL
 from lodeworks.sources import table
 
 
@@ -34,6 +34,16 @@ def chunk_sizes(spark, sf_dir) -> DataFrame:
 CHUNK_SIZES_SQL = CHUNK_SIMPLE_SQL.replace("SELECT doc_id, (row_number()", ", c AS (SELECT doc_id, (row_number()", 1).rstrip() + ") SELECT floor(length(chunk) / 100)::INT AS size, count(*) AS chunks FROM c GROUP BY size"
 
 
+#: The chunks as a table of texts, and the scoring of texts over it.
+FLAGSHIP_SQL = (
+    CHUNK_SIMPLE_SQL.replace("SELECT doc_id, (row_number()", ", c AS (SELECT doc_id, (row_number()", 1).rstrip()
+    + "), ct AS (SELECT doc_id, chunk AS text, 'en' AS lang FROM c), "
+    + SCORED_SQL.strip().removeprefix("WITH ").replace("FROM documents", "FROM ct").replace("s AS (SELECT doc_id, first,", "sc AS (SELECT doc_id, length(text) AS text_length, first,").replace("FROM s)", "FROM sc)")
+    + ", z AS (SELECT text_length, length_score * 0.2::DOUBLE + language_score * 0.15::DOUBLE + readability_score * 0.25::DOUBLE + completeness_score * 0.2::DOUBLE + 0.2::DOUBLE AS score FROM q)"
+    + " SELECT floor(text_length / 100)::INT AS size, count(*) AS chunks, count_if(score >= 0.6)::BIGINT AS passed, round(avg(score), 6) AS avg_score FROM z GROUP BY size"
+)
+
+
 def ingest(pages: DataFrame, size: int = 64, threshold: float = 0.6) -> DataFrame:
     """Pages to vectors in one plan: extraction, chunks, quality, first of equal chunks, embedding.
 
@@ -54,4 +64,4 @@ def ingest_pages(spark, sf_dir) -> DataFrame:
 
 QUERIES = {"flagship": flagship, "chunk_sizes": chunk_sizes, "ingest_pages": ingest_pages}
 
-ORACLES = {"chunk_sizes": CHUNK_SIZES_SQL}
+ORACLES = {"flagship": FLAGSHIP_SQL, "chunk_sizes": CHUNK_SIZES_SQL}

@@ -75,6 +75,15 @@ def _normalise_sql(c: str) -> str:
     return strip_sql(c)
 
 
+def _clean_extracted_sql(c: str) -> str:
+    c = _sub(c, WS + "+", " ")
+    for entity, by in text.ENTITIES:
+        c = f"replace({c}, '{entity}', '{by.replace(chr(39), chr(39) * 2)}')"
+    for pattern in (text.URL, text.EMAIL, text.PHONE, None):
+        c = _sub(c, pattern, "") if pattern else _sub(_sub(c, r"[.]{3,}", "..."), r"[-]{3,}", "---")
+    return strip_sql(c)
+
+
 def text_clean(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.clean(F.col("text")).alias("clean_text"))
 
@@ -467,6 +476,7 @@ QUERIES = {
 ORACLES = {
     "text_clean": f"SELECT doc_id, {_clean_sql('text')} AS clean_text FROM documents",
     "text_normalize": f"SELECT doc_id, {_normalise_sql('text')} AS normal_text FROM documents",
+    "text_clean_extracted": f"SELECT doc_id, {_clean_extracted_sql('text')} AS clean_text FROM documents",
     "text_stats": TEXT_STATS_SQL,
     "text_preview": TEXT_PREVIEW_SQL,
     "content_hash": f"SELECT doc_id, md5(regexp_replace({strip_sql('lower(text)')}, '{WS}+', ' ', 'g')) AS content_hash, md5(text) AS raw_hash FROM documents",
