@@ -39,7 +39,7 @@ def _print_rows(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], ["id", "sum", "print"])
 
     return run
 
@@ -117,10 +117,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component from its group's other ids, or null. Repeated rows give repeated rows; an empty table gives none; columns
     other than the two named are ignored.
     """
+    found = grouped(docs, id_col, text_col, shingle, seed)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """(id, sum, print, component_id), sum a hash of the text that tells rows of one id, or without one, apart."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints, _ = staged(rows.mapInArrow(_print_rows(shingle, seed), f"id {kind}, print long"), "prints")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("sum"))
+    prints, _ = staged(rows.mapInArrow(_print_rows(shingle, seed), f"id {kind}, sum long, print long"), "prints")
     distinct = prints.groupBy("print").agg(F.min("id").alias("first"))
     balls = distinct.select("print").mapInArrow(_variant_rows, "key long, print long")
     dealt = balls.repartition(partitions(spark), "key").sortWithinPartitions("key")
@@ -131,16 +137,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = member.groupBy("root").agg(F.min("first").alias("component_id"))
     member, member_at = staged(member.join(roots, "root").select(F.col("print").alias("p"), "component_id"), "members")
     drop_path(spark, stars_at)
-    joined = prints.join(member, F.col("print") == F.col("p"), "left")
-    return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(member, F.col("print") == F.col("p"), "left").select("id", "sum", "print", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near copies: of each component the row with the smallest id stays, with all its columns.
 
-    Rows that repeat the kept id all stay: nothing tells them apart. Rows with null ids stay if their component has no
-    other id. Null and empty texts form one component. An empty table stays empty; other columns pass unchanged.
+    Rows that repeat the kept id in its component all stay: nothing tells them apart. Rows with null ids stay if their
+    component has no other id. Null and empty texts form one component. An empty table stays empty; other columns pass
+    unchanged.
     """
-    groups = simhash_groups(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
+    groups = grouped(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "sum").distinct()
     groups, _ = staged(groups, "kept")
-    return docs.join(groups, docs[id_col].eqNullSafe(groups["__id"]), "left_semi")
+    same = docs[id_col].eqNullSafe(groups["id"]) & (F.xxhash64(docs[text_col]) == groups["sum"])
+    return docs.join(groups, same, "left_semi")
