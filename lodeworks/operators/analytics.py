@@ -46,7 +46,7 @@ def latency(rows: DataFrame, value: str = "response_time_ms", by: str | None = N
     return placed.groupBy(*key).agg(
         F.min(value).alias("min"), F.max(value).alias("max"), (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("average"),
         at(F.floor(F.col("total") / 2)).alias("median"), at(F.floor(F.col("total") * 0.95)).alias("p95"),
-    )
+    ).where("min is not null")
 
 
 def errors(rows: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def last_rows(rows: DataFrame, n: int = 1000, by: str | None = None, order: str
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(*keys))).where(F.col("__r") <= n).drop("__r")
 
 
-def counted(rows: DataFrame, name: str, **figures: Column) -> DataFrame:
+def counted(rows: DataFrame, name: str, /, **figures: Column) -> DataFrame:
     """rows, with figures observed while they pass: read them with Observation.get after an action."""
     from pyspark.sql import Observation
 

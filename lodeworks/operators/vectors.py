@@ -65,7 +65,7 @@ def search(vectors: DataFrame, query: list[float], limit: int = 10, threshold: f
     rows = rows.withColumn("score", score(metric, F.col(vector_col), F.array(*(F.lit(float(x)) for x in query))))
     if threshold is not None:
         rows = rows.where(F.col("score") <= threshold if ascending(metric) else F.col("score") >= threshold)
-    return rows.orderBy(F.asc("score") if ascending(metric) else F.desc_nulls_last("score"), id_col).limit(limit)
+    return rows.orderBy(F.asc_nulls_last("score") if ascending(metric) else F.desc_nulls_last("score"), id_col).limit(limit)
 
 
 def batch_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, threshold: float | None = None, metric: str = COSINE, id_col: str = "id", vector_col: str = "embedding", query_id: str = "query_id", query_col: str = "query") -> DataFrame:

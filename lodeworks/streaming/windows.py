@@ -56,15 +56,16 @@ def _keep_last(most: int):
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         n, held = n + len(rows), [*held, *rows["value"].tolist()][-most:]
         state.update((n, held))
-        state.setTimeoutDuration(300_000)
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 300_000)
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last": [held]})
 
     return run
 
 
 def last_values(events: DataFrame, most: int = 10) -> DataFrame:
-    """Each key's count and last values after every batch: a ring of bounded size, which goes after five quiet minutes."""
-    return events.groupBy("user_id").applyInPandasWithState(_keep_last(most), LATEST, "n long, held array<double>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    """Each key's count and last values after every batch: a ring of bounded size, which goes after five minutes of
+    event time without rows."""
+    return events.groupBy("user_id").applyInPandasWithState(_keep_last(most), LATEST, "n long, held array<double>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def into(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
