@@ -191,7 +191,7 @@ def status_counts(spark, sf_dir):
 
 def job_steps_timeline(spark, sf_dir):
     steps = job_steps(spark, sf_dir)
-    logs = steps.where("step_order % 2 = 0").select("job_id", "step_name", F.col("start_time").alias("ts"), F.when(F.col("status") == "failed", "ERROR").otherwise("INFO").alias("level"), F.col("status").alias("message"))
+    logs = steps.select("job_id", "step_name", F.col("start_time").alias("ts"), F.when(F.col("status") == "failed", "ERROR").otherwise("INFO").alias("level"), F.col("status").alias("message"))
     rows = tracker.timeline(steps, logs)
     return rows.select("job_id", "step_order", "duration", "is_active", "is_complete", F.array_join(F.transform("logs", lambda x: F.concat(x["level"], F.lit(" "), x["message"])), ";").alias("logs"))
 
@@ -199,7 +199,7 @@ def job_steps_timeline(spark, sf_dir):
 TIMELINE_SQL = (
     J_SQL
     + """, g AS (SELECT job_id, step_name, string_agg(level || ' ' || status, ';' ORDER BY start_time, level, status) AS logs FROM
-  (SELECT *, CASE WHEN status = 'failed' THEN 'ERROR' ELSE 'INFO' END AS level FROM s WHERE step_order % 2 = 0) GROUP BY ALL)
+  (SELECT *, CASE WHEN status = 'failed' THEN 'ERROR' ELSE 'INFO' END AS level FROM s) GROUP BY ALL)
 SELECT job_id, step_order, end_time - start_time AS duration, status = 'running' AS is_active, status IN ('completed', 'failed', 'skipped') AS is_complete, coalesce(logs, '') AS logs FROM s LEFT JOIN g USING (job_id, step_name)"""
 )
 
