@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import running_before
+from lodeworks.llm.common import running_before, staged
 
 EPOCHS = 3
 BLANK = "[\\x20\\x09-\\x0D]"
@@ -50,6 +50,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
     sized = sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    sized, _ = staged(sized, "sizes")  # texts are read and counted once
     placed, _ = running_before(sized, ["source"], ["key", "doc_id", "size"], {"before": "size"}, "mix")
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "s")
     # One row per source, broadcast only if Spark finds it below its threshold.
