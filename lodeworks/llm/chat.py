@@ -12,29 +12,34 @@ def render_turn(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), F.coalesce(role, F.lit("unknown")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("\n<|end|>\n"))
 
 
-def collapse(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The turns with their place, and the conversations that no longer one continues: (first id, n_turns, n_equal).
+def _mark(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def collapse(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """The conversations that no longer one continues: (first id, n_turns, n_equal).
 
     A turn's prefix hash is the running sum, over its conversation, of two 64-bit hashes of place, role and text: 128
     bits that roll along without any conversation being in one task. Conversations of equal length and hash are equal
-    and the smallest id stands for them; one whose length and hash are a longer one's prefix at that length goes.
+    and the smallest id stands for them; one whose length and hash are a longer one's prefix at that length goes. Texts
+    stand in for themselves as their MD5; they aren't shuffled.
     """
-    rows = turns.select(F.col(id_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).distinct()
-    rows = rows.withColumns({"mark": F.md5(F.coalesce("text", F.lit("")).cast("binary")), "one": F.lit(1)})
-    placed, _ = running_before(rows, ["conv"], ["turn", "role", "mark", "text"], {"place": "one"}, "turns")
-    seen = [F.col("place"), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit(""))]
+    text = F.col(text_col)
+    rows = turns.select(F.col(id_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), _mark(text).alias("mark"), text.isNull().alias("none")).distinct()
+    placed, _ = running_before(rows.withColumn("one", F.lit(1)), ["conv"], ["turn", "role", "mark", "none"], {"place": "one"}, "turns")
+    seen = [F.col("place"), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("mark"), F.col("none")]
     h, g = F.xxhash64(F.lit(1), *seen), F.xxhash64(F.lit(2), *seen)
     low = lambda c: c.bitwiseAND(F.lit(0xFFFFFFFF))
     parts = {"p0": low(h), "p1": F.shiftrightunsigned(h, 32), "p2": low(g), "p3": F.shiftrightunsigned(g, 32)}
-    hashed = placed.select("conv", "place", "role", "text", *(c.alias(k) for k, c in parts.items()))
-    rolled, _ = running_before(hashed.select("conv", "place", *parts), ["conv"], ["place"], {f"h{i}": f"p{i}" for i in range(4)}, "prefixes")
+    hashed = placed.select("conv", "place", *(c.alias(k) for k, c in parts.items()))
+    rolled, _ = running_before(hashed, ["conv"], ["place"], {f"h{i}": f"p{i}" for i in range(4)}, "prefixes")
     key = [f"h{i}" for i in range(4)]
     prefix = rolled.select("conv", (F.col("place") + 1).alias("n"), *((F.col(f"h{i}") + F.col(f"p{i}")).alias(f"h{i}") for i in range(4)))
     totals = rolled.groupBy("conv").agg(F.max(F.col("place") + 1).alias("n_turns"))
     prefix, _ = staged(prefix.join(totals.withColumnRenamed("conv", "c"), F.col("conv").eqNullSafe(F.col("c"))).drop("c"), "rolling")
     longer = prefix.where("n < n_turns").select("n", *key).distinct()
     whole = prefix.where("n = n_turns").groupBy("n", *key).agg(F.min("conv").alias("first"), F.count("*").alias("n_equal"))
-    return placed, whole.join(longer, ["n", *key], "left_anti").select("first", F.col("n").alias("n_turns"), "n_equal")
+    return whole.join(longer, ["n", *key], "left_anti").select("first", F.col("n").alias("n_turns"), "n_equal")
 
 
 def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -44,11 +49,13 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     renders as "unknown", a null text as an empty one, and both differ from any given value; a null id is a conversation
     of its own. An empty table gives no rows; other columns are ignored. The rendered text is as long as its conversation.
     """
-    placed, kept = collapse(turns, id_col, turn_col, role_col, text_col)
-    kept, _ = staged(kept, "conversations")
-    own = placed.select("conv", "place", render_turn(F.col("role"), F.col("text")).alias("part")).join(kept, F.col("conv").eqNullSafe(F.col("first")))
-    whole = own.groupBy("conv", "n_turns", "n_equal").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "part"))), lambda x: x["part"]), "").alias("text"))
-    return whole.select(F.col("conv").alias(id_col), F.col("n_turns").cast("long").alias("n_turns"), "n_equal", "text")
+    kept, _ = staged(collapse(turns, id_col, turn_col, role_col, text_col), "conversations")
+    text = F.col(text_col)
+    rows = turns.select(F.col(id_col).alias("conv"), F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), _mark(text).alias("mark"), text.isNull().alias("none"), text.alias("text")).alias("said"))
+    own = rows.join(kept, F.col("conv").eqNullSafe(F.col("first")))
+    whole = own.groupBy("conv", "n_turns", "n_equal").agg(F.array_sort(F.array_distinct(F.collect_list("said"))).alias("said"))
+    body = F.array_join(F.transform("said", lambda x: render_turn(x["role"], x["text"])), "")
+    return whole.select(F.col("conv").alias(id_col), F.col("n_turns").cast("long").alias("n_turns"), "n_equal", body.alias("text"))
 
 
 ORACLE = """
