@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -61,11 +63,13 @@ def staged(df: DataFrame, tag: str, codec: str = "zstd") -> tuple[DataFrame, str
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of plans that are out of use."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
+    for _ in range(2):
+        spark.range(1).count()  # the scheduler holds on to the last job until another ends
+        gc.collect()
+        time.sleep(1.2)  # py4j gives up the collected references once a second
+        spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -18,8 +18,8 @@ from lodeworks.llm.common import annotate, drop_path, partitions, release_shuffl
 WINDOW = 13
 #: Words of a minimiser.
 MINIMISER = 3
-#: Words a worker takes together, and windows a bucket holds about.
-CHUNK_WORDS, BUCKET_WINDOWS = 400_000, 150_000
+#: Words a worker takes together, windows a bucket holds about, and bytes that are hashed at once.
+CHUNK_WORDS, BUCKET_WINDOWS, STRETCH = 400_000, 500_000, 1_000_000
 #: A minimiser is common if it is at least this share of all minimisers, of which there are 1 / COMMON at most.
 COMMON = 1 / 20_000
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -44,21 +44,29 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Text:
-    """Words joined by one separator byte, with hashes of any word range in constant time."""
+    """Words joined by one separator byte, with hashes of word ranges from running sums over stretches of the bytes."""
 
     def __init__(self, blob: bytes, held: dict):
-        self.blob = blob
+        self.blob, self.held = blob, held
         raw = np.frombuffer(blob, np.uint8)
         gaps = np.flatnonzero((raw == 32) | (raw == 10))
         self.starts = np.concatenate([[0], gaps + 1])
         self.ends = np.concatenate([gaps, [len(blob)]])
-        up, self.down = _powers(len(blob) + 1, held)
-        self.sums = np.zeros(len(blob) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(blob)], out=self.sums[1:])
 
     def hashes(self, first: np.ndarray, words: int) -> np.ndarray:
+        """Of so many words from each first one on, in ascending order. A range's hash doesn't depend on its place."""
         s, e = self.starts[first], self.ends[first + words - 1]
-        return _mix((self.sums[e] - self.sums[s]) * self.down[s])
+        raw, out, i = np.frombuffer(self.blob, np.uint8), np.empty(len(first), np.uint64), 0
+        while i < len(first):
+            base = int(s[i])
+            j = int(np.searchsorted(s, base + STRETCH))
+            n = int(e[i:j].max()) - base
+            up, down = _powers(n + 1, self.held)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum((raw[base : base + n].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+            out[i:j] = (sums[e[i:j] - base] - sums[s[i:j] - base]) * down[s[i:j] - base]
+            i = j
+        return _mix(out)
 
 
 def first_owners(text: Text, at: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +151,7 @@ def _super_kmers(buckets: int, common: np.ndarray, window: int):
     held: dict = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
+        packer = zstandard.ZstdCompressor(level=3)
         for ids, sums, bounds, blob in _chunks(batches):
             text = Text(blob, held)
             at, doc = _windows(bounds, window)
@@ -237,9 +245,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     buckets = max(partitions(spark), 1 + words // BUCKET_WINDOWS)
     sent = rows.mapInArrow(_super_kmers(int(buckets), common, window), "bucket long, packed binary")
     dealt = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    runs, path = staged(dealt.mapInArrow(_judge_rows(window), "id long, checksum long, begin long, length long"), "repeats")
-    release_shuffles(spark)
-    return runs, path
+    return staged(dealt.mapInArrow(_judge_rows(window), "id long, checksum long, begin long, length long"), "repeats")
 
 
 ADDED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
@@ -258,6 +264,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     take words from each other. An empty table gives no rows. A column of docs named as one of the added gives way.
     """
     runs, _ = repeated_windows(docs, id_col, text_col, window)
+    release_shuffles(docs.sparkSession)  # the super-k-mers are out of use
     # A document's runs are no more than its words.
     flags = runs.groupBy("id", "checksum").agg(F.collect_list(F.struct("begin", "length")).alias("runs"))
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -285,3 +292,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     done = annotate(marked, [text_col, "__begin", "__length"], make_worker, ADDED).drop("__begin", "__length")
     return done if with_text else done.drop("kept_text")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS p FROM d)),
+m AS (SELECT s, min(doc_id) AS first FROM x GROUP BY s),
+r AS (SELECT DISTINCT doc_id, p + k AS i FROM (SELECT x.doc_id, p, unnest(generate_series(0, 12)) AS k FROM x JOIN m USING (s) WHERE x.doc_id > m.first)),
+e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM e ANTI JOIN r USING (doc_id, i) GROUP BY e.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""

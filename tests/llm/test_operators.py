@@ -125,6 +125,7 @@ def test_removal_matches_brute_force(spark, monkeypatch):
     assert any(r[2] for r in want)
     monkeypatch.setattr(substrings, "CHUNK_WORDS", 30)
     monkeypatch.setattr(substrings, "BUCKET_WINDOWS", 40)
+    monkeypatch.setattr(substrings, "STRETCH", 25)
     assert rows_of(substrings.remove_repeats(frame(spark, rows, 5)), *names) == want
 
 
