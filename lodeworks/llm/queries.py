@@ -81,5 +81,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_embedding_near_dedup": multiindex.ORACLE,
         "op2_source_mixing": mixing.ORACLE,
         "op3_chat_formatting": chat.ORACLE,
+        "op5_substring_dedup": substrings.ORACLE,
         "op6_decontamination": decontaminate.ORACLE,
     }
