@@ -8,6 +8,7 @@ import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -24,11 +25,14 @@ BLOCK_IDS, STEP = 65536, 128
 MAX_BITS = 18
 END_ID = 1
 #: Pieces whose ids a worker remembers, at most.
-REMEMBERED = 500_000
-#: In a text of these characters alone, the pieces below are what the tokenizer's own splitting makes of its lower-case
-#: form: no normal form changes, no contraction, no special token.
-PLAIN = re.compile(r"[ \t\n\r!-&(-;=?-~À-ÖØ-öø-ÿ]*")
-PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\ra-zß-öø-ÿ0-9]+")
+PIECES_HELD = 900_000
+#: In a text of these characters alone, the runs below are what the tokenizer's own splitting makes of its lower-case
+#: form: no normal form changes, no contraction, no special token. Where no full stop or comma touches another sign, both
+#: are runs of their own.
+PLAIN = re.compile(r"[\t-\r !-&(-;=?-~À-ÖØ-öø-ÿ]*")
+RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+NONBLANK = re.compile(r"[^ \t\n\r]+")
+TOUCHING = re.compile(r"[.,](?:(?=[!-/:-@\[-`{-~])|(?<=[!-/:-@\[-`{-~].))")
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -95,65 +99,85 @@ def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return ids, sizes, width
 
 
-def decode(payload: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
-    """The n ids of a block; its checkpoints' stretches are decoded side by side."""
+def decode(blocks: list[tuple[bytes, np.ndarray, int]], table: tuple[np.ndarray, np.ndarray, int]) -> list[np.ndarray]:
+    """The ids of some blocks (payload, checkpoints, number); all checkpoints' stretches are decoded side by side."""
     ids, sizes, width = table
-    words = np.frombuffer(payload, ">u4").astype(np.uint64)
-    pairs = (words[:-1] << np.uint64(32)) | words[1:]
-    at, out = checkpoints.astype(np.int64), np.empty((len(checkpoints), STEP), np.uint32)
-    last = len(pairs) - 1
-    for k in range(min(STEP, n)):
-        seen = (pairs[np.minimum(at >> 5, last)] >> (64 - width - (at & 31)).astype(np.uint64)) & np.uint64((1 << width) - 1)
-        out[:, k] = ids[seen]
+    streams, ends, words = [], [], 0
+    for payload, checkpoints, _ in blocks:
+        streams.append(checkpoints.astype(np.int64) + 32 * words)
+        words += len(payload) // 4
+        ends.append(len(checkpoints))
+    stored = np.frombuffer(b"".join(b[0] for b in blocks), ">u4").astype(np.uint64)
+    pairs = (stored[:-1] << np.uint64(32)) | stored[1:]
+    at = np.concatenate(streams)
+    out, last, mask = np.empty((STEP, len(at)), np.uint32), len(pairs) - 1, (1 << width) - 1
+    for k in range(STEP):
+        seen = (pairs[np.minimum(at >> 5, last)] >> (64 - width - (at & 31)).astype(np.uint64)).astype(np.int64) & mask
+        out[k] = ids[seen]
         at += sizes[seen]
-    return out.ravel()[:n]
+    rows = np.split(out.T, np.cumsum(ends)[:-1])
+    return [np.ascontiguousarray(r).ravel()[:n] for r, (_, _, n) in zip(rows, blocks, strict=True)]
 
 
-def _worker_cache() -> dict[str, bytes]:
+def _worker_cache(name: str) -> dict[str, bytes]:
     """Ids by piece, kept over a Python worker's tasks."""
     held = sys.modules.setdefault("_lodeworks_worker", types.ModuleType("_lodeworks_worker")).__dict__
-    return held.setdefault("pieces", {})
+    return held.setdefault(name, {})
 
 
 def piece_encoder(path: str, size: int) -> Callable[[list[str]], list[bytes]]:
     """Encodes whole texts to little-endian ids of size bytes, with the library meeting each piece once.
 
     The tokenizer drops white space and splits there, so that a text's ids are its white-space pieces' ids in turn. Plain
-    texts are taken in finer and lower-cased pieces, which repeat more; where those consist of letters, the vocabulary's
-    own model encodes them, without the normalisation that would leave them unchanged.
+    texts are lower-cased and parted before full stops and commas as well, since their pieces repeat more; such pieces
+    fall into runs, and those of letters are encoded by the vocabulary's own model, without the normalisation that would
+    leave them unchanged. A full cache keeps what it has, the frequent pieces.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_file(path)
     bare = Tokenizer(full.model)
-    kind, byte_chars = f"<u{size}", {}
+    code, byte_chars = "H" if size == 2 else "I", {}
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     for k, b in enumerate([*printable, *(b for b in range(256) if b not in printable)]):
         byte_chars[b] = chr(b) if k < len(printable) else chr(256 + k - len(printable))
-    cache = _worker_cache()
-    letters = re.compile(r"[a-zß-öø-ÿ]+").fullmatch
-
-    def learn(missing: set[str]) -> None:
-        if len(cache) + len(missing) > REMEMBERED:
-            cache.clear()
-        words = [p for p in missing if letters(p)]
-        others = [p for p in missing if not letters(p)]
-        mapped = [p if p.isascii() else p.encode().decode("latin-1").translate(byte_chars) for p in words]
-        for names, found in ((words, bare.encode_batch_fast(mapped, add_special_tokens=False)), (others, full.encode_batch_fast(others, add_special_tokens=False))):
-            for p, e in zip(names, found, strict=True):
-                cache[p] = np.array(e.ids, dtype=kind).tobytes()
+    held = _worker_cache(f"{path} {size}")
+    plain, letters, touching, blocks = PLAIN.fullmatch, re.compile(r"[a-zß-öø-ÿ]+").fullmatch, TOUCHING.search, NONBLANK.findall
+
+    def library(names: list[str], encoder, given: list[str]) -> None:
+        for p, e in zip(names, encoder.encode_batch_fast(given, add_special_tokens=False), strict=True):
+            held[p] = array(code, e.ids).tobytes()
+
+    def learn(missing: set[str]) -> list[str]:
+        """Adds pieces, and the runs they need; returns all that is new."""
+        words, mixed, others = [], {}, []
+        for p in missing:
+            if p.isascii() and p.isalpha() and p.islower() or letters(p):
+                words.append(p)
+            elif plain(p):
+                mixed[p] = RUNS.findall(p.lower())
+            else:
+                others.append(p)
+        runs = list(set().union(*mixed.values()).difference(held, words))
+        words += filter(letters, runs)
+        library(words, bare, [r if r.isascii() else r.encode().decode("latin-1").translate(byte_chars) for r in words])
+        others += (r for r in runs if not letters(r))
+        library(others, full, others)
+        for p, parts in mixed.items():
+            held[p] = b"".join([held[r] for r in parts])
+        return [*missing, *runs]
 
     def run(texts: list[str]) -> list[bytes]:
         out = []
-        for i in range(0, len(texts), 256):
-            pieces = [PIECES.findall(t.lower()) if PLAIN.fullmatch(t) else t.split() for t in texts[i : i + 256]]
-            every = set().union(*pieces)
-            if missing := every - cache.keys():
-                learn(missing)
-                if gone := every - cache.keys():  # the cache was emptied
-                    learn(gone)
-            out += [b"".join(map(cache.__getitem__, p)) for p in pieces]
+        for i in range(0, len(texts), 512):
+            pieces = [t.lower().replace(".", " .").replace(",", " ,").split() if plain(t) and not touching(t) else blocks(t) for t in texts[i : i + 512]]
+            missing = set().union(*pieces).difference(held)
+            new = learn(missing) if missing else []
+            out += [b"".join(map(held.__getitem__, p)) for p in pieces]
+            if len(held) > PIECES_HELD:
+                for p in new:
+                    held.pop(p, None)
         return out
 
     return run
@@ -177,29 +201,34 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id"
     kind = f"<u{size}"
 
     def tokenise(batches):
-        run, end = piece_encoder(tokenizer, size), np.array([end_id], dtype=kind).tobytes()
+        """Documents with ids; a partition's last row has its counts instead, as pairs of id and number."""
+        run, end, total, names = piece_encoder(tokenizer, size), np.array([end_id], dtype=kind).tobytes(), np.zeros(vocabulary, np.int64), ["id", "shard", "ids", "counts"]
         for batch in batches:
-            ids = [x + end for x in run([t or "" for t in batch.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary())], ["id", "shard", "ids"])
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                ids = [x + end for x in run(part.column(1).to_pylist())]
+                total += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=vocabulary)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+        used = np.flatnonzero(total)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([np.stack([used, total[used]]).astype("<i8").tobytes()], pa.binary())], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(partitions(spark), "id", "tie").sortWithinPartitions("id", "tie")
     rows = rows.select("id", "text", F.spark_partition_id().alias("shard"))
     # Ids are made once: counts and codes both read them from here.
-    whole, whole_at = staged(rows.mapInArrow(tokenise, "id long, shard int, ids binary").withColumn("place", F.monotonically_increasing_id()), "ids")
+    whole, whole_at = staged(rows.mapInArrow(tokenise, "id long, shard int, ids binary, counts binary").withColumn("place", F.monotonically_increasing_id()), "ids")
     release_shuffles(spark)
 
     def count(batches):
-        total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), kind), minlength=vocabulary)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["token", "n"])
+            for packed in batch.column(0).to_pylist():
+                tokens, n = np.frombuffer(packed, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(n)], ["token", "n"])
 
     counts = np.zeros(vocabulary, np.int64)
     # One row per vocabulary entry at most.
-    for r in whole.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+    for r in whole.where("counts is not null").select("counts").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
         counts[r.token] = r.n
     lengths = code_lengths(counts)
     book = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
@@ -233,7 +262,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id"
 
     schema = "shard int, place long, n_docs int, n_ids long, n_bits long, ids array<long>, sizes array<long>, checkpoints binary, payload binary"
     # place grows with the order inside a shard, which is one partition; a file's splits keep it.
-    whole.select("id", "shard", "place", "ids").mapInArrow(blocks, schema).write.parquet(f"{path}/blocks")
+    whole.where("ids is not null").select("id", "shard", "place", "ids").mapInArrow(blocks, schema).write.parquet(f"{path}/blocks")
     sent.destroy()
     drop_path(spark, whole_at)
 
@@ -255,18 +284,25 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     begins = stored.select("shard", "place", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("inner"))
     begins = begins.join(first, F.col("shard") == F.col("s")).select(F.col("shard").alias("s"), F.col("place").alias("p"), (F.col("shard_start") + F.col("inner")).alias("block_start"))
 
+    names = ["shard", "place", "doc_id", "inner", "n_tokens", "ids_crc32", "token_ids"][: 6 + with_ids]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())][: 6 + with_ids]
+
+    def unpacked(r: dict, ids: np.ndarray) -> pa.RecordBatch:
+        ends = np.cumsum(r["sizes"])
+        starts = ends - r["sizes"]
+        parts = [ids[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        columns = [[r["shard"]] * len(parts), [r["place"]] * len(parts), r["ids"], starts, r["sizes"], [zlib.crc32(x) for x in parts]]
+        if with_ids:
+            columns.append([x.astype(np.int64) for x in parts])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
     def unpack(batches):
         table = decoding_table(lengths)
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())][: 6 + with_ids]
         for batch in batches:
-            for r in batch.to_pylist():
-                ids = decode(r["payload"], np.frombuffer(r["checkpoints"], "<u4"), r["n_ids"], table).astype("<u4")
-                ends = np.cumsum(r["sizes"])
-                starts = ends - r["sizes"]
-                parts = [ids[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                k = len(parts)
-                columns = [[r["shard"]] * k, [r["place"]] * k, r["ids"], starts, r["sizes"], [zlib.crc32(x.tobytes()) for x in parts], [x.astype(np.int64) for x in parts]][: 6 + with_ids]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shard", "place", "doc_id", "inner", "n_tokens", "ids_crc32", "token_ids"][: 6 + with_ids])
+            for k in range(0, batch.num_rows, 8):
+                some = batch.slice(k, 8).to_pylist()
+                found = decode([(r["payload"], np.frombuffer(r["checkpoints"], "<u4"), r["n_ids"]) for r in some], table)
+                yield from map(unpacked, some, found)
 
     found = stored.select("shard", "place", "n_ids", "ids", "sizes", "checkpoints", "payload").mapInArrow(unpack, "shard int, place long, doc_id long, inner long, n_tokens long, ids_crc32 long" + ", token_ids array<long>" * with_ids)
     joined = found.join(begins, (F.col("shard") == F.col("s")) & (F.col("place") == F.col("p")))
