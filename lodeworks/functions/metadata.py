@@ -129,8 +129,8 @@ def keywords(docs: DataFrame, id_col: str, text_col: str, most: int = 10, stopwo
     Words and their capitalised forms leave a document as two short lists, so that no text is shuffled: one aggregation
     by (id, word) with partial sums, then a ranking within the document.
     """
-    stop = F.array(*map(F.lit, STOPWORDS if stopwords is None else stopwords or [""]))
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.filter(_lone_words(F.col(text_col), 3), lambda w: ~F.array_contains(stop, w)).alias("found"))
+    stop = STOPWORDS if stopwords is None else stopwords or [""]
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.filter(_lone_words(F.col(text_col), 3), lambda w: ~w.isin(stop)).alias("found"))
     shown = F.filter(F.array_distinct("found"), lambda w: F.contains(F.col("text"), F.initcap(w)) | F.contains(F.col("text"), F.upper(w)))
     marked = found.select("id", F.concat(F.transform("found", lambda w, i: F.struct(w.alias("word"), i.alias("place"))), F.transform(shown, lambda w: F.struct(w.alias("word"), F.lit(None).cast("int").alias("place")))).alias("rows"))
     rows = marked.select("id", F.inline("rows"))
