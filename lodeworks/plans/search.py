@@ -177,6 +177,15 @@ _leads = "[" + ", ".join("'" + x + "'" for x in LEADS) + "]"
 ASKED_SQL = f"WITH a AS (SELECT conv_id, turn, {_leads}[(conv_id + turn) % {len(LEADS)} + 1] || CASE WHEN conv_id % 3 = 0 THEN text ELSE '#now!' END AS query FROM conversations WHERE role = 'user')\n"
 
 
+def _asked_all(spark, sf_dir) -> DataFrame:
+    """Every user turn's own text behind its lead; _asked keeps it in each third conversation only, as its SQL does."""
+    lead = F.element_at(F.array(*map(F.lit, LEADS)), ((F.col("conv_id") + F.col("turn")) % len(LEADS) + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(lead, "text").alias("query"))
+
+
+ASKED_ALL_SQL = f"WITH a AS (SELECT conv_id, turn, {_leads}[(conv_id + turn) % {len(LEADS)} + 1] || text AS query FROM conversations WHERE role = 'user')\n"
+
+
 def query_validate(spark, sf_dir):
     return _asked(spark, sf_dir).select("conv_id", "turn", chat.query_error(F.col("query")).alias("error"))
 
@@ -189,6 +198,13 @@ QUERY_VALIDATE_SQL = (
 )
 
 
+def query_validate_all(spark, sf_dir):
+    return _asked_all(spark, sf_dir).select("conv_id", "turn", chat.query_error(F.col("query")).alias("error"))
+
+
+QUERY_VALIDATE_ALL_SQL = QUERY_VALIDATE_SQL.replace(ASKED_SQL, ASKED_ALL_SQL)
+
+
 def query_preprocess(spark, sf_dir):
     return _asked(spark, sf_dir).select("conv_id", "turn", chat.preprocess(F.col("query")).alias("processed"))
 
@@ -196,6 +212,13 @@ def query_preprocess(spark, sf_dir):
 QUERY_PREPROCESS_SQL = ASKED_SQL + f"SELECT conv_id, turn, lower(regexp_replace(regexp_replace({strip_sql('query')}, '{WS}+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}\\p{{M}}_ .?!,:-]', '', 'g')) AS processed FROM a"
 
 
+def query_preprocess_all(spark, sf_dir):
+    return _asked_all(spark, sf_dir).select("conv_id", "turn", chat.preprocess(F.col("query")).alias("processed"))
+
+
+QUERY_PREPROCESS_ALL_SQL = QUERY_PREPROCESS_SQL.replace(ASKED_SQL, ASKED_ALL_SQL)
+
+
 def query_intent(spark, sf_dir):
     return _asked(spark, sf_dir).select("conv_id", "turn", chat.intent(F.col("query")).alias("i")).select("conv_id", "turn", "i.*")
 
@@ -211,8 +234,15 @@ SELECT conv_id, turn, category, (CASE WHEN named = 'contact' THEN 0.9 WHEN named
 )
 
 
+def query_intent_all(spark, sf_dir):
+    return _asked_all(spark, sf_dir).select("conv_id", "turn", chat.intent(F.col("query")).alias("i")).select("conv_id", "turn", "i.*")
+
+
+QUERY_INTENT_ALL_SQL = QUERY_INTENT_SQL.replace(ASKED_SQL, ASKED_ALL_SQL)
+
+
 def query_process(spark, sf_dir):
-    rows = chat.process(_asked(spark, sf_dir))
+    rows = chat.process(_asked_all(spark, sf_dir))
     return rows.select("conv_id", "turn", "error", F.col("intent.category").alias("category"), chat.confidence_level(F.col("intent.confidence")).alias("level"), F.array_join(chat.follow_ups(F.col("intent.category")), "|").alias("follow_ups"))
 
 
@@ -298,8 +328,11 @@ QUERIES = {f"vec_topk_{m}": _topk(m) for m in _D} | {
     "near_dup_removed": near_dup_removed,
     "duplicate_map": duplicate_map,
     "query_validate": query_validate,
+    "query_validate_all": query_validate_all,
     "query_preprocess": query_preprocess,
+    "query_preprocess_all": query_preprocess_all,
     "query_intent": query_intent,
+    "query_intent_all": query_intent_all,
     "query_process": query_process,
     "session_counts": session_counts,
     "session_context": session_context,
@@ -321,8 +354,11 @@ ORACLES = {f"vec_topk_{m}": _topk_sql(m) for m in _D} | {
     "exact_pairs": EXACT_PAIRS_SQL,
     "duplicate_map": DUPLICATE_MAP_SQL,
     "query_validate": QUERY_VALIDATE_SQL,
+    "query_validate_all": QUERY_VALIDATE_ALL_SQL,
     "query_preprocess": QUERY_PREPROCESS_SQL,
+    "query_preprocess_all": QUERY_PREPROCESS_ALL_SQL,
     "query_intent": QUERY_INTENT_SQL,
+    "query_intent_all": QUERY_INTENT_ALL_SQL,
     "session_counts": SESSION_COUNTS_SQL,
     "session_context": SESSION_CONTEXT_SQL,
     "session_running": SESSION_RUNNING_SQL,
