@@ -143,17 +143,12 @@ def exact_pairs(spark, sf_dir):
 EXACT_PAIRS_SQL = f"WITH d AS (SELECT doc_id, {_NORMAL} AS h FROM documents) SELECT * FROM (SELECT min(doc_id) OVER (PARTITION BY h) AS first, doc_id AS again FROM d) WHERE again > first"
 
 
-def _snippets(spark, sf_dir) -> DataFrame:
-    """Conversation turns as short chunks with a sequence: whole table, a few of them near copies."""
-    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("seq"), "text")
-
-
 def near_dup_pairs(spark, sf_dir):
-    return dedup.all_pairs(_snippets(spark, sf_dir)).select("first", "again", F.round("similarity", 6).alias("similarity"), "kind")
+    return dedup.all_pairs(_chunks(spark, sf_dir)).select("first", "again", F.round("similarity", 6).alias("similarity"), "kind")
 
 
 def near_dup_removed(spark, sf_dir):
-    rows = _snippets(spark, sf_dir)
+    rows = _chunks(spark, sf_dir)
     return dedup.remove(rows, dedup.all_pairs(rows)).select("seq")
 
 
@@ -164,6 +159,11 @@ def duplicate_map(spark, sf_dir):
 DUPLICATE_MAP_SQL = "WITH p AS (" + EXACT_PAIRS_SQL + ") SELECT first AS keep, string_agg(again::VARCHAR, ',' ORDER BY again) AS again FROM p GROUP BY first"
 
 
+def duplicate_map_all(spark, sf_dir):
+    """Each first document with its exact and near copies."""
+    return dedup.duplicate_map(dedup.all_pairs(_chunks(spark, sf_dir))).select("keep", F.array_join(F.transform("duplicates", lambda d: F.concat_ws(":", d["again"].cast("string"), d["kind"])), ",").alias("again"))
+
+
 # Chat: the users' turns as queries, with a few words in front that meet every class.
 LEADS = ("", "What services do you offer? ", "Show me your portfolio ", "Tell me about your team ", "How to contact you ", "best practices for software ", "sql injection ", "javascript: ", "is it raining ", "ok ")
 
@@ -327,6 +327,7 @@ QUERIES = {f"vec_topk_{m}": _topk(m) for m in _D} | {
     "near_dup_pairs": near_dup_pairs,
     "near_dup_removed": near_dup_removed,
     "duplicate_map": duplicate_map,
+    "duplicate_map_all": duplicate_map_all,
     "query_validate": query_validate,
     "query_validate_all": query_validate_all,
     "query_preprocess": query_preprocess,

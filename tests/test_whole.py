@@ -1,5 +1,9 @@
 """Queries do the whole job on small tables that the driver's tables don't show."""
 
+import random
+from difflib import SequenceMatcher
+
+from lodeworks.operators import dedup
 from lodeworks.plans import search
 
 
@@ -23,3 +27,33 @@ def test_every_user_turn_is_asked_with_its_own_text(spark, tmp_path):
     processed = {(r.conv_id, r.turn): r.processed for r in search.query_preprocess_all(spark, at).collect()}
     assert all(processed[c, 2].endswith("which mobile app?") and processed[c, 3].endswith("fine  now!") for c in range(3, 6))
     assert all(r.is_relevant for r in search.query_intent_all(spark, at).where("turn = 2").collect())
+
+
+def test_near_copies_of_documents_are_found_removed_and_mapped(spark, tmp_path):
+    r = random.Random(4)
+    words = ["".join(r.choice("etaoinshrdlucmfwypvbgkjqxz") for _ in range(r.randint(2, 9))) for _ in range(400)]
+    texts = [" ".join(r.choice(words) for _ in range(n)) + "." for n in (8, 30, 90, 90, 300, 300, 900)]
+    for t in list(texts):
+        parts = t.split(" ")
+        for change in (1, len(parts) // 40, len(parts) // 12, len(parts) // 7, len(parts) // 4):
+            new = list(parts)
+            for k in r.sample(range(len(parts)), min(change, len(parts))):
+                new[k] = r.choice(words)
+            texts.append(" ".join(new))
+    texts.append(texts[2].upper())
+    at = written(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    want, first = {}, {}
+    for i, t in enumerate(map(str.lower, texts)):
+        if t in first:
+            want[first[t], i] = (1.0, "exact")
+            continue
+        for u, k in first.items():
+            s = SequenceMatcher(None, u, t).ratio()
+            assert s < 0.85 or dedup.may_reach(u, t, 0.85)
+            if s >= 0.85:
+                want[k, i] = (round(s, 6), "near_duplicate")
+        first[t] = i
+    assert {(p.first, p.again): (round(p.similarity, 6), p.kind) for p in search.near_dup_pairs(spark, at).collect()} == want
+    assert {x.seq for x in search.near_dup_removed(spark, at).collect()} == set(range(len(texts))) - {b for _, b in want}
+    mapped = {(x.keep, int(y.split(":")[0])): y.split(":")[1] for x in search.duplicate_map_all(spark, at).collect() for y in x.again.split(",")}
+    assert mapped == {k: kind for k, (_, kind) in want.items()} and set(mapped.values()) == {"exact", "near_duplicate"}
