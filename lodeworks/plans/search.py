@@ -152,6 +152,21 @@ def near_dup_removed(spark, sf_dir):
     return dedup.remove(rows, dedup.all_pairs(rows)).select("seq")
 
 
+def _turns(spark, sf_dir) -> DataFrame:
+    """Conversation turns as short chunks, keyed and ordered by conversation and turn; no two turns share a key."""
+    return table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("seq"), "text")
+
+
+def near_dup_turn_pairs(spark, sf_dir):
+    pairs = dedup.all_pairs(_turns(spark, sf_dir))
+    return pairs.select(F.col("first.conv_id").alias("first_conv"), F.col("first.turn").alias("first_turn"), F.col("again.conv_id").alias("again_conv"), F.col("again.turn").alias("again_turn"), F.round("similarity", 6).alias("similarity"), "kind")
+
+
+def near_dup_turns_removed(spark, sf_dir):
+    rows = _turns(spark, sf_dir)
+    return dedup.remove(rows, dedup.all_pairs(rows)).select("seq.conv_id", "seq.turn")
+
+
 def duplicate_map(spark, sf_dir):
     return dedup.duplicate_map(exact_pairs(spark, sf_dir).withColumns({"similarity": F.lit(1.0), "kind": F.lit("exact")})).select(F.col("keep"), F.array_join(F.transform("duplicates", lambda d: d["again"].cast("string")), ",").alias("again"))
 
@@ -326,6 +341,8 @@ QUERIES = {f"vec_topk_{m}": _topk(m) for m in _D} | {
     "exact_pairs": exact_pairs,
     "near_dup_pairs": near_dup_pairs,
     "near_dup_removed": near_dup_removed,
+    "near_dup_turn_pairs": near_dup_turn_pairs,
+    "near_dup_turns_removed": near_dup_turns_removed,
     "duplicate_map": duplicate_map,
     "duplicate_map_all": duplicate_map_all,
     "query_validate": query_validate,

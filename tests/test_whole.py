@@ -57,3 +57,15 @@ def test_near_copies_of_documents_are_found_removed_and_mapped(spark, tmp_path):
     assert {x.seq for x in search.near_dup_removed(spark, at).collect()} == set(range(len(texts))) - {b for _, b in want}
     mapped = {(x.keep, int(y.split(":")[0])): y.split(":")[1] for x in search.duplicate_map_all(spark, at).collect() for y in x.again.split(",")}
     assert mapped == {k: kind for k, (_, kind) in want.items()} and set(mapped.values()) == {"exact", "near_duplicate"}
+
+
+def test_turns_of_long_conversations_keep_their_own_keys(spark, tmp_path):
+    rows = [(1, k, f"{k:04d}" * 12) for k in range(103)]  # turn 100 of conversation 1 and turn 0 of conversation 2
+    rows += [(2, 0, rows[100][2][:-1] + "x"), (2, 1, rows[101][2]), (2, 2, "a turn like no other one")]
+    at = written(spark, tmp_path, "conversations", rows, "conv_id long, turn long, text string")
+    pairs = {((p.first_conv, p.first_turn), (p.again_conv, p.again_turn)): p.kind for p in search.near_dup_turn_pairs(spark, at).collect()}
+    assert pairs[(1, 100), (2, 0)] == "near_duplicate" and pairs[(1, 101), (2, 1)] == "exact"
+    gone = {again for _, again in pairs}
+    kept = sorted((x.conv_id, x.turn) for x in search.near_dup_turns_removed(spark, at).collect())
+    assert kept == sorted({(c, k) for c, k, _ in rows} - gone) and (2, 2) in kept and not {(2, 0), (2, 1)} & set(kept)
+    assert (1, 102) in kept
