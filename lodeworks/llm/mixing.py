@@ -48,6 +48,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     told apart by size. Rows that repeat id and size are interchangeable: the set of results is the same on each run. An
     empty table gives no rows; other columns are ignored.
     """
+    return _mix(docs, id_col, source_col, text_col, weights, epochs).drop("__source")
+
+
+def _mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS) -> DataFrame:
+    """mix with the documents' sources as __source."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
     sized = sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     sized, _ = staged(sized, "sizes")  # texts are read and counted once
@@ -58,19 +63,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     budget = F.floor("target")
     rounds = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0))
     rest = F.greatest(F.lit(0), F.least(F.col("size"), budget - rounds * F.col("source_size") - F.col("before")))
-    return rows.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (rounds * F.col("size") + rest).cast("long").alias("taken"))
+    return rows.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (rounds * F.col("size") + rest).cast("long").alias("taken"), F.col("source").alias("__source"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them, to the nearest whole document, with their own columns.
 
     A document of which less than half is taken goes; one that is taken twice comes twice. Documents without words stay:
-    they cost no budget. Ids that occur more than once, and null ids, are matched by text size as well.
+    they cost no budget. Rows of equal id, size and source share the copies that the mix takes of them all: each gets as
+    many whole ones, and what is left over goes to the first of them by their texts' hash. The budget cuts at most one
+    such group of a source, so that hardly any rows have to be counted off.
     """
-    plan = mix(docs).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5)).cast("int").alias("__times"))
-    plan = plan.groupBy("__id", "__size").agg(F.max("__times").alias("__times"))
-    found = docs.withColumn("__n", size_of(F.col("text"))).join(plan, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
-    return found.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+    plan = _mix(docs).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "__source", F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5)).cast("int").alias("__times"))
+    plan = plan.groupBy("__id", "__size", "__source").agg(F.floor(F.sum("__times") / F.count("*")).cast("int").alias("__times"), (F.sum("__times") % F.count("*")).alias("__over"))
+    plan, _ = staged(plan, "copies")
+    found = docs.withColumn("__n", size_of(F.col("text"))).join(plan, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")) & docs["source"].eqNullSafe(F.col("__source")))
+    times = found.where("__over = 0").select(*(F.col(f"`{c}`") for c in docs.columns), "__times")
+    if not plan.where("__over > 0").isEmpty():
+        cut = found.where("__over > 0").withColumns({"__one": F.lit(1), "__hash": F.xxhash64("text"), "__row": F.monotonically_increasing_id()})
+        cut, _ = running_before(cut, ["__id", "__size", "__source"], ["__hash", "__row"], {"__place": "__one"}, "cut")
+        times = times.unionAll(cut.select(*(F.col(f"`{c}`") for c in docs.columns), (F.col("__times") + (F.col("__place") < F.col("__over")).cast("int")).alias("__times")))
+    return times.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
 
 
 ORACLE = """

@@ -1,8 +1,12 @@
 """Queries do the whole job on small tables that the driver's tables don't show."""
 
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
+from pyspark.sql import functions as F
+
+from lodeworks.llm import mixing
 from lodeworks.operators import dedup
 from lodeworks.plans import search
 
@@ -69,3 +73,15 @@ def test_turns_of_long_conversations_keep_their_own_keys(spark, tmp_path):
     kept = sorted((x.conv_id, x.turn) for x in search.near_dup_turns_removed(spark, at).collect())
     assert kept == sorted({(c, k) for c, k, _ in rows} - gone) and (2, 2) in kept and not {(2, 0), (2, 1)} & set(kept)
     assert (1, 102) in kept
+
+
+def test_repeated_rows_share_the_copies_of_a_cut(spark):
+    rows = [(7, f"a{k} " * 10, "a") for k in range(10)] + [(7, f"b{k} " * 10, "b") for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for frame in (docs, docs.withColumn("doc_id", F.lit(None).cast("long"))):
+        out = mixing.mixed(frame)
+        assert out.columns == docs.columns
+        got = Counter(r.text for r in out.collect())
+        by = {s: sum(n for t, n in got.items() if t.startswith(s)) for s in "ab"}
+        assert by == {"a": 7, "b": 13}  # budgets of 66 and 133 words; before, every row came as often as the best placed
+        assert {n for t, n in got.items() if t.startswith("b")} == {1, 2} and set(got.values()) == {1, 2}
