@@ -146,18 +146,32 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     in double precision: none below the threshold links. Cells of more than a block's vectors are split into blocks of
     home and visiting vectors, and only counts and a spanning forest leave a block, not its pairs.
 
-    Vectors that are null, empty, zero, have null or non-finite components or another length than most, and rows with a
-    null id, link with nothing and are their own component. Repeated rows count as vectors of their own. An empty table
-    gives no rows; other columns are ignored.
+    Vectors that are null, empty, zero, or have null or non-finite components, and rows with a null id, link with nothing
+    and are their own component. Vectors of each length have an index of their own; those of one component link by sign.
+    Repeated rows count as vectors of their own. An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     rows, _ = staged(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(_valid, "id long, raw binary").withColumn("key", F.md5("raw")), "vectors")
-    lengths = rows.where("raw is not null").groupBy(F.octet_length("raw").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    size = lengths[0]["size"] if lengths else 0
-    good = rows.where(F.octet_length("raw") == size)
-    classes, classes_at = staged(good.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.any_value("raw").alias("raw")), "classes")
-    total = classes.count()
-    if total and size > 8:
+    classes, classes_at = staged(rows.where("raw is not null").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.any_value("raw").alias("raw")), "classes")
+    # One row per length.
+    sizes = sorted((r["size"], r["count"]) for r in classes.groupBy(F.octet_length("raw").alias("size")).count().collect())
+    own = classes.where("false").select(F.col("key").alias("k"), F.col("n").alias("n_links"), F.col("first").alias("component_id"))
+    for size, total in sizes:
+        own = own.unionAll(_linked(classes.where(F.octet_length("raw") == size), size, total, threshold, recall))
+    drop_path(spark, classes_at)
+    out = rows.select("id", "key").join(own, F.col("key") == F.col("k"), "left")
+    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+def _linked(classes: DataFrame, size: int, total: int, threshold: float, recall: float) -> DataFrame:
+    """(k, n_links, component_id) of classes of equal vectors of one length, size bytes each; written."""
+    spark = classes.sparkSession
+    if size == 8:
+        signed = classes.withColumn("sign", F.substring(F.hex("raw"), 15, 1) >= "8")
+        groups = signed.groupBy("sign").agg(F.sum("n").alias("all"), F.min("first").alias("component_id"))
+        own = signed.join(groups, "sign").select(F.col("key").alias("k"), (F.col("all") - 1).alias("n_links"), "component_id")
+    elif total > 1:
         sample = classes.orderBy("key").limit(SAMPLE).select("raw").collect()
         index = MultiIndex(unit([r.raw for r in sample]), total, threshold, recall)
         place = lambda batches: _place(index, batches)
@@ -190,15 +204,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         stars, stars_at = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
         links = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
         own = classes.select("key", "first", "n").join(links, F.col("first") == F.col("id"), "left").join(stars, F.col("first") == F.col("a"), "left")
-        own, _ = staged(own.select(F.col("key").alias("k"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("b", "first").alias("component_id")), "linked")
+        own = own.select(F.col("key").alias("k"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("b", "first").alias("component_id"))
+        own, _ = staged(own, "linked")
         for path in (placed_at, found_at, stars_at):
             drop_path(spark, path)
+        return own
     else:
-        own, _ = staged(classes.select(F.col("key").alias("k"), (F.col("n") - 1).alias("n_links"), F.col("first").alias("component_id")), "linked")
-    drop_path(spark, classes_at)
-    out = rows.select("id", F.when(F.octet_length("raw") == size, F.col("key")).alias("key")).join(own, F.col("key") == F.col("k"), "left")
-    out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+        own = classes.select(F.col("key").alias("k"), (F.col("n") - 1).alias("n_links"), F.col("first").alias("component_id"))
+    return staged(own, "linked")[0]
 
 
 def _place(index: MultiIndex, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

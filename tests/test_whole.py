@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from lodeworks.llm import mixing
+from lodeworks.llm import mixing, multiindex
 from lodeworks.operators import dedup
 from lodeworks.plans import search
 
@@ -85,3 +85,13 @@ def test_repeated_rows_share_the_copies_of_a_cut(spark):
         by = {s: sum(n for t, n in got.items() if t.startswith(s)) for s in "ab"}
         assert by == {"a": 7, "b": 13}  # budgets of 66 and 133 words; before, every row came as often as the best placed
         assert {n for t, n in got.items() if t.startswith("b")} == {1, 2} and set(got.values()) == {1, 2}
+
+
+def test_vectors_of_every_length_link(spark):
+    rows = [(k, [1.0, 0.01 * k, 2.0, 3.0]) for k in range(5)] + [(10, [1.0, 2.0]), (11, [2.0, 4.0]), (12, [2.0, 4.0]), (13, [-1.0, 0.5])]
+    rows += [(20, [0.5]), (21, [7.0]), (22, [-1.0]), (23, [-3.0]), (24, [-3.0]), (30, [1.0, 1.0, 1.0]), (40, [0.0]), (41, [])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in multiindex.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[k][:2] for k in range(5)] == [(4, 0)] * 5
+    assert [got[k][:2] for k in (10, 11, 12, 13)] == [(2, 10), (2, 10), (2, 10), (0, 13)]
+    assert [got[k][:2] for k in (20, 21, 22, 23, 24)] == [(1, 20), (1, 20), (2, 22), (2, 22), (2, 22)]
+    assert [got[k] for k in (30, 40, 41)] == [(0, k, True) for k in (30, 40, 41)] and not got[11][2] and len(got) == len(rows)
