@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lodeworks.llm.common import LEXICAL, annotate
+from lodeworks.llm.license_bodies import BODIES
 
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -50,13 +51,14 @@ def lexical(text: str | None) -> list[bytes]:
 class Automaton:
     """The suffix automaton of several word sequences: all their substrings, with the places where each ends."""
 
-    def __init__(self, phrases: dict[str, str], templates: dict[str, str]):
+    def __init__(self, phrases: dict[str, str], templates: dict[str, str], bodies: dict[str, tuple[str, ...]] | None = None):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length, ends = [-1], [0], [set()]
         self.vocabulary: dict[bytes, int] = {}
-        self.names, self.sizes = list(templates), [len(lexical(t)) for t in templates.values()]
+        texts = [*templates.items(), *((label, t) for label, body in (bodies or {}).items() for t in body)]
+        self.names, self.sizes = [label for label, _ in texts], [len(lexical(t)) for _, t in texts]
         phrase_words = [([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in lexical(p)], label) for p, label in phrases.items()]
-        template_words = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in lexical(t)] for t in templates.values()]
+        template_words = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in lexical(t)] for _, t in texts]
         for number, words in enumerate([*(w for w, _ in phrase_words), *template_words]):
             last = 0
             for place, word in enumerate(words):
@@ -136,31 +138,50 @@ class Automaton:
             matches.append((begin + len(ids), n, state))
 
     def chains(self, matches: list) -> list[tuple[str, int, int, float]]:
-        """For each template the best chain of matches in order, no more than GAP words apart: label, span, share."""
+        """For each template all disjoint chains that reach SHARE, the best first: label, span, share.
+
+        Chains are of matches in order, no more than GAP words apart.
+        """
         by: dict[int, list] = defaultdict(list)
         for end, n, state in matches:
             for template, place in self.ends[state]:
                 by[template].append((end - n, end, place - n, place))
-        out = []
-        for template, parts in by.items():
-            best: list[tuple[int, int]] = []  # covered words and where the chain begins
-            recent: list[int] = []
-            for k, (b, e, tb, te) in enumerate(parts):
-                score, begin = e - b, b
-                recent = [j for j in recent if b - parts[j][1] <= GAP]
-                for j in recent:
-                    _, pe, _, pt = parts[j]
-                    gain = best[j][0] + (e - b) - max(0, pe - b, pt - tb)
-                    if pt < te and pe < e and tb - pt <= GAP and gain > score:
-                        score, begin = gain, best[j][1]
-                best.append((score, begin))
-                recent.append(k)
-            k = max(range(len(parts)), key=lambda j: best[j][0])
-            share = min(1.0, best[k][0] / self.sizes[template])
-            if share >= SHARE:
-                out.append((self.names[template], best[k][1], parts[k][1], share))
+        out = set()
+        for template, found in by.items():
+            least, start, todo = SHARE * self.sizes[template], 0, []
+            for k in range(1, len(found) + 1):  # no chain reaches over more than GAP words
+                if k == len(found) or found[k][0] - found[k - 1][1] > GAP:
+                    todo.append(found[start:k])
+                    start = k
+            while todo:
+                parts = todo.pop()
+                if not parts or parts[-1][1] - min(p[0] for p in parts) < least:
+                    continue
+                covered, begin, k = self._best(parts)
+                if covered < least:
+                    continue
+                end = parts[k][1]
+                out.add((self.names[template], begin, end, min(1.0, covered / self.sizes[template])))
+                todo += [[p for p in parts if p[1] <= begin], [p for p in parts if p[0] >= end]]
         return sorted(out)
 
+    def _best(self, parts: list) -> tuple[int, int, int]:
+        """The words that the best chain covers, where it begins and its last part; of equal ones that nearest the middle."""
+        best: list[tuple[int, int]] = []  # covered words and where the chain begins
+        recent: list[int] = []
+        for k, (b, e, tb, te) in enumerate(parts):
+            score, begin = e - b, b
+            recent = [j for j in recent if b - parts[j][1] <= GAP]
+            for j in recent:
+                _, pe, _, pt = parts[j]
+                gain = best[j][0] + (e - b) - max(0, pe - b, pt - tb)
+                if pt < te and pe < e and tb - pt <= GAP and gain > score:
+                    score, begin = gain, best[j][1]
+            best.append((score, begin))
+            recent.append(k)
+        k = max(range(len(parts)), key=lambda j: (best[j][0], -abs(2 * j - len(parts))))
+        return *best[k], k
+
 
 def scan_text(text: str | None, automaton: Automaton) -> tuple:
     words = lexical(text)
@@ -184,14 +205,15 @@ def scan(docs: DataFrame, text_col: str = "text", phrases: dict[str, str] | None
 
     Words are lexical, A-Z folded. Each text streams through the suffix automaton of all phrases and templates, which
     gives the longest match that ends at each word: phrases are read off its states, and long matches are chained into
-    spans of a template. score is 1 - (1 - largest share) * (0.4 with a phrase, else 1). One pass, no shuffle.
+    spans of a template, or of a paragraph of BODIES with the same labels. score is 1 - (1 - largest share) * (0.4 with a phrase, else 1). One pass, no shuffle.
 
     Null and empty texts have no words, no place and score 0; a column of docs named as one of the added gives way.
     """
+    bodies = None if templates else BODIES
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
 
     def make_worker():
-        automaton = Automaton(phrases, templates)
+        automaton = Automaton(phrases, templates, bodies)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("begin", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]))]
 
         def worker(batch: pa.RecordBatch) -> list[pa.Array]:

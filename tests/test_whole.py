@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from lodeworks.llm import mixing, multiindex
+from lodeworks.llm import licenses, mixing, multiindex
 from lodeworks.operators import dedup
 from lodeworks.plans import search
 
@@ -95,3 +95,14 @@ def test_vectors_of_every_length_link(spark):
     assert [got[k][:2] for k in (10, 11, 12, 13)] == [(2, 10), (2, 10), (2, 10), (0, 13)]
     assert [got[k][:2] for k in (20, 21, 22, 23, 24)] == [(1, 20), (1, 20), (2, 22), (2, 22), (2, 22)]
     assert [got[k] for k in (30, 40, 41)] == [(0, k, True) for k in (30, 40, 41)] and not got[11][2] and len(got) == len(rows)
+
+
+def test_license_bodies_and_every_notice_are_found(spark):
+    notice, filler = licenses.TEMPLATES["isc"], " one two three four five six seven eight nine ten eleven twelve thirteen "
+    bodies = [(100 * k + j, label, p) for k, (label, body) in enumerate(licenses.BODIES.items()) for j, p in enumerate(body)]
+    rows = [(i, p) for i, _, p in bodies] + [(9000, filler.join([notice] * 3)), (9001, f"{notice} {notice} {notice}")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score == 1.0 for i, label, _ in bodies)
+    n = len(licenses.lexical(notice))
+    for i, gap in ((9000, n + 13), (9001, n)):
+        assert [(s.begin, s.end) for s in got[i].spans if s.label == "isc"] == [(k * gap, k * gap + n) for k in range(3)]
