@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +29,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def crawl(seeds: DataFrame, links: DataFrame, depth: int = 3, most: int | None = None) -> DataFrame:
+def crawl(seeds: DataFrame, links: DataFrame, depth: int | None = 3, most: int | None = None) -> DataFrame:
     """(url, depth): what links (url, link) reach from the seeds within so many rounds, each address at its first depth.
 
+    depth, a feature of the crawl, bounds the rounds; with None they go on until the frontier is empty.
     Each round joins the frontier to the links and drops what was visited; a frontier of any size is a table. most, if
     given, bounds the pages by (depth, url), a feature of the crawl.
     """
     seen = written(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "crawl")
     front = seen
-    for k in range(1, depth + 1):
+    for k in count(1) if depth is None else range(1, depth + 1):
         found = front.join(links, "url").select(F.col("link").alias("url")).distinct().join(seen, "url", "left_anti")
         front = written(found.withColumn("depth", F.lit(k)), "crawl")
         if front.isEmpty():

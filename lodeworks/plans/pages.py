@@ -48,7 +48,7 @@ def links_wide(spark, sf_dir):
 
 
 def crawl_bfs(spark, sf_dir):
-    """From the first page, over links that make a binary tree of all pages."""
+    """From the first page, over links that make a binary tree of page ids, within 20 rounds: a crawl of bounded depth."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url").distinct()
     up = pages.select("url", F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2)).alias("page_id"))
     tree = up.join(pages.select("page_id", F.col("url").alias("link")), "page_id").select("url", "link").where("url <> link")
@@ -56,6 +56,14 @@ def crawl_bfs(spark, sf_dir):
     return crawl.crawl(seed, tree, depth=20)
 
 
+def crawl_links(spark, sf_dir):
+    """From all pages that no other page links to and the first page, over the pages' own links until no new address comes."""
+    pages = table(spark, sf_dir, "pages").select("url", "page_id", "html")
+    found = crawl.written(html.links(pages.select("url", "html"), keep_invalid=True).select("url", "link").where("url <> link").distinct(), "links")
+    seeds = pages.join(found.select(F.col("link").alias("url")), "url", "left_anti").union(pages.where("page_id = 0")).select("url")
+    return crawl.crawl(seeds, found, depth=None)
+
+
 CRAWL_SQL = """
 WITH RECURSIVE p AS (SELECT DISTINCT page_id, url FROM pages),
 e AS (SELECT a.url AS url, b.url AS link FROM p a JOIN p b ON b.page_id IN (a.page_id * 2 + 1, a.page_id * 2 + 2) WHERE a.url <> b.url),
@@ -73,6 +81,7 @@ QUERIES = {
     "links": links,
     "links_wide": links_wide,
     "crawl_bfs": crawl_bfs,
+    "crawl_links": crawl_links,
 }
 
 ORACLES = {"crawl_bfs": CRAWL_SQL}

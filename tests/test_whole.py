@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm import licenses, mixing, multiindex
 from lodeworks.operators import dedup
-from lodeworks.plans import search
+from lodeworks.plans import pages, search
 
 
 def written(spark, path, name, rows, schema):
@@ -106,3 +106,11 @@ def test_license_bodies_and_every_notice_are_found(spark):
     n = len(licenses.lexical(notice))
     for i, gap in ((9000, n + 13), (9001, n)):
         assert [(s.begin, s.end) for s in got[i].spans if s.label == "isc"] == [(k * gap, k * gap + n) for k in range(3)]
+
+
+def test_links_of_pages_are_crawled_to_the_end(spark, tmp_path):
+    site = "https://example.com/"
+    rows = [(k, f"{site}p{k}", f"<html><body><a href='/p{k + 1}'>next</a></body></html>") for k in range(23)]
+    at = written(spark, tmp_path, "pages", rows, "page_id long, url string, html string")
+    got = {r.url: r.depth for r in pages.crawl_links(spark, at).collect()}
+    assert got == {f"{site}p{k}": k for k in range(24)}
