@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,12 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; a temporary one only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a temporary folder of this machine serves a local master; any other master raises, since its
+    executors would each write to a disk of their own.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = held.get() if held.isDefined() else None
     if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lodeworks-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -50,6 +55,26 @@ def _drop_late(spark: SparkSession, path: str) -> None:
         drop_path(spark, path)
 
 
+#: Shuffle files go when the query that wrote them ends, not when a garbage collector finds its plan.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _clean_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def write(df: DataFrame, path: str, codec: str = "zstd") -> None:
+    """Writes df as Parquet; the shuffles of its plan are gone afterwards."""
+    with _clean_shuffles(df.sparkSession):
+        df.write.option("compression", codec).parquet(path)
+
+
 def staged(df: DataFrame, tag: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Writes df as Parquet into the shared folder and reads it back: the lineage ends here, and lost executors cost nothing.
 
@@ -57,19 +82,13 @@ def staged(df: DataFrame, tag: str, codec: str = "zstd") -> tuple[DataFrame, str
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    atexit.register(_drop_late, spark, path)
+    drop_at_exit(spark, path)
+    write(df, path, codec)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
-    for _ in range(2):
-        spark.range(1).count()  # the scheduler holds on to the last job until another ends
-        gc.collect()
-        time.sleep(1.2)  # py4j gives up the collected references once a second
-        spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(_drop_late, spark, path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -106,16 +125,24 @@ def running_before(df: DataFrame, group: list[str], order: list[str], amounts: d
     return out.select(*df.columns, *amounts), path
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 and so on, so that no name can clash with one that an operator adds."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def annotate(df: DataFrame, used: list[str], make_worker, added: T.StructType) -> DataFrame:
     """df with columns that a worker computes from Arrow batches of the used columns.
 
     make_worker() runs once in each task and returns a function from a RecordBatch of the used columns to the added
     columns' arrays. The other columns pass through under positional names, so that odd names do no harm on the way;
-    an input column with the name of an added one is left out of the result.
+    an input column with the name of an added one, by the session's rule of case, is left out of the result.
     """
-    names = [f.name for f in added]
-    kept = [(i, f) for i, f in enumerate(df.schema) if f.name not in names]
-    flat = df.select(*(F.col(f"`{c}`").alias(f"u{i}") for i, c in enumerate(used)), *(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in kept))
+    fold = (lambda n: n) if df.sparkSession.conf.get("spark.sql.caseSensitive", "false") == "true" else str.lower
+    names = {fold(f.name) for f in added}
+    kept = [(i, f) for i, f in enumerate(df.schema) if fold(f.name) not in names]
+    at = {fold(c): i for i, c in reversed([*enumerate(df.columns)])}
+    wide = positional(df)
+    flat = wide.select(*(F.col(f"c{at[fold(c)]}").alias(f"u{i}") for i, c in enumerate(used)), *(F.col(f"c{i}") for i, _ in kept))
     schema = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in kept), *(T.StructField(f"a{i}", f.dataType) for i, f in enumerate(added))])
     n, out_names = len(used), [f.name for f in schema]
 
@@ -124,9 +151,15 @@ def annotate(df: DataFrame, used: list[str], make_worker, added: T.StructType) -
         for batch in batches:
             arrays = worker(pa.RecordBatch.from_arrays(batch.columns[:n], [f"u{i}" for i in range(n)]))
             yield pa.RecordBatch.from_arrays([*batch.columns[n:], *arrays], out_names)
+        release()
 
     out = flat.mapInArrow(run, schema)
-    return out.select(*(F.col(f"c{i}").alias(f.name) for i, f in kept), *(F.col(f"a{i}").alias(f.name) for i, f in enumerate(added)))
+    return out.toDF(*(f.name for _, f in kept), *(f.name for f in added))
+
+
+def release() -> None:
+    """Gives a worker's freed Arrow memory back, which it would keep from task to task."""
+    pa.default_memory_pool().release_unused()
 
 
 def prefixed(schema: T.StructType, prefix: str) -> T.StructType:

@@ -2,37 +2,48 @@
 
 from __future__ import annotations
 
+import json
 import os
 import pickle
 import re
 import sys
 import types
+import uuid
 import zlib
-from array import array
-from collections.abc import Callable
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import drop_path, partitions, release_shuffles, shared_dir, staged
+from lodeworks.llm.common import drop_at_exit, drop_path, partitions, release, shared_dir, staged
 
 #: A block ends with the document that brings it to so many ids; checkpoints stand at every STEP ids.
 BLOCK_IDS, STEP = 65536, 128
 #: Longest code in bits, if the vocabulary allows.
 MAX_BITS = 18
 END_ID = 1
-#: Pieces whose ids a worker remembers, at most.
-PIECES_HELD = 900_000
+#: Bytes of text that are encoded together, and bytes of pieces with ids that a worker remembers.
+SLICE_BYTES, HELD_BYTES = 4_000_000, 20_000_000
 #: In a text of these characters alone, the runs below are what the tokenizer's own splitting makes of its lower-case
 #: form: no normal form changes, no contraction, no special token. Where no full stop or comma touches another sign, both
 #: are runs of their own.
 PLAIN = re.compile(r"[\t-\r !-&(-;=?-~À-ÖØ-öø-ÿ]*")
 RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-NONBLANK = re.compile(r"[^ \t\n\r]+")
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 TOUCHING = re.compile(r"[.,](?:(?=[!-/:-@\[-`{-~])|(?<=[!-/:-@\[-`{-~].))")
+#: The parts of a tokenizer file under which pieces between blanks are encoded apart from each other: white space is
+#: dropped, case folded, and letters, single digits and runs of other signs are words.
+PIECEWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "truncation": None,
+    "padding": None,
+}
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -119,68 +130,183 @@ def decode(blocks: list[tuple[bytes, np.ndarray, int]], table: tuple[np.ndarray,
     return [np.ascontiguousarray(r).ravel()[:n] for r, (_, _, n) in zip(rows, blocks, strict=True)]
 
 
-def _worker_cache(name: str) -> dict[str, bytes]:
-    """Ids by piece, kept over a Python worker's tasks."""
-    held = sys.modules.setdefault("_lodeworks_worker", types.ModuleType("_lodeworks_worker")).__dict__
-    return held.setdefault(name, {})
+def piecewise(spec: str) -> bool:
+    """Whether a tokenizer file says that texts may be encoded piece by piece between blanks."""
+    told = json.loads(spec)
+    model = told["model"]
+    plain = all(told.get(k) == v for k, v in PIECEWISE.items()) and model.get("type") == "BPE" and not model.get("dropout") and model.get("end_of_word_suffix") == "</w>" and not model.get("ignore_merges")
+    return plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in told["added_tokens"])
+
+
+def binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Byte strings that lie one behind the other and end at the given places."""
+    offsets = np.concatenate([[0], ends]).astype("<i8")
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+class WholeTexts:
+    """Ids of texts by the library alone, for tokenizers of any kind."""
 
+    def __init__(self, spec: str, size: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-def piece_encoder(path: str, size: int) -> Callable[[list[str]], list[bytes]]:
-    """Encodes whole texts to little-endian ids of size bytes, with the library meeting each piece once.
+        self.library, self.kind = Tokenizer.from_str(spec), f"<u{size}"
 
-    The tokenizer drops white space and splits there, so that a text's ids are its white-space pieces' ids in turn. Plain
-    texts are lower-cased and parted before full stops and commas as well, since their pieces repeat more; such pieces
-    fall into runs, and those of letters are encoded by the vocabulary's own model, without the normalisation that would
-    leave them unchanged. A full cache keeps what it has, the frequent pieces.
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in turn, and how many each text has."""
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        n = np.array([len(f) for f in found], np.int64)
+        return np.fromiter(chain.from_iterable(found), self.kind, int(n.sum())), n
+
+
+class Pieces(WholeTexts):
+    """Ids of texts by those of their pieces, with the library meeting each piece once.
+
+    A piecewise tokenizer drops white space and splits there, so that a text's ids are its pieces' ids in turn. Plain texts
+    are lower-cased and parted before full stops and commas as well, since their pieces repeat more; such pieces fall into
+    runs, and those of letters are encoded by the vocabulary's own model, without the normalisation that would leave them
+    unchanged. Pieces and ids are held in flat arrays of HELD_BYTES at most; beyond, the pieces met least go.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    full = Tokenizer.from_file(path)
-    bare = Tokenizer(full.model)
-    code, byte_chars = "H" if size == 2 else "I", {}
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    for k, b in enumerate([*printable, *(b for b in range(256) if b not in printable)]):
-        byte_chars[b] = chr(b) if k < len(printable) else chr(256 + k - len(printable))
-    held = _worker_cache(f"{path} {size}")
-    plain, letters, touching, blocks = PLAIN.fullmatch, re.compile(r"[a-zß-öø-ÿ]+").fullmatch, TOUCHING.search, NONBLANK.findall
-
-    def library(names: list[str], encoder, given: list[str]) -> None:
-        for p, e in zip(names, encoder.encode_batch_fast(given, add_special_tokens=False), strict=True):
-            held[p] = array(code, e.ids).tobytes()
-
-    def learn(missing: set[str]) -> list[str]:
-        """Adds pieces, and the runs they need; returns all that is new."""
-        words, mixed, others = [], {}, []
-        for p in missing:
-            if p.isascii() and p.isalpha() and p.islower() or letters(p):
-                words.append(p)
-            elif plain(p):
-                mixed[p] = RUNS.findall(p.lower())
-            else:
-                others.append(p)
-        runs = list(set().union(*mixed.values()).difference(held, words))
-        words += filter(letters, runs)
-        library(words, bare, [r if r.isascii() else r.encode().decode("latin-1").translate(byte_chars) for r in words])
-        others += (r for r in runs if not letters(r))
-        library(others, full, others)
-        for p, parts in mixed.items():
-            held[p] = b"".join([held[r] for r in parts])
-        return [*missing, *runs]
-
-    def run(texts: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 512):
-            pieces = [t.lower().replace(".", " .").replace(",", " ,").split() if plain(t) and not touching(t) else blocks(t) for t in texts[i : i + 512]]
-            missing = set().union(*pieces).difference(held)
-            new = learn(missing) if missing else []
-            out += [b"".join(map(held.__getitem__, p)) for p in pieces]
-            if len(held) > PIECES_HELD:
-                for p in new:
-                    held.pop(p, None)
+    def __init__(self, spec: str, size: int):
+        super().__init__(spec, size)
+        from tokenizers import Tokenizer
+
+        self.bare = Tokenizer(self.library.model)
+        vocabulary = self.bare.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.byte_chars = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printable)}
+        self.forget()
+
+    def forget(self) -> None:
+        self.held, self.flat, self.ends, self.met = pa.array([], pa.string()), np.empty(0, self.kind), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.array([bool(PLAIN.fullmatch(t)) and not TOUCHING.search(t) for t in texts], bool)
+        easy = pa.array([t.lower().replace(".", " .").replace(",", " ,") for t, p in zip(texts, plain, strict=True) if p], pa.string())
+        rest = pa.array([t for t, p in zip(texts, plain, strict=True) if not p], pa.string())
+        lists = pa.concat_arrays([pc.ascii_split_whitespace(easy), pc.split_pattern_regex(rest, pattern="[ \t\n\r]+")])
+        pieces = lists.flatten().dictionary_encode()
+        spot = self._spots(pieces.dictionary)[pieces.indices.to_numpy()]
+        sizes = np.diff(np.concatenate([[0], self.ends]))[spot]
+        ids = self._gather(spot, sizes)
+        upto = np.concatenate([[0], np.cumsum(sizes)])[lists.offsets.to_numpy()]
+        order = np.argsort(np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]), kind="stable")
+        n = np.diff(upto)[order]
+        if plain.all() or not plain.any():
+            out = ids
+        else:
+            out = ids[np.repeat(upto[:-1][order] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        np.add.at(self.met, spot[: len(spot) // 8], 1)  # an eighth tells which pieces are frequent
+        if self.held.nbytes + self.flat.nbytes + self.ends.nbytes * 2 > HELD_BYTES:
+            self._thin()
+        release()
+        return out, n
+
+    def _gather(self, spot: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The ids of the pieces held at some spots, in turn."""
+        out, at = np.empty(int(sizes.sum()), self.kind), 0
+        first = self.ends - np.diff(np.concatenate([[0], self.ends]))
+        for i in range(0, len(spot), 200_000):
+            n = sizes[i : i + 200_000]
+            total = int(n.sum())
+            out[at : at + total] = self.flat[np.repeat(first[spot[i : i + 200_000]] - (np.cumsum(n) - n), n) + np.arange(total)]
+            at += total
         return out
 
-    return run
+    def _known(self, pieces: pa.Array) -> np.ndarray:
+        """Where distinct pieces are held, -1 for those that aren't. The fewer pieces are hashed, the held ones pass by."""
+        found = pc.index_in(self.held, value_set=pieces)
+        at = np.flatnonzero(found.is_valid())
+        out = np.full(len(pieces), -1, np.int64)
+        out[found.drop_null().to_numpy()] = at
+        return out
+
+    def _spots(self, pieces: pa.Array) -> np.ndarray:
+        """Where distinct pieces are held; those that aren't yet are encoded first."""
+        spot = self._known(pieces)
+        new = np.flatnonzero(spot < 0)
+        if len(new):
+            missing = pieces.take(pa.array(new)).to_pylist()
+            made = self._learn(missing)
+            spot[new] = [made[p] for p in missing]
+        return spot
+
+    def _hold(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> dict[str, int]:
+        first = len(self.held)
+        self.ends = np.concatenate([self.ends, ends + len(self.flat)])
+        self.held = pa.concat_arrays([self.held, pa.array(pieces, pa.string())])
+        self.flat = np.concatenate([self.flat, ids.astype(self.kind)])
+        self.met = np.concatenate([self.met, np.zeros(len(pieces), np.int64)])
+        return dict(zip(pieces, range(first, first + len(pieces)), strict=True))
+
+    def _learn(self, pieces: list[str]) -> dict[str, int]:
+        """Holds new pieces and the new runs of those that fall into some; where each of them is held."""
+        words, mixed, others = {}, {}, {}
+        for p in pieces:
+            (words if LETTERS.fullmatch(p) else mixed if PLAIN.fullmatch(p) else others)[p] = None
+        for p in mixed:
+            mixed[p] = RUNS.findall(p.lower())
+        runs = list(dict.fromkeys(chain.from_iterable(mixed.values())))
+        held = dict(zip(runs, self._known(pa.array(runs, pa.string())).tolist(), strict=True))
+        for r in runs:
+            if held[r] < 0:
+                (words if LETTERS.fullmatch(r) else others)[r] = None
+        others |= dict.fromkeys(p for p, parts in mixed.items() if parts == [p])
+        made = self._hold([*words], *self._words([*words]))
+        found = [e.ids for e in self.library.encode_batch_fast([*others], add_special_tokens=False)]
+        made |= self._hold([*others], np.fromiter(chain.from_iterable(found), self.kind), np.cumsum([len(f) for f in found], dtype=np.int64))
+        rest = {p: parts for p, parts in mixed.items() if p not in others}
+        spot = np.array([made[r] if r in made else held[r] for r in chain.from_iterable(rest.values())], np.int64)
+        sizes = np.diff(np.concatenate([[0], self.ends]))[spot]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(parts) for parts in rest.values()], dtype=np.int64)]
+        return made | self._hold([*rest], self._gather(spot, sizes), ends)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of letters, by the vocabulary's model, and their ends; a word's last token alone ends a word."""
+        flat, ends, n = [np.empty(0, self.kind)], [np.empty(0, np.int64)], 0
+        for i in range(0, len(words), 20_000):
+            some = [w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_chars) for w in words[i : i + 20_000]]
+            ids = np.array(self.bare.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, self.kind)
+            stop = np.flatnonzero(self.last[ids]) + 1
+            if len(stop) != len(some):  # the vocabulary lacks a sign
+                found = [e.ids for e in self.bare.encode_batch_fast(some, add_special_tokens=False)]
+                ids, stop = np.fromiter(chain.from_iterable(found), self.kind), np.cumsum([len(f) for f in found])
+            flat.append(ids)
+            ends.append(stop + n)
+            n += len(ids)
+        return np.concatenate(flat), np.concatenate(ends)
+
+    def _thin(self) -> None:
+        """Keeps the half of the pieces met most; older meetings count less."""
+        keep = np.sort(np.argsort(-self.met, kind="stable")[: len(self.met) // 2])
+        sizes = np.diff(np.concatenate([[0], self.ends]))[keep]
+        flat = self._gather(keep, sizes)
+        self.held, self.flat, self.ends, self.met = self.held.take(pa.array(keep)), flat, np.cumsum(sizes), self.met[keep] // 2
+
+
+def encoder(spec: str, size: int) -> WholeTexts:
+    """The encoder of a tokenizer file's text, with ids of size bytes: by pieces if the file allows it, else by whole texts.
+
+    A worker keeps the last one over its tasks, under a module of its own: functions come to it by value, without theirs.
+    """
+    held = sys.modules.setdefault("_lodeworks_worker", types.ModuleType("_lodeworks_worker")).__dict__
+    key = (spec, size)
+    if held.get("encoder", (None,))[0] != key:
+        held["encoder"] = key, (Pieces if piecewise(spec) else WholeTexts)(spec, size)
+    return held["encoder"][1]
+
+
+def slices(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Begins and ends of stretches of about so many bytes; a longer text is one alone."""
+    upto, i = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))]), 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + (most or SLICE_BYTES), side="right")) - 1)
+        yield i, j
+        i = j
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
@@ -193,22 +319,30 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id"
     Null texts encode as empty ones: the end id alone. Null ids come first; rows that repeat an id follow each other in
     the order of a hash of the text. An empty table writes an empty codebook and no blocks.
     """
-    import tokenizers
+    from tokenizers import Tokenizer
 
     spark = docs.sparkSession
-    vocabulary = max(tokenizers.Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
+    with open(tokenizer, encoding="utf-8") as file:
+        spec = file.read()
+    vocabulary = max(Tokenizer.from_str(spec).get_vocab_size(), end_id + 1)
     size = 2 if vocabulary <= 65536 else 4
     kind = f"<u{size}"
+    told = spark.sparkContext.broadcast(spec)  # a few megabytes, so that no worker needs the file
 
     def tokenise(batches):
         """Documents with ids; a partition's last row has its counts instead, as pairs of id and number."""
-        run, end, total, names = piece_encoder(tokenizer, size), np.array([end_id], dtype=kind).tobytes(), np.zeros(vocabulary, np.int64), ["id", "shard", "ids", "counts"]
+        made, total, names = encoder(told.value, size), np.zeros(vocabulary, np.int64), ["id", "shard", "ids", "counts"]
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                ids = [x + end for x in run(part.column(1).to_pylist())]
-                total += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=vocabulary)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+            for i, j in slices(batch.column(1)):
+                ids, n = made.ids(batch.column(1).slice(i, j - i).to_pylist())
+                ends = np.cumsum(n + 1)
+                out = np.full(len(ids) + len(n), end_id, kind)
+                own = np.ones(len(out), bool)
+                own[ends - 1] = False
+                out[own] = ids
+                total += np.bincount(out, minlength=vocabulary)
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), binary(out, ends * size), pa.nulls(j - i, pa.binary())], names)
         used = np.flatnonzero(total)
         if len(used):
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([np.stack([used, total[used]]).astype("<i8").tobytes()], pa.binary())], names)
@@ -218,7 +352,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id"
     rows = rows.select("id", "text", F.spark_partition_id().alias("shard"))
     # Ids are made once: counts and codes both read them from here.
     whole, whole_at = staged(rows.mapInArrow(tokenise, "id long, shard int, ids binary, counts binary").withColumn("place", F.monotonically_increasing_id()), "ids")
-    release_shuffles(spark)
+    told.destroy()
 
     def count(batches):
         for batch in batches:
@@ -262,7 +396,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id"
 
     schema = "shard int, place long, n_docs int, n_ids long, n_bits long, ids array<long>, sizes array<long>, checkpoints binary, payload binary"
     # place grows with the order inside a shard, which is one partition; a file's splits keep it.
-    whole.where("ids is not null").select("id", "shard", "place", "ids").mapInArrow(blocks, schema).write.parquet(f"{path}/blocks")
+    whole.where("ids is not null").select("id", "shard", "place", "ids").mapInArrow(blocks, schema).write.option("compression", "zstd").parquet(f"{path}/blocks")
     sent.destroy()
     drop_path(spark, whole_at)
 
@@ -271,6 +405,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     """From the files of write_ids, one row per document: doc_id, start, n_tokens, ids_crc32, and its ids on demand.
 
     start counts the ids of all documents before it. ids_crc32 is over the ids as little-endian unsigned 32-bit integers.
+    Rows that repeat an id come as often as they were written, null ids as null; files without blocks give no rows.
     """
     book = spark.read.parquet(f"{path}/codebook").collect()
     lengths = np.zeros(max((r.token for r in book), default=0) + 1, np.uint8)
@@ -310,10 +445,13 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Writes the documents' ids into the shared folder and reads them back."""
-    import uuid
+    """Writes the documents' ids into the shared folder and reads them back; the files go when Python ends.
 
+    Nulls, repeated rows, ties and empty tables as in write_ids; columns other than doc_id and text are ignored. Long texts
+    are encoded whole, in a slice of their own.
+    """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
     write_ids(docs, tokenizer, path)
     return read_ids(spark, path)
