@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeworks.llm.common import annotate, drop_path, partitions, release_shuffles, staged
+from lodeworks.llm.common import annotate, drop_path, partitions, positional, release, staged
 
 WINDOW = 13
 #: Words of a minimiser.
 MINIMISER = 3
-#: Words a worker takes together, windows a bucket holds about, and bytes that are hashed at once.
-CHUNK_WORDS, BUCKET_WINDOWS, STRETCH = 400_000, 500_000, 1_000_000
+#: Words a worker takes together, windows a bucket holds about, and bytes that are hashed at once. A window comes to a
+#: bucket once a chunk at most; one with a common minimiser only once for SALT_CHUNKS chunks, as it is judged there first.
+CHUNK_WORDS, BUCKET_WINDOWS, STRETCH, SALT_CHUNKS = 400_000, 250_000, 1_000_000, 256
 #: A minimiser is common if it is at least this share of all minimisers, of which there are 1 / COMMON at most.
 COMMON = 1 / 20_000
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -138,59 +139,94 @@ def _count_minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     held: dict = {}
     for _, _, bounds, blob in _chunks(batches):
         text = Text(blob, held)
-        h = text.hashes(np.arange(len(text.starts) - MINIMISER + 1), MINIMISER)
+        h = text.hashes(np.arange(len(text.starts) - MINIMISER + 1), MINIMISER) & np.uint64((1 << 63) - 1)
         keys, n = np.unique(h, return_counts=True)
         often = n >= max(2, COMMON * len(h) / 2)
         keys, n = np.concatenate([keys[often], [np.uint64(0)]]), np.concatenate([n[often], [len(h)]])
         kind = np.concatenate([np.zeros(int(often.sum()), np.int32), [1]])
         yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["kind", "key", "n"])
+    release()
 
 
-def _super_kmers(buckets: int, common: np.ndarray, window: int):
-    """Map side. Rows: bucket and packed super-k-mers, or (bucket < 0) a chunk's own finds."""
-    held: dict = {}
+class Buckets:
+    """Where super-k-mers go. Those of common minimisers have buckets of their own, behind the others, and salts by chunk."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, number: int, common: np.ndarray, salts: int, window: int):
+        self.number, self.common, self.salts, self.window = number, common, salts, window
+        self.hot = max(1, min(number, len(common)))
+
+    def pack(self, text: Text, at: np.ndarray, doc: np.ndarray, owner: np.ndarray, check: np.ndarray, begin: np.ndarray, salt: int) -> Iterator[tuple[int, int, int, bytes]]:
+        """Rows (bucket, salt, number of windows, packed) of the windows at some word positions of a text.
+
+        doc numbers each window's stretch of words, which has an owner, a checksum, and begins at a word of it.
+        """
         packer = zstandard.ZstdCompressor(level=3)
+        gram = text.hashes(np.arange(len(text.starts) - MINIMISER + 1), MINIMISER) & np.uint64((1 << 63) - 1)
+        if len(self.common):  # common minimisers come last, so that no bucket gathers all that stands beside one
+            spot = np.minimum(np.searchsorted(self.common, gram), len(self.common) - 1)
+            gram = np.where(self.common[spot] == gram, gram | np.uint64(1 << 63), gram)
+        span = self.window - MINIMISER + 1
+        least = at + np.lib.stride_tricks.sliding_window_view(gram, span)[at].argmin(axis=1)
+        new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(doc) != 0) | (np.diff(least) != 0)])
+        heads = np.flatnonzero(new)
+        sizes = np.diff(np.concatenate([heads, [len(at)]]))
+        first, own, key = at[heads], doc[heads], gram[least[heads]]
+        hot = key >= np.uint64(1 << 63)
+        mixed = _mix(key)
+        bucket = np.where(hot, np.uint64(self.number) + mixed % np.uint64(self.hot), mixed % np.uint64(self.number)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        first, own, sizes, bucket, hot = first[order], own[order], sizes[order], bucket[order], hot[order]
+        s, e = text.starts[first].tolist(), text.ends[first + sizes + self.window - 2].tolist()
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0, [True]])).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            meta = np.concatenate([[b - a], owner[own[a:b]], check[own[a:b]], begin[own[a:b]] + first[a:b], sizes[a:b]]).astype("<i8").tobytes()
+            yield int(bucket[a]), salt if hot[a] else 0, int(sizes[a:b].sum()), packer.compress(meta + b"\n".join([text.blob[x:y] for x, y in zip(s[a:b], e[a:b], strict=True)]))
+
+
+ROWS, NAMES = "bucket long, salt int, n long, packed binary", ["bucket", "salt", "n", "packed"]
+KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    some = []
+    for r in rows:
+        some.append(r)
+        if len(some) == 500:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), KINDS, strict=True)], NAMES)
+            some = []
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), KINDS, strict=True)], NAMES)
+
+
+def _super_kmers(buckets: Buckets):
+    """Map side. Rows: bucket and packed super-k-mers, or (bucket < 0) a chunk's own finds."""
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held: dict = {}
         for ids, sums, bounds, blob in _chunks(batches):
             text = Text(blob, held)
-            at, doc = _windows(bounds, window)
+            at, doc = _windows(bounds, buckets.window)
             owner, check = np.array(ids, np.int64), np.array(sums, np.int64)
-            dup, first = first_owners(text, at, owner[doc], window)
+            dup, first = first_owners(text, at, owner[doc], buckets.window)
             heads, sizes = _flag_runs(at[dup], doc[dup])
             own = doc[dup][heads]
-            rows = [(-1 - (ids[0] % buckets), packer.compress(b"".join(x.astype("<i8").tobytes() for x in (owner[own], check[own], at[dup][heads] - bounds[own], sizes))))] if len(heads) else []
+            salt = zlib.crc32(np.array([ids[0], sums[0]], "<i8").tobytes())
+            if len(heads):
+                yield -1 - salt, 0, 0, zstandard.compress(b"".join(x.astype("<i8").tobytes() for x in (owner[own], check[own], at[dup][heads] - bounds[own], sizes)))
             # Of a chunk's equal windows, those of the smallest owner alone travel.
-            at, doc = at[first], doc[first]
-            gram = text.hashes(np.arange(len(text.starts) - MINIMISER + 1), MINIMISER)
-            spot = np.minimum(np.searchsorted(common, gram), max(0, len(common) - 1))
-            if len(common):  # common minimisers come last, so that no bucket gathers all that stands beside one
-                gram = np.where(common[spot] == gram, gram | np.uint64(1 << 63), gram & np.uint64((1 << 63) - 1))
-            else:
-                gram &= np.uint64((1 << 63) - 1)
-            span = window - MINIMISER + 1
-            least = at + np.lib.stride_tricks.sliding_window_view(gram, span)[at].argmin(axis=1)
-            new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(doc) != 0) | (np.diff(least) != 0)])
-            heads = np.flatnonzero(new)
-            sizes = np.diff(np.concatenate([heads, [len(at)]]))
-            begin, own = at[heads], doc[heads]
-            bucket = (_mix(gram[least[heads]]) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            begin, own, sizes, bucket = begin[order], own[order], sizes[order], bucket[order]
-            s, e = text.starts[begin].tolist(), text.ends[begin + sizes + window - 2].tolist()
-            cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0, [True]])).tolist()
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                meta = np.concatenate([[b - a], owner[own[a:b]], check[own[a:b]], begin[a:b] - bounds[own[a:b]], sizes[a:b]]).astype("<i8").tobytes()
-                rows.append((int(bucket[a]), packer.compress(meta + b"\n".join([blob[x:y] for x, y in zip(s[a:b], e[a:b], strict=True)]))))
-            for i in range(0, len(rows), 500):
-                part = rows[i : i + 500]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary())], ["bucket", "packed"])
+            if first.any():
+                yield from buckets.pack(text, at[first], doc[first], owner, check, -bounds[:-1], salt % buckets.salts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(chunks(batches))
+        release()
 
     return run
 
 
-def _judge(packed: list[bytes], window: int, held: dict) -> tuple[np.ndarray, ...]:
-    """Owners, checksums, begins and lengths of the runs of a bucket's windows that a smaller owner has too."""
+def _judge(packed: list[bytes], window: int, held: dict) -> tuple[tuple[np.ndarray, ...], tuple]:
+    """Owners, checksums, begins and lengths of the runs of a bucket's windows that a smaller owner has too; and the
+    windows of the smallest owners, as Buckets.pack takes them."""
     metas, texts = [], []
     for p in packed:
         raw = zstandard.decompress(p)
@@ -203,37 +239,52 @@ def _judge(packed: list[bytes], window: int, held: dict) -> tuple[np.ndarray, ..
     offset = np.cumsum(words) - words
     which = np.repeat(np.arange(len(size)), size)
     step = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-    dup, _ = first_owners(text, offset[which] + step, owner[which], window)
+    dup, first = first_owners(text, offset[which] + step, owner[which], window)
     heads, sizes = _flag_runs(step[dup], which[dup])
     of = which[dup][heads]
-    return owner[of], check[of], begin[of] + step[dup][heads], sizes
+    return (owner[of], check[of], begin[of] + step[dup][heads], sizes), (text, (offset[which] + step)[first], which[first], owner, check, begin - offset)
 
 
-def _judge_rows(window: int):
-    names = ["id", "checksum", "begin", "length"]
+def _judge_rows(buckets: Buckets, again: bool):
+    """Reduce side: rows sorted by bucket and salt. Runs (kind 0), and what of hot buckets is to be judged again (kind 1)."""
+    names = ["kind", "id", "checksum", "begin", "length", *NAMES]
+    types = (pa.int32(), *(pa.int64(),) * 4, *KINDS)
+
+    def runs(found) -> pa.RecordBatch:
+        n = len(found[0])
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in found), *(pa.nulls(n, k) for k in KINDS)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
+
+        def done(key: tuple, packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+            found, left = _judge(packed, buckets.window, held)
+            if len(found[0]):
+                yield runs(found)
+            if again and key[0] >= buckets.number:
+                for part in _batches(buckets.pack(*left, 0)):
+                    yield pa.RecordBatch.from_arrays([pa.array([1] * len(part), pa.int32()), *(pa.nulls(len(part), k) for k in types[1:5]), *part.columns], names)
+
         now, packed = None, []
         for batch in batches:
-            for key, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key < 0:
-                    found = np.frombuffer(zstandard.decompress(p), "<i8").reshape(4, -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names)
+            for bucket, salt, p in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True):
+                if bucket < 0:
+                    yield runs(np.frombuffer(zstandard.decompress(p), "<i8").reshape(4, -1))
                     continue
-                if key != now and packed:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in _judge(packed, window, held)], names)
+                if (bucket, salt) != now and packed:
+                    yield from done(now, packed)
                     packed = []
-                now = key
+                now = (bucket, salt)
                 packed.append(p)
         if packed:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _judge(packed, window, held)], names)
+            yield from done(now, packed)
+        release()
 
     return run
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> tuple[DataFrame, str]:
-    """Runs (id, checksum, begin, length) of windows that also start in a document with a smaller id, as a staged table."""
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> tuple[DataFrame, list[str]]:
+    """Runs (id, checksum, begin, length) of windows that also start in a document with a smaller id; and where they are staged."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     counted, counted_at = staged(rows.mapInArrow(_count_minimisers, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "minimisers")
@@ -242,10 +293,21 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     often = counted.where((F.col("kind") == 0) & (F.col("n") >= COMMON * words)).select("key").collect()
     common = np.sort(np.array([r.key for r in often], np.int64).view(np.uint64))
     drop_path(spark, counted_at)
-    buckets = max(partitions(spark), 1 + words // BUCKET_WINDOWS)
-    sent = rows.mapInArrow(_super_kmers(int(buckets), common, window), "bucket long, packed binary")
-    dealt = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    return staged(dealt.mapInArrow(_judge_rows(window), "id long, checksum long, begin long, length long"), "repeats")
+    parts = partitions(spark)
+    buckets = Buckets(int(max(parts, 1 + words // BUCKET_WINDOWS)), common, int(1 + words // (CHUNK_WORDS * SALT_CHUNKS)), window)
+    out = f"kind int, id long, checksum long, begin long, length long, {ROWS}"
+
+    def judged(sent: DataFrame, again: bool) -> DataFrame:
+        # Buckets go to partitions in turn, so that each partition has as many.
+        part = F.pmod(F.when(F.col("bucket") < 0, F.col("bucket")).otherwise(F.col("bucket") + F.col("salt") * 7919), F.lit(parts)).cast("int")
+        return sent.repartitionById(parts, part).sortWithinPartitions("bucket", "salt").mapInArrow(_judge_rows(buckets, again), out)
+
+    found, path = staged(judged(rows.mapInArrow(_super_kmers(buckets), ROWS), buckets.salts > 1), "repeats")
+    paths, runs = [path], found.where("kind = 0")
+    if buckets.salts > 1:
+        found, path = staged(judged(found.where("kind = 1").select(*NAMES), False), "repeats")
+        paths, runs = [*paths, path], runs.unionAll(found)
+    return runs.select("id", "checksum", "begin", "length"), paths
 
 
 ADDED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())])
@@ -258,18 +320,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smaller id, in the input as it is. Consecutive windows with one minimiser (the least-hashed three words in them,
     common ones last) travel as one packed string to the minimiser's bucket; there, sorting brings equal windows together
     and their bytes are compared. Chunks keep only the first of equal windows before the shuffle and judge the others
-    themselves, so that a window in a third of all documents is shuffled once per chunk.
+    themselves, and buckets of common minimisers are judged by salts of chunks first and then once more, so that a window
+    in a third of all documents is nowhere gathered as often as it occurs.
 
     Null and empty texts have no words; a null id neither loses words nor takes them from others; rows with one id don't
     take words from each other. An empty table gives no rows. A column of docs named as one of the added gives way.
     """
     runs, _ = repeated_windows(docs, id_col, text_col, window)
-    release_shuffles(docs.sparkSession)  # the super-k-mers are out of use
     # A document's runs are no more than its words.
-    flags = runs.groupBy("id", "checksum").agg(F.collect_list(F.struct("begin", "length")).alias("runs"))
-    body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    marked = docs.withColumn("__sum", F.crc32(body)).join(flags, (F.col(id_col) == F.col("id")) & (F.col("__sum") == F.col("checksum")), "left")
-    marked = marked.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("runs.begin").alias("__begin"), F.col("runs.length").alias("__length"))
+    flags = runs.groupBy(F.col("id").alias("__id"), F.col("checksum").alias("__sum")).agg(F.collect_list(F.struct("begin", "length")).alias("__runs"))
+    at = [c.lower() for c in docs.columns]
+    i, t = f"c{at.index(id_col.lower())}", f"c{at.index(text_col.lower())}"
+    body = F.coalesce(F.col(t), F.lit("")).cast("binary")
+    marked = positional(docs).withColumn("__crc", F.crc32(body)).join(flags, (F.col(i) == F.col("__id")) & (F.col("__crc") == F.col("__sum")), "left")
+    marked = marked.select(*(f"c{k}" for k in range(len(at))), F.col("__runs.begin"), F.col("__runs.length")).toDF(*docs.columns, "__begin", "__length")
 
     def make_worker():
         def worker(batch: pa.RecordBatch) -> list[pa.Array]:
