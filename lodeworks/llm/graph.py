@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,19 @@ def forest(pairs) -> list[tuple[int, int]]:
     return out
 
 
+def spread(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels of the components of nodes 0 to n - 1 after links a to b join those that labels has: the smallest node of each."""
+    while True:
+        la, lb = labels[a], labels[b]
+        apart = la != lb
+        if not apart.any():
+            return labels
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(labels, np.maximum(la, lb), np.minimum(la, lb))
+        while (labels[labels] != labels).any():
+            labels = labels[labels]
+
+
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         stars = forest(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))

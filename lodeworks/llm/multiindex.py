@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import drop_path, partitions, staged
-from lodeworks.llm.graph import components, forest
+from lodeworks.llm.common import drop_path, partitions, release, staged
+from lodeworks.llm.graph import components, spread
 
-#: Bound of the sample that codebooks and the number of visited cells are fitted on.
-SAMPLE = 20_000
-#: Vectors a cell holds about, and codewords a half has at most.
-PER_CELL, MOST_WORDS = 200, 256
-#: Home and visiting vectors of a cell that meet in one task.
-HOME_BLOCK, VISIT_BLOCK = 4096, 16384
+#: Bounds of the sample that codebooks and the number of visited cells are fitted on: rows, and bytes of its vectors.
+SAMPLE, SAMPLE_BYTES = 20_000, 64_000_000
+#: Vectors a cell is home to about, and sampled vectors a codeword stands for at least.
+PER_CELL, PER_WORD = 200, 4
+#: Vectors of a cell that meet in one task; a larger cell is dealt into parts, and each two of them meet.
+PART = 4096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
@@ -33,27 +33,41 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray
 
 
 class MultiIndex:
-    """Two codebooks, one for each half of the unit vectors, and how many cells of their product a search visits."""
+    """Two codebooks, one for each half of the unit vectors, and how many cells of their product a vector visits.
+
+    Two vectors meet if their visits have a cell in common. The number of visits is the least that gives the target recall
+    for partners at exactly the threshold, in random directions from sampled vectors.
+    """
 
     def __init__(self, sample: np.ndarray, total: int, threshold: float, recall: float):
-        k = int(min(MOST_WORDS, max(2, round((total / PER_CELL) ** 0.5)), len(sample)))
+        k = int(min(max(2, round((total / PER_CELL) ** 0.5)), max(2, len(sample) // PER_WORD), len(sample)))
         half = sample.shape[1] // 2
         self.half, self.k = half, k
         self.words = (kmeans(sample[:, :half], k), kmeans(sample[:, half:], k))
-        # The hardest partners: at exactly the threshold, in random directions.
         rng = np.random.default_rng(11)
         a = sample[rng.permutation(len(sample))[:4000]]
         noise = rng.standard_normal(a.shape)
         noise -= (noise * a).sum(1, keepdims=True) * a
         size = np.linalg.norm(noise, axis=1, keepdims=True)
         b = threshold * a + (1 - threshold**2) ** 0.5 * noise / np.maximum(size, 1e-300)
-        ranks = np.empty(len(a), np.int64)
-        homes = self.cells(b, 1)[:, 0]
-        for i in range(0, len(a), 64):
-            d1, d2 = self.distances(a[i : i + 64])
-            grid = (d1[:, :, None] + d2[:, None, :]).reshape(len(d1), -1)
-            ranks[i : i + 64] = (grid < np.take_along_axis(grid, homes[i : i + 64, None], 1)).sum(1)
-        self.visits = int(min(k * k, 1 + np.quantile(ranks, recall, method="higher")))
+        most = min(16, k * k)
+        while True:  # until the target recall
+            need = self._meeting(self.cells(a, most), self.cells(b, most))
+            if most == k * k or (need <= most).mean() >= recall:
+                break
+            most = min(2 * most, k * k)
+        self.visits = int(min(most, np.quantile(need, recall, method="higher")))
+
+    @staticmethod
+    def _meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The number of visits from which on the lists of a row in a and in b have a cell in common."""
+        n = a.shape[1]
+        reach = np.maximum(np.arange(n)[:, None], np.arange(n)[None, :]) + 1
+        out, step = np.empty(len(a), np.int64), max(1, 4_000_000 // (n * n))
+        for i in range(0, len(a), step):
+            same = a[i : i + step, :, None] == b[i : i + step, None, :]
+            out[i : i + step] = np.where(same, reach, n + 1).reshape(len(same), -1).min(axis=1)
+        return out
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return tuple(((w**2).sum(1) - 2 * (part @ w.T)) for w, part in zip(self.words, (x[:, : self.half], x[:, self.half :]), strict=True))
@@ -75,64 +89,95 @@ class MultiIndex:
         return np.take_along_axis(o1, r[first], 1) * self.k + np.take_along_axis(o2, s[first], 1)
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def packed(x: np.ndarray) -> bytes:
+    """A vector's components in single precision if that loses nothing, else in double precision; no -0.0.
+
+    The largest component is scaled to between a half and one by a power of two, which keeps every digit and lets neither
+    tiny nor huge vectors leave the range of numbers when they are squared.
+    """
+    x = np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])) + 0.0
+    with np.errstate(under="ignore"):
+        short = x.astype("<f4")
+    return short.tobytes() if (short == x).all() else x.astype("<f8").tobytes()
+
+
+def unit(raw: list[bytes], dims: int) -> np.ndarray:
+    """Unit vectors from packed ones of so many dimensions."""
+    x = np.empty((len(raw), dims))
+    for short in (True, False):
+        at = [i for i, r in enumerate(raw) if (len(r) == 4 * dims) == short]
+        if at:
+            x[at] = np.frombuffer(b"".join([raw[i] for i in at]), "<f4" if short else "<f8").reshape(len(at), dims)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
+        out, dims = [], []
         for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             x = None
             if i is not None and v.is_valid and not v.values.null_count:
                 x = np.asarray(v.values.to_numpy(zero_copy_only=False), dtype="<f8")
                 x = x if len(x) and np.isfinite(x).all() and x.any() else None
-            out.append(None if x is None else (x + 0.0).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "raw"])
+            out.append(None if x is None else packed(x))
+            dims.append(None if x is None else len(x))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(dims, pa.int32())], ["id", "raw", "dims"])
+    release()
+
 
+def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first cell of each row of a, which is sorted, that the row of b has too; -1 if there is none."""
+    out = np.full(len(a), -1, a.dtype)
+    for v in range(a.shape[1]):
+        open_ = np.flatnonzero(out < 0)
+        here = (b[open_] == a[open_, v][:, None]).any(axis=1)
+        out[open_[here]] = a[open_[here], v]
+    return out
 
-def _verify(threshold: float):
-    """Rows sorted by block and kind: a block's home vectors come first and its visitors stream past them."""
+
+def _verify(threshold: float, dims: int):
+    """Rows sorted by block: all pairs of a block, or of its two parts, are verified by cosine.
+
+    A pair counts in the first cell that both its vectors visit, so that no pair counts twice.
+    """
     names = ["id", "links", "other"]
 
-    def meet(homes: list, visitors: list) -> pa.RecordBatch:
-        hid, hn = np.array([h[0] for h in homes], np.int64), np.array([h[1] for h in homes], np.int64)
-        hx, hvisits = unit([h[2] for h in homes]), np.array([np.frombuffer(h[3], "<i4") for h in homes])
-        vid, vn = np.array([v[0] for v in visitors], np.int64), np.array([v[1] for v in visitors], np.int64)
-        vx, vhome = unit([v[2] for v in visitors]), np.array([np.frombuffer(v[3][:4], "<i4")[0] for v in visitors])
-        given, taken, pairs = np.zeros(len(vid), np.int64), np.zeros(len(hid), np.int64), []
-        for i in range(0, len(vid), 512):
-            a, b = np.nonzero(vx[i : i + 512] @ hx.T >= threshold)
-            a += i
-            other = vid[a] != hid[b]
-            a, b = a[other], b[other]
+    def meet(cell: int, two: bool, rows: list) -> pa.RecordBatch:
+        ids, n = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+        part, x = np.array([r[0] for r in rows]), unit([r[3] for r in rows], dims)
+        cells = np.array([np.frombuffer(r[4], "<i4") for r in rows])
+        links, labels = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for i in range(0, len(ids), 512):
+            a, b = np.nonzero(x[i : i + 512] @ x[i:].T >= threshold)
+            own = a < b
+            a, b = a[own] + i, b[own] + i
+            if two:
+                own = part[a] != part[b]
+                a, b = a[own], b[own]
             if not len(a):
                 continue
-            np.add.at(given, a, hn[b])
-            # The home vector gets its count here only if its own visits don't reach the visitor's cell.
-            back = (hvisits[b] == vhome[a][:, None]).any(1)
-            np.add.at(taken, b[~back], vn[a[~back]])
-            pairs = forest([*pairs, *zip(vid[a].tolist(), hid[b].tolist(), strict=True)])
-        ids = np.concatenate([vid[given > 0], hid[taken > 0], [p[0] for p in pairs]]).astype(np.int64)
-        links = np.concatenate([given[given > 0], taken[taken > 0], np.zeros(len(pairs), np.int64)])
-        other = pa.array([None] * (len(ids) - len(pairs)) + [p[1] for p in pairs], pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), other], names)
+            own = _first_shared(cells[a], cells[b]) == cell
+            a, b = a[own], b[own]
+            np.add.at(links, a, n[b])
+            np.add.at(links, b, n[a])
+            labels = spread(labels, a, b)
+        found = np.flatnonzero(links)
+        far = np.flatnonzero(labels != np.arange(len(ids)))
+        other = pa.array([None] * len(found) + ids[labels[far]].tolist(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[found], ids[far]])), pa.array(np.concatenate([links[found], np.zeros(len(far), np.int64)])), other], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, homes, visitors = None, [], []
+        block, rows = None, []
         for batch in batches:
-            for key, kind, i, n, raw, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, part, i, n, raw, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != block:
-                    if homes and visitors:
-                        yield meet(homes, visitors)
-                    block, homes, visitors = key, [], []
-                (visitors if kind else homes).append((i, n, raw, cells))
-                if len(visitors) >= 2048 and homes:
-                    yield meet(homes, visitors)
-                    visitors = []
-        if homes and visitors:
-            yield meet(homes, visitors)
+                    if len(rows) > 1:
+                        yield meet(block[0], block[1] != block[2], rows)
+                    block, rows = key, []
+                rows.append((part, i, n, raw, cells))
+        if len(rows) > 1:
+            yield meet(block[0], block[1] != block[2], rows)
+        release()
 
     return run
 
@@ -140,92 +185,74 @@ def _verify(threshold: float):
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, recall: float = 0.995) -> DataFrame:
     """One row per vector: id, n_links, component_id and kept (whether it is the first of its component).
 
-    Equal vectors form one class first. Each class lives in the cell of its nearest codeword pair and visits the first
-    cells of its multi-sequence traversal, as many as give the target recall for partners at exactly the threshold; a
-    pair is found if either visits the other's cell, and each side counts it once. All found pairs are verified by cosine
-    in double precision: none below the threshold links. Cells of more than a block's vectors are split into blocks of
-    home and visiting vectors, and only counts and a spanning forest leave a block, not its pairs.
+    Equal vectors form one class first. Each class visits the first cells of its multi-sequence traversal, nearest first
+    and as many as give the target recall for partners at exactly the threshold; classes with a cell in common meet there,
+    and all found pairs are verified by cosine in double precision: none below the threshold links. A cell of more than
+    PART classes is dealt into parts, each two of which meet in a task of their own. Only counts and a spanning forest
+    leave a task, not its pairs.
 
     Vectors that are null, empty, zero, or have null or non-finite components, and rows with a null id, link with nothing
     and are their own component. Vectors of each length have an index of their own; those of one component link by sign.
     Repeated rows count as vectors of their own. An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows, _ = staged(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(_valid, "id long, raw binary").withColumn("key", F.md5("raw")), "vectors")
-    classes, classes_at = staged(rows.where("raw is not null").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.any_value("raw").alias("raw")), "classes")
+    rows, _ = staged(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(_valid, "id long, raw binary, dims int").withColumn("key", F.md5("raw")), "vectors")
+    classes = rows.where("raw is not null").groupBy("dims", "key").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.any_value("raw").alias("raw"))
+    classes, classes_at = staged(classes, "classes")
     # One row per length.
-    sizes = sorted((r["size"], r["count"]) for r in classes.groupBy(F.octet_length("raw").alias("size")).count().collect())
-    own = classes.where("false").select(F.col("key").alias("k"), F.col("n").alias("n_links"), F.col("first").alias("component_id"))
-    for size, total in sizes:
-        own = own.unionAll(_linked(classes.where(F.octet_length("raw") == size), size, total, threshold, recall))
+    sizes = sorted((r.dims, r["count"]) for r in classes.groupBy("dims").count().collect())
+    own = classes.where("false").select("dims", F.col("key").alias("k"), F.col("n").alias("n_links"), F.col("first").alias("component_id"))
+    for dims, total in sizes:
+        own = own.unionAll(_linked(classes.where(F.col("dims") == dims), dims, total, threshold, recall))
     drop_path(spark, classes_at)
-    out = rows.select("id", "key").join(own, F.col("key") == F.col("k"), "left")
+    out = rows.select("id", "key", F.col("dims").alias("d")).join(own, (F.col("key") == F.col("k")) & (F.col("d") == F.col("dims")), "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def _linked(classes: DataFrame, size: int, total: int, threshold: float, recall: float) -> DataFrame:
-    """(k, n_links, component_id) of classes of equal vectors of one length, size bytes each; written."""
+def _linked(classes: DataFrame, dims: int, total: int, threshold: float, recall: float) -> DataFrame:
+    """(dims, k, n_links, component_id) of classes of equal vectors of one length; written."""
     spark = classes.sparkSession
-    if size == 8:
-        signed = classes.withColumn("sign", F.substring(F.hex("raw"), 15, 1) >= "8")
+    if dims == 1:
+        signed = classes.withColumn("sign", F.substring(F.hex("raw"), -2, 2) >= "80")
         groups = signed.groupBy("sign").agg(F.sum("n").alias("all"), F.min("first").alias("component_id"))
-        own = signed.join(groups, "sign").select(F.col("key").alias("k"), (F.col("all") - 1).alias("n_links"), "component_id")
+        own = signed.join(groups, "sign").select("dims", F.col("key").alias("k"), (F.col("all") - 1).alias("n_links"), "component_id")
     elif total > 1:
-        sample = classes.orderBy("key").limit(SAMPLE).select("raw").collect()
-        index = MultiIndex(unit([r.raw for r in sample]), total, threshold, recall)
-        place = lambda batches: _place(index, batches)
-        placed, placed_at = staged(classes.select("first", "n", "raw").mapInArrow(place, "id long, n long, raw binary, cells binary, visits array<int>"), "placed")
-        # One row per cell: at most MOST_WORDS ** 2.
-        homes = {r.cell: r["count"] for r in placed.groupBy(F.col("visits")[0].alias("cell")).count().collect()}
-        visits = {r.cell: r["count"] for r in placed.select(F.explode("visits").alias("cell")).groupBy("cell").count().collect()}
-        cut = {c: (-(-n // HOME_BLOCK), -(-visits.get(c, 1) // VISIT_BLOCK)) for c, n in homes.items()}
-
-        def deal(batches):
-            for batch in batches:
-                out = []
-                for i, n, raw, cells in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                    own, salt = np.frombuffer(cells, "<i4").tolist(), (i * 0x9E3779B97F4A7C15 >> 20) & 0xFFFFFF
-                    h, v = cut[own[0]]
-                    out += [((own[0] << 32) | (salt % h) << 16 | k, 0, i, n, raw, cells) for k in range(v)]
-                    for c in own:
-                        if c in cut:
-                            h, v = cut[c]
-                            out += [((c << 32) | k << 16 | (salt % v), 1, i, n, raw, cells[:4]) for k in range(h)]
-                    if len(out) >= 4096:
-                        yield _dealt(out)
-                        out = []
-                if out:
-                    yield _dealt(out)
-
-        schema = "block long, kind int, id long, n long, raw binary, cells binary"
-        dealt = placed.select("id", "n", "raw", "cells").mapInArrow(deal, schema).repartition(partitions(spark), "block").sortWithinPartitions("block", "kind")
-        found, found_at = staged(dealt.mapInArrow(_verify(threshold), "id long, links long, other long"), "found")
+        sample = classes.orderBy("key").limit(max(256, min(SAMPLE, SAMPLE_BYTES // (8 * dims)))).select("raw").collect()
+        index = MultiIndex(unit([r.raw for r in sample], dims), total, threshold, recall)
+        place = lambda batches: _place(index, dims, batches)
+        placed, placed_at = staged(classes.select(F.col("first").alias("id"), "n", "raw").mapInArrow(place, "id long, n long, raw binary, cells binary, visits array<int>"), "placed")
+        # Cells with more classes than a part holds; Spark broadcasts them only below its own threshold.
+        large = placed.select(F.explode("visits").alias("cell")).groupBy("cell").count().where(F.col("count") > PART)
+        large = large.select(F.col("cell").alias("large_cell"), F.ceil(F.col("count") / PART).cast("int").alias("parts"))
+        visits = placed.select("id", "n", "raw", "cells", F.explode("visits").alias("cell")).join(large, F.col("cell") == F.col("large_cell"), "left")
+        visits = visits.withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))
+        others = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+        dealt = visits.select("cell", "part", "id", "n", "raw", "cells", F.explode(others).alias("with"))
+        dealt = dealt.select("cell", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "id", "n", "raw", "cells")
+        dealt = dealt.repartition(partitions(spark), "cell", "low", "high").sortWithinPartitions("cell", "low", "high")
+        found, found_at = staged(dealt.mapInArrow(_verify(threshold, dims), "id long, links long, other long"), "found")
         stars, stars_at = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
         links = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
-        own = classes.select("key", "first", "n").join(links, F.col("first") == F.col("id"), "left").join(stars, F.col("first") == F.col("a"), "left")
-        own = own.select(F.col("key").alias("k"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("b", "first").alias("component_id"))
+        own = classes.join(links, F.col("first") == F.col("id"), "left").join(stars, F.col("first") == F.col("a"), "left")
+        own = own.select("dims", F.col("key").alias("k"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("b", "first").alias("component_id"))
         own, _ = staged(own, "linked")
         for path in (placed_at, found_at, stars_at):
             drop_path(spark, path)
         return own
     else:
-        own = classes.select(F.col("key").alias("k"), (F.col("n") - 1).alias("n_links"), F.col("first").alias("component_id"))
+        own = classes.select("dims", F.col("key").alias("k"), (F.col("n") - 1).alias("n_links"), F.col("first").alias("component_id"))
     return staged(own, "linked")[0]
 
 
-def _place(index: MultiIndex, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _place(index: MultiIndex, dims: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes with their visited cells, in order of number: packed, and as a list."""
     for batch in batches:
         for i in range(0, batch.num_rows, 1024):
             part = batch.slice(i, 1024)
-            cells = index.cells(unit(part.column(2).to_pylist())).astype("<i4")
-            lists = pa.array(list(cells), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in cells], pa.binary()), lists], ["id", "n", "raw", "cells", "visits"])
-
-
-def _dealt(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "kind", "id", "n", "raw", "cells"])
+            cells = np.sort(index.cells(unit(part.column(2).to_pylist(), dims)).astype("<i4"), axis=1)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in cells], pa.binary()), pa.array(list(cells), pa.list_(pa.int32()))], ["id", "n", "raw", "cells", "visits"])
+    release()
 
 
 ORACLE = """
