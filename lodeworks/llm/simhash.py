@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import drop_path, partitions, staged
-from lodeworks.llm.graph import components, forest
+from lodeworks.llm.common import drop_path, partitions, positional, release, staged
+from lodeworks.llm.graph import components, forest, spread
 
 RADIUS = 3
 #: Each part of the 64 bits is left out once: 3 differing bits always have one in some part, and 2 remain elsewhere.
@@ -40,6 +40,7 @@ def _print_rows(shingle: int, seed: int):
         for batch in batches:
             prints = np.array([fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], ["id", "sum", "print"])
+        release()
 
     return run
 
@@ -63,20 +64,40 @@ def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(p.view(np.int64))], ["key", "print"])
 
 
+#: Prints of a bucket that are all compared; more are dealt by 16-bit quarters first.
+BUCKET = 2048
+
+
+def _close(prints: np.ndarray, labels: np.ndarray, spots: np.ndarray, radius: int) -> np.ndarray:
+    """labels after all pairs of the prints at some spots are compared, strip by strip."""
+    some = prints[spots]
+    for i in range(0, len(some), 256):
+        a, b = np.nonzero(np.bitwise_count(some[i : i + 256, None] ^ some[None, i:]) <= radius)
+        labels = spread(labels, spots[a + i], spots[b + i])
+    return labels
+
+
 def bucket_links(prints: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Spanning links of one bucket: pairs are compared strip by strip, and only a forest of those within the radius leaves."""
-    found: list[tuple[int, int]] = []
-    for i in range(0, len(prints), 256):
-        near = np.bitwise_count(prints[i : i + 256, None] ^ prints[None, :]) <= radius
-        a, b = np.nonzero(near)
-        keep = a + i < b
-        found += zip(prints[a[keep] + i].view(np.int64).tolist(), prints[b[keep]].view(np.int64).tolist(), strict=True)
-        found = forest(found)
-    return found
+    """Star links of one bucket's distinct prints: pairs are compared, and only a forest of those within the radius leaves.
+
+    In a large bucket, prints are compared where one of their four 16-bit quarters agrees, as it does within three bits.
+    """
+    labels = np.arange(len(prints))
+    if len(prints) <= BUCKET or radius > 3:
+        labels = _close(prints, labels, labels.copy(), radius)
+    else:
+        for k in range(4):
+            quarter = (prints >> np.uint64(16 * k)) & np.uint64(0xFFFF)
+            order = np.argsort(quarter, kind="stable")
+            for spots in np.split(order, np.flatnonzero(np.diff(quarter[order])) + 1):
+                if len(spots) > 1:
+                    labels = _close(prints, labels, spots, radius)
+    far = np.flatnonzero(labels != np.arange(len(prints)))
+    return list(zip(prints[far].view(np.int64).tolist(), prints[labels[far]].view(np.int64).tolist(), strict=True))
 
 
 def _link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; a bucket that isn't complete at a batch's end waits for the next batch."""
+    """Rows come sorted by key; a bucket that isn't complete at a batch's end waits for its next batches."""
 
     def links(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
         cut = np.flatnonzero(np.diff(keys)) + 1
@@ -90,18 +111,20 @@ def _link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = zip(*pairs, strict=True) if pairs else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    keys, prints = np.empty(0, np.int64), np.empty(0, np.uint64)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
-        prints = np.concatenate([prints, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+        keys, prints = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
         whole = int(np.searchsorted(keys, keys[-1]))
-        if whole:
-            yield links(keys[:whole], prints[:whole])
-            keys, prints = keys[whole:], prints[whole:]
-    if len(keys):
-        yield links(keys, prints)
+        if whole or (waiting and waiting[0][0][0] != keys[0]):
+            done = [*waiting, (keys[:whole], prints[:whole])]
+            yield links(*map(np.concatenate, zip(*done, strict=True)))
+            waiting = []
+        waiting.append((keys[whole:], prints[whole:]))
+    if waiting:
+        yield links(*map(np.concatenate, zip(*waiting, strict=True)))
+    release()
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -128,7 +151,8 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3, seed:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("sum"))
     prints, _ = staged(rows.mapInArrow(_print_rows(shingle, seed), f"id {kind}, sum long, print long"), "prints")
     distinct = prints.groupBy("print").agg(F.min("id").alias("first"))
-    balls = distinct.select("print").mapInArrow(_variant_rows, "key long, print long")
+    # Each print becomes 131 rows: they are dealt out anew, as adaptive execution sees few bytes and would merge them.
+    balls = distinct.select("print").repartition(partitions(spark)).mapInArrow(_variant_rows, "key long, print long")
     dealt = balls.repartition(partitions(spark), "key").sortWithinPartitions("key")
     links, links_at = staged(dealt.mapInArrow(_link_rows, "a long, b long").distinct(), "links")
     stars, stars_at = components(links)
@@ -147,7 +171,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     component has no other id. Null and empty texts form one component. An empty table stays empty; other columns pass
     unchanged.
     """
-    groups = grouped(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id"))).select("id", "sum").distinct()
+    groups = grouped(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("sum").alias("__sum")).distinct()
     groups, _ = staged(groups, "kept")
-    same = docs[id_col].eqNullSafe(groups["id"]) & (F.xxhash64(docs[text_col]) == groups["sum"])
-    return docs.join(groups, same, "left_semi")
+    rows, at = positional(docs), [c.lower() for c in docs.columns]
+    same = F.col(f"c{at.index(id_col.lower())}").eqNullSafe(F.col("__id")) & (F.xxhash64(f"c{at.index(text_col.lower())}") == F.col("__sum"))
+    return rows.join(groups, same, "left_semi").toDF(*docs.columns)
