@@ -5,14 +5,15 @@ from __future__ import annotations
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeworks.llm.common import annotate, prefixed, staged
+from lodeworks.llm.common import annotate, drop_path, prefixed, release, staged
 
 #: Bound of the labelled sample the grammar's weights are fitted on, by label. Rows are taken in the order of a hash.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3000, 9000
@@ -29,15 +30,99 @@ REPORTING = "said says say saying called calls calling claimed claims wrote writ
 TAGS = {w: tag for tag, words in (("R", REPORTING), ("N", NEGATION), ("Y", TARGETS), ("M", INTENT)) for w in words}
 WORD = re.compile(r"[^\W_]+")
 CLAUSE = re.compile(r"[.!?;:\n\r]+")
-#: Reach, in words, of a negation, of an intent before a threat, and of a target on either side.
-REACH = {"N": 3, "M": 3, "Y": 4}
-#: Prior precision of a pattern (kind, negated, reported, aimed), worth PRIOR_DOCS documents; labels move it.
+#: Labels move a pattern's weight away from its path's as if that were worth so many documents.
 PRIOR_DOCS = 4
 
 
-def prior(kind: str, negated: bool, reported: bool, aimed: bool) -> float:
-    base = 0.92 if kind == "I" else 0.45
-    return (base + (0.04 if kind == "I" else 0.4) * aimed) * (0.4 if negated else 1) * (0.5 if reported else 1)
+class Transducer(NamedTuple):
+    """A deterministic weighted transducer: for each state and symbol read the next state, the symbol written and a weight.
+
+    Symbols are o, Y (target), N (negation), M (intent), R (reporting), I (insult) and T (threat), the last two with the
+    flags that transducers have given them.
+    """
+
+    start: object
+    arcs: dict[tuple[object, str], tuple[object, str, float]]
+
+    def run(self, symbols: Iterable[str]) -> Iterator[tuple[str, float]]:
+        state, arcs = self.start, self.arcs
+        for x in symbols:
+            state, y, weight = arcs[state, x]
+            yield y, weight
+
+    def written(self) -> list[str]:
+        return sorted({y for _, y, _ in self.arcs.values()})
+
+
+def reach(mark: str, words: int | None, kinds: str, flag: str, symbols: list[str], weight: float = 1.0) -> Transducer:
+    """Flags the symbols of some kinds that stand within so many words behind a mark, or anywhere behind it."""
+    arcs = {}
+    for left in range((words or 1) + 1):
+        for x in symbols:
+            hit = left > 0 and x[0] in kinds
+            then = (words or 1) if x == mark else left if words is None else max(0, left - 1)
+            arcs[left, x] = then, x + flag * hit, weight if hit else 1.0
+    return Transducer(0, arcs)
+
+
+def verdicts(symbols: list[str]) -> Transducer:
+    """Writes the pattern of each insult, and of each threat with an intent or a target before it: kind and the flags
+    a (aimed), n (negated), r (reported). All else becomes o."""
+    arcs = {}
+    for x in symbols:
+        aimed = "b" in x or "f" in x
+        if x[0] == "I" or x[0] == "T" and ("m" in x or "b" in x):
+            weight = {"I": (0.92, 0.96), "T": (0.45, 0.85)}[x[0]][aimed]
+            arcs[0, x] = 0, x[0] + "a" * aimed + "n" * ("n" in x) + "r" * ("r" in x), weight
+        else:
+            arcs[0, x] = 0, "o", 1.0
+    return Transducer(0, arcs)
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that writes what second makes of first's output; weights multiply along its arcs."""
+    start, arcs = (first.start, second.start), {}
+    todo, seen = [start], {start}
+    read = sorted({x for _, x in first.arcs})
+    while todo:
+        a, b = state = todo.pop()
+        for x in read:
+            na, y, wa = first.arcs[a, x]
+            nb, z, wb = second.arcs[b, y]
+            arcs[state, x] = (na, nb), z, wa * wb
+            if (na, nb) not in seen:
+                seen.add((na, nb))
+                todo.append((na, nb))
+    return Transducer(start, arcs)
+
+
+def cascade() -> tuple[Transducer, list[Transducer]]:
+    """What the grammar is composed of: a transducer of targets that reads a clause from its end, and those that read on
+    from its beginning, in order: targets, negation, intent, reported speech, verdicts."""
+    ahead = reach("Y", 4, "IT", "f", ["o", "Y", "N", "M", "R", "I", "T"])
+    steps: list[Transducer] = []
+    symbols = ahead.written()
+    for mark, words, kinds, flag, weight in (("Y", 4, "IT", "b", 1.0), ("N", 3, "IT", "n", 0.4), ("M", 3, "T", "m", 1.0), ("R", None, "IT", "r", 0.5)):
+        steps.append(reach(mark, words, kinds, flag, symbols, weight))
+        symbols = steps[-1].written()
+    return ahead, [*steps, verdicts(symbols)]
+
+
+class Composed:
+    """The grammar's transducers, composed: run over a clause's tags, it gives the patterns of the matches."""
+
+    def __init__(self):
+        self.ahead, (whole, *rest) = cascade()
+        for step in rest:
+            whole = compose(whole, step)
+        self.whole = whole
+        #: Each pattern's weight, as it multiplies along its path.
+        self.priors = {y: w for _, y, w in whole.arcs.values() if y != "o"}
+
+    def matches(self, tags: list[tuple[str, float]]) -> list[tuple[str, float]]:
+        """(pattern, term weight) of each match in a clause's tags."""
+        seen = [y for y, _ in self.ahead.run(x for x, _ in reversed(tags))]
+        return [(y, term) for (y, _), (_, term) in zip(self.whole.run(reversed(seen)), tags, strict=True) if y != "o"]
 
 
 class Lexicon:
@@ -74,32 +159,8 @@ class Lexicon:
         return found
 
 
-def clause_matches(tags: list[tuple[str, float]]) -> list[tuple[tuple[str, bool, bool, bool], float]]:
-    """The composed transducers' one pass over a clause's tags: (pattern, term weight) of each match.
-
-    States are the words left of a negation's, intent's and target's reach and whether reported speech has begun. A
-    target behind a match aims it too. A threat needs an intent or a target.
-    """
-    out, left, reported, last = [], {"N": 0, "M": 0, "Y": 0}, False, {}
-    for i, (tag, weight) in enumerate(tags):
-        if tag in ("I", "T"):
-            aimed = left["Y"] > 0
-            if tag == "I" or aimed or left["M"] > 0:
-                out.append([tag, left["N"] > 0, reported, aimed, weight])
-                last[len(out) - 1] = i
-        elif tag == "R":
-            reported = True
-        left = {k: max(0, v - 1) for k, v in left.items()}
-        if tag in left:
-            left[tag] = REACH[tag]
-        if tag == "Y":
-            for k, at in last.items():
-                if i - at <= REACH["Y"]:
-                    out[k][3] = True
-    return [((m[0], m[1], m[2], m[3]), m[4]) for m in out]
-
-
-def text_matches(text: str | None, lexicon: Lexicon) -> list[tuple[tuple[str, bool, bool, bool], float]]:
+def text_matches(text: str | None, lexicon: Lexicon, grammar: Composed) -> list[tuple[str, float]]:
+    """The matches of a whole text, clause by clause."""
     low = (text or "").lower()
     hits = lexicon.hits(low)
     if not hits:
@@ -114,14 +175,14 @@ def text_matches(text: str | None, lexicon: Lexicon) -> list[tuple[tuple[str, bo
             for m in WORD.finditer(low, at, end):
                 hit = hits.get(m.start())
                 tags.append((hit[0], hit[2]) if hit else (TAGS.get(m.group(), "o"), 0.0))
-            out += clause_matches(tags)
+            out += grammar.matches(tags)
             while k < len(starts) and starts[k] < end:
                 k += 1
         at = stop.end() if stop else end
     return out
 
 
-def score(matches, arcs: dict, floor: float) -> float:
+def score(matches: list[tuple[str, float]], arcs: dict[str, float], floor: float) -> float:
     """Noisy-or of the matched clauses' weights over the floor."""
     clean = 1 - floor
     for pattern, weight in matches:
@@ -204,34 +265,35 @@ class Grammar:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Grammar:
     """Fits the grammar on labelled rows that aren't held out, SAMPLE_TOXIC toxic and SAMPLE_CLEAN clean ones at most.
 
-    Only the ids and the label are read from labels. Rows with a null id or label don't count; without labels, or with
-    labels of one kind, the priors remain.
+    Only the ids and the label are read from labels. Rows with a null id or label don't count, labels that repeat count
+    once; without labels, or with labels of one kind, the priors remain. Documents that repeat an id count for its label.
     """
     own = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     dealt = [own.where(F.col("toxic") == y).orderBy(F.xxhash64("__id"), "__id").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     ids = dealt[0].union(dealt[1])
     # The sample's ids have a fixed bound of 12,000 rows.
-    sample, _ = staged(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "__id").select("text", "toxic"), "labelled")
+    sample, sample_at = staged(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "__id").select("text", "toxic"), "labelled")
     learned = learn_insults(sample)
     insults = {t: 0.85 for t in INSULTS} | learned
     threats = {t: 0.9 for t in THREATS}
 
     def patterns(batches):
-        lexicon = Lexicon(insults, threats)
+        lexicon, composed = Lexicon(insults, threats), Composed()
         for batch in batches:
-            rows = [(k, neg, rep, aim, y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, neg, rep, aim in ({m[0] for m in text_matches(t, lexicon)} or {("-", False, False, False)})]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32()))], ["kind", "negated", "reported", "aimed", "toxic"])
+            rows = [(p, y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in ({m[0] for m in text_matches(t, lexicon, composed)} or {"-"})]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int32()))], ["pattern", "toxic"])
+        release()
 
     counts: dict = defaultdict(lambda: [0, 0])
-    for r in sample.mapInArrow(patterns, "kind string, negated boolean, reported boolean, aimed boolean, toxic int").groupBy("kind", "negated", "reported", "aimed", "toxic").count().collect():
-        counts[r.kind, r.negated, r.reported, r.aimed][r.toxic] += r["count"]
+    # One row per pattern and label.
+    for r in sample.mapInArrow(patterns, "pattern string, toxic int").groupBy("pattern", "toxic").count().collect():
+        counts[r.pattern][r.toxic] += r["count"]
     arcs = {}
-    for kind in "IT":
-        for bits in range(8):
-            p = (kind, bool(bits & 4), bool(bits & 2), bool(bits & 1))
-            clean, toxic = counts.get(p, (0, 0))
-            arcs[p] = (toxic + PRIOR_DOCS * prior(*p)) / (toxic + clean + PRIOR_DOCS)
-    clean, toxic = counts.get(("-", False, False, False), (0, 0))
+    for pattern, weight in Composed().priors.items():
+        clean, toxic = counts.get(pattern, (0, 0))
+        arcs[pattern] = (toxic + PRIOR_DOCS * weight) / (toxic + clean + PRIOR_DOCS)
+    clean, toxic = counts.get("-", (0, 0))
+    drop_path(docs.sparkSession, sample_at)
     return Grammar(insults, arcs, min(0.3, (toxic + 0.02) / (toxic + clean + 1)))
 
 
@@ -239,17 +301,20 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, text_col: str = "text", th
     """docs with score (0 to 1), predicted (1 from the threshold on) and n_matches, by whole texts alone.
 
     The transducers for insults, threats, targets, negation and reported speech run composed over each clause that has a
-    term of the lexicon. Null and empty texts score the floor. One pass, no shuffle; a column of docs named as an added
-    one gives way.
+    term of the lexicon; a text's score is the noisy-or of its matches' weights. One pass, no shuffle.
+
+    Null and empty texts score the floor, long ones are read to their end; equal texts have equal scores, whatever their
+    ids, so that repeated rows and ties need no rule. An empty table gives no rows; a column of docs named as an added one
+    gives way.
     """
     insults, arcs, floor = grammar.insults, grammar.arcs, grammar.floor
     threats = {t: 0.9 for t in THREATS}
 
     def make_worker():
-        lexicon = Lexicon(insults, threats)
+        lexicon, composed = Lexicon(insults, threats), Composed()
 
         def worker(batch: pa.RecordBatch) -> list[pa.Array]:
-            found = [text_matches(t.as_py(), lexicon) for t in batch.column(0)]
+            found = [text_matches(t.as_py(), lexicon, composed) for t in batch.column(0)]
             scores = [score(m, arcs, floor) for m in found]
             return [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([len(m) for m in found], pa.int64())]
 
@@ -259,7 +324,11 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, text_col: str = "text", th
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """The documents that the grammar, fitted on labels, doesn't call toxic, with their own columns."""
+    """The documents that the grammar, fitted on labels, doesn't call toxic, with their own columns.
+
+    Null and empty texts stay, as do repeated rows of clean texts; rows without an id are judged as all others. An empty
+    table stays empty, and without labels the grammar's own weights decide.
+    """
     grammar = fit(docs if corpus is None else corpus, labels)
     judged = score_toxicity(docs, grammar, prefix="__verdict_")
     return judged.where(F.col("__verdict_predicted") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
