@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import running_before, staged
+from lodeworks.llm.common import positional, running_before, staged
 
 EPOCHS = 3
 BLANK = "[\\x20\\x09-\\x0D]"
@@ -22,7 +22,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: in
 
     Sources take the weights by turns in code point order, null last. What a capped source can't take goes to the others
     by weight. In the order of cap by weight, a source is capped exactly if the level that would hold with all before it
-    capped still lies above its own cap by weight; the last such level holds for the rest. One row per source.
+    capped still lies above its own cap by weight; the last such level holds for the rest. One row per source: one task
+    orders the sources, of which there may be some millions, not the documents.
     """
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
     weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -48,42 +49,65 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     told apart by size. Rows that repeat id and size are interchangeable: the set of results is the same on each run. An
     empty table gives no rows; other columns are ignored.
     """
-    return _mix(docs, id_col, source_col, text_col, weights, epochs).drop("__source")
+    return _mix(docs, id_col, source_col, text_col, weights, epochs).drop("__source", "__key", "__rounds")
+
+
+def _key(id_col: Column) -> Column:
+    return F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary"))
 
 
 def _mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS) -> DataFrame:
-    """mix with the documents' sources as __source."""
+    """mix with the documents' sources and keys as __source and __key, and the whole rounds of their source as __rounds."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
-    sized = sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    sized = sized.withColumn("key", _key(F.col("doc_id")))
     sized, _ = staged(sized, "sizes")  # texts are read and counted once
     placed, _ = running_before(sized, ["source"], ["key", "doc_id", "size"], {"before": "size"}, "mix")
-    goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "s")
+    goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, epochs).withColumnRenamed("source", "s")
     # One row per source, broadcast only if Spark finds it below its threshold.
     rows = placed.join(goals, F.col("source").eqNullSafe(F.col("s")), "left")
     budget = F.floor("target")
     rounds = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0))
     rest = F.greatest(F.lit(0), F.least(F.col("size"), budget - rounds * F.col("source_size") - F.col("before")))
-    return rows.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (rounds * F.col("size") + rest).cast("long").alias("taken"), F.col("source").alias("__source"))
+    return rows.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (rounds * F.col("size") + rest).cast("long").alias("taken"), F.col("source").alias("__source"), F.col("key").alias("__key"), rounds.cast("int").alias("__rounds"))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The documents as often as the mix takes them, to the nearest whole document, with their own columns.
 
     A document of which less than half is taken goes; one that is taken twice comes twice. Documents without words stay:
-    they cost no budget. Rows of equal id, size and source share the copies that the mix takes of them all: each gets as
-    many whole ones, and what is left over goes to the first of them by their texts' hash. The budget cuts at most one
-    such group of a source, so that hardly any rows have to be counted off.
+    they cost no budget. In the order of key, id and size a source's documents come once more than its whole rounds up to
+    a cut, and then as often as those, so that a plan of one row per source says it all and no text is shuffled. Rows that
+    are equal in key, id, size and source at the cut share the copies that fall to them, the first by their texts' hash
+    ahead; only these rows are counted off.
+
+    Null ids and sources count as in mix, an empty table stays empty, columns of any name pass unchanged.
     """
-    plan = _mix(docs).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), "__source", F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5)).cast("int").alias("__times"))
-    plan = plan.groupBy("__id", "__size", "__source").agg(F.floor(F.sum("__times") / F.count("*")).cast("int").alias("__times"), (F.sum("__times") % F.count("*")).alias("__over"))
-    plan, _ = staged(plan, "copies")
-    found = docs.withColumn("__n", size_of(F.col("text"))).join(plan, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")) & docs["source"].eqNullSafe(F.col("__source")))
-    times = found.where("__over = 0").select(*(F.col(f"`{c}`") for c in docs.columns), "__times")
-    if not plan.where("__over > 0").isEmpty():
-        cut = found.where("__over > 0").withColumns({"__one": F.lit(1), "__hash": F.xxhash64("text"), "__row": F.monotonically_increasing_id()})
-        cut, _ = running_before(cut, ["__id", "__size", "__source"], ["__hash", "__row"], {"__place": "__one"}, "cut")
-        times = times.unionAll(cut.select(*(F.col(f"`{c}`") for c in docs.columns), (F.col("__times") + (F.col("__place") < F.col("__over")).cast("int")).alias("__times")))
-    return times.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+    plan, at = _mix(docs, id_col, source_col, text_col), [c.lower() for c in docs.columns]
+    more = F.col("taken") - F.col("__rounds") * F.col("size")
+    place = F.struct(F.col("__key").alias("key"), F.col(id_col).alias("id"), F.col("size").alias("size"))
+    rows = plan.where("size > 0").select("__source", "__rounds", place.alias("place"), (2 * more >= F.col("size")).cast("int").alias("once_more"))
+    # One row per source and place: rows that share a place are told from the cut by how many of them it takes.
+    places = rows.groupBy("__source", "__rounds", "place").agg(F.sum("once_more").alias("over"), F.count("*").alias("n"))
+    cuts = places.groupBy("__source", "__rounds").agg(F.max(F.when(F.col("over") > 0, F.struct("place", "over", "n"))).alias("cut"))
+    cuts, _ = staged(cuts.select(F.col("__source").alias("cut_source"), F.col("__rounds").alias("rounds"), "cut.place", "cut.over", "cut.n"), "cuts")
+    names = [f"c{i}" for i in range(len(at))]
+    i, source, text = (F.col(names[at.index(c.lower())]) for c in (id_col, source_col, text_col))
+    full = F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    wide = positional(docs).join(cuts, source.eqNullSafe(F.col("cut_source")), "left").withColumn("key", _key(i))
+    # Sizes are counted only where key and id are the cut's own.
+    edge = (F.col("key") == F.col("place.key")) & i.eqNullSafe(F.col("place.id"))
+    own = F.when(edge, F.struct(F.col("key"), i.alias("id"), size_of(text).alias("size")))
+    side = F.when(F.col("place").isNull(), 1).when(~edge, F.when(F.struct(F.col("key"), i.alias("id")) < F.struct(F.col("place.key"), F.col("place.id")), -1).otherwise(1))
+    side = F.coalesce(side, F.when(own == F.col("place"), 0).when(own < F.col("place"), -1).otherwise(1))
+    wide = wide.withColumn("side", F.when(~full, 2).otherwise(side))
+    times = F.when(F.col("side") == 2, F.lit(1)).otherwise(F.col("rounds") + (F.col("side") < 1).cast("int"))
+    out = wide.where("side <> 0 or over = n").select(*names, times.alias("times"))
+    if not cuts.where("over < n").isEmpty():
+        shared = wide.where("side = 0 and over < n").withColumns({"one": F.lit(1), "hash": F.xxhash64(text), "row": F.monotonically_increasing_id()})
+        shared, _ = running_before(shared.select(*names, "cut_source", "rounds", "over", "one", "hash", "row"), ["cut_source"], ["hash", "row"], {"ahead": "one"}, "shared")
+        out = out.unionAll(shared.select(*names, (F.col("rounds") + (F.col("ahead") < F.col("over")).cast("int")).alias("times")))
+    copies = out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select(*names)
+    return copies.toDF(*docs.columns)
 
 
 ORACLE = """
