@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import running_before
+from lodeworks.llm.common import drop_path, running_before, staged
 
 
 def draw(key: Column, number: Column, weight: Column) -> Column:
@@ -27,7 +27,8 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
 def shard(docs: DataFrame, shards: int = 40, weights: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, size (UTF-8 bytes of the text and 16), text_crc32, law, shard, slot, grown_shard.
 
-    law is always "key": id and shard count decide. grown_shard is the shard with one more of mean weight. slot counts a
+    law is always "key": id and shard count decide, and equal texts (the groups one could keep together) are dealt by their
+    own ids, as text_crc32 shows. grown_shard is the shard with one more of mean weight. slot counts a
     shard's documents in the order of id, from 0 without gaps, by distributed prefix sums: no shard is ever in one task.
     Null texts count as empty ones. Null ids share the shard of the empty key; rows that repeat an id share a shard and
     get slots in the order of their checksum and size. An empty table gives no rows; other columns are ignored.
@@ -38,5 +39,7 @@ def shard(docs: DataFrame, shards: int = 40, weights: list[float] | None = None,
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = rows.withColumns({"now": rendezvous(key, own), "new": draw(key, F.lit(len(own)), F.lit(sum(own) / len(own)))})
     rows = rows.select("doc_id", "size", "text_crc32", F.col("now.shard").alias("shard"), F.when(F.col("new.draw") < F.col("now.draw"), F.col("new.shard")).otherwise(F.col("now.shard")).alias("grown_shard"), F.lit(1).alias("one"))
+    rows, draws_at = staged(rows, "draws")  # drawn once, though range partitioning reads its input twice
     placed, _ = running_before(rows, ["shard"], ["doc_id", "text_crc32", "size"], {"slot": "one"}, "shards")
+    drop_path(docs.sparkSession, draws_at)
     return placed.select(F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
