@@ -59,7 +59,7 @@ def contamination(docs, items, window=13):
         w = lexical_words(text)
         n = min(window, len(w))
         for k in range(len(w) - n + 1 if n else 0):
-            windows.setdefault(tuple(w[k : k + n]), set()).add(str(name))
+            windows.setdefault(tuple(w[k : k + n]), set()).add(None if name is None else str(name))
     sizes = {len(w) for w in windows}
     out = []
     for i, text in docs:
@@ -71,7 +71,7 @@ def contamination(docs, items, window=13):
                     names |= found
                     hit[k : k + n] = [True] * n
         n_hit = sum(hit)
-        out.append((i, len(w), n_hit, len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= len(w)))
+        out.append((i, len(w), n_hit, len(names), hashlib.sha256(",".join(sorted(n for n in names if n is not None)).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= len(w)))
     return out
 
 
@@ -98,13 +98,11 @@ def near_vectors(rows, threshold=0.95):
     for i, v in rows:
         if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
             good[i] = np.array(v, float) / np.linalg.norm(np.array(v, float))
-    sizes = [len(v) for v in good.values()]
-    good = {i: v for i, v in good.items() if len(v) == max(set(sizes), key=sizes.count)}
     g, links = Groups(i for i, _ in rows if i is not None), dict.fromkeys((i for i, _ in rows if i is not None), 0)
     ids = sorted(good)
     for k, a in enumerate(ids):
         for b in ids[:k]:
-            if good[a] @ good[b] >= threshold:
+            if len(good[a]) == len(good[b]) and good[a] @ good[b] >= threshold:
                 g.join(a, b)
                 links[a] += 1
                 links[b] += 1
@@ -139,3 +137,32 @@ def license_places(text):
     found = [(k, label) for p, label in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.encode().split()]
     starts = [k for k, _ in found]
     return len(w), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def clause(symbols):
+    """(place, pattern) of the matches in a clause's symbols, by the rules."""
+    near = lambda mark, k, n: mark in symbols[max(0, k - n) : k]
+    out = []
+    for k, x in enumerate(symbols):
+        before = near("Y", k, 4)
+        if x == "I" or x == "T" and (before or near("M", k, 3)):
+            aimed = before or "Y" in symbols[k + 1 : k + 5]
+            out.append((k, x + "a" * aimed + "n" * near("N", k, 3) + "r" * ("R" in symbols[:k])))
+    return out
+
+
+def toxicity(text, grammar, op):
+    """(score, number of matches) of a text by a fitted grammar, word by word."""
+    terms = [("I", t, w) for t, w in grammar.insults.items()] + [("T", t, 0.9) for t in op.THREATS]
+    kinds = {**dict.fromkeys(op.INTENT, "M"), **dict.fromkeys(op.TARGETS, "Y"), **dict.fromkeys(op.NEGATION, "N"), **dict.fromkeys(op.REPORTING, "R")}
+    clean, n = 1 - grammar.floor, 0
+    for part in re.split(r"[.!?;:\n\r]+", (text or "").lower()):
+        found = []
+        for word in re.findall(r"[^\W_]+", part):
+            fits = [(w, kind) for kind, t, w in terms if (word.startswith(t[:-1]) if t.endswith("*") else word == t)]
+            w, kind = max(fits, default=(0.0, kinds.get(word, "o")))
+            found.append((kind, w))
+        for k, pattern in clause([x for x, _ in found]):
+            clean *= 1 - found[k][1] * grammar.arcs[pattern]
+            n += 1
+    return 1 - clean, n

@@ -1,6 +1,7 @@
 """The operators against brute force on small tables with nulls, empties, repeats, ties, long texts and odd columns."""
 
 import json
+import os
 import random
 
 import numpy as np
@@ -97,12 +98,18 @@ def polluted():
 def test_contamination_matches_brute_force(spark, monkeypatch):
     rows = polluted()
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    want = sorted(brute.contamination(rows, [("null" if i is None else i, t) for i, t in ITEMS]), key=str)
+    want = sorted(brute.contamination(rows, ITEMS), key=str)
     names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert rows_of(decontaminate.find_contamination(frame(spark, rows), bench), *names) == want
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 20)  # many blocks, and many shards
     monkeypatch.setattr(decontaminate, "SHARD_WORDS", 50)
+    monkeypatch.setattr(decontaminate, "ITEM_WORDS", 14)
     assert rows_of(decontaminate.find_contamination(frame(spark, rows), bench), *names) == want
+    monkeypatch.setattr(decontaminate, "PASS_BLOCKS", 2)  # and many passes
+    docs = frame(spark, rows, clash=("KEY", "n_hit", "Spans"))
+    out = decontaminate.find_contamination(docs, bench)
+    assert rows_of(out, *names) == want and {"KEY", "Spans"} <= set(out.columns)
+    assert decontaminate.decontaminated(docs, bench).count() == sum(not w[-1] for w in want)
 
 
 def test_contamination_longest_match_and_filter(spark):
@@ -129,6 +136,30 @@ def test_removal_matches_brute_force(spark, monkeypatch):
     assert rows_of(substrings.remove_repeats(frame(spark, rows, 5)), *names) == want
 
 
+def test_removal_from_hot_buckets(spark, monkeypatch):
+    rows = corpus(80, 4)
+    want = sorted(brute.removed(rows), key=str)
+    monkeypatch.setattr(substrings, "CHUNK_WORDS", 30)
+    monkeypatch.setattr(substrings, "SALT_CHUNKS", 4)
+    monkeypatch.setattr(substrings, "COMMON", 1 / 2000)  # many minimisers are common, and judged twice
+    assert rows_of(substrings.remove_repeats(frame(spark, rows, 5)), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+
+
+@pytest.mark.parametrize("clash", [("id", "checksum", "runs"), ("N_WORDS", "__begin_", "Kept_Sha256"), ("begin", "__times", "kind"), ("c0", "u0", "a0")])
+def test_columns_of_any_name_pass(spark, clash):
+    rows = corpus(20, 4)
+    docs = frame(spark, rows, 2, clash)
+    want = {(r[0], r[2]) for r in brute.removed(rows)}
+    assert {(r.doc_id, r.n_removed) for r in substrings.remove_repeats(docs).collect()} == want
+    out = substrings.remove_repeats(docs).columns
+    assert len({c.lower() for c in out}) == len(out) and {"n_words", "kept_text"} <= set(out)
+    bench, labels = spark.createDataFrame(ITEMS, "item_id long, text string"), spark.createDataFrame([(4, 0, 1)], "doc_id long, quality int, toxic int")
+    for stage in (simhash.keep_first, mixing.mixed, lambda d: decontaminate.decontaminated(d, bench), lambda d: toxicity.without_toxic(d, labels)):
+        assert stage(docs).columns == docs.columns and stage(docs).count() >= 0
+    assert licenses.scan(docs).count() == len(rows)
+    assert [c for c in docs.columns if c.lower() not in ("n_words", "kept_sha256")] == [c for c in out if c in docs.columns and c not in ("n_words", "kept_sha256")]
+
+
 def test_removal_of_nothing(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], EMPTY)).count() == 0
     out = substrings.remove_repeats(frame(spark, [(1, None), (2, "a b")])).collect()
@@ -183,6 +214,21 @@ def test_mixed_documents_repeat(spark):
     assert n[9] == 3 and n[50] == 1
 
 
+def test_mixed_copies_match_the_plan(spark):
+    rows = [*corpus(60, 6), *[(4000, "q r s t u")] * 9, *[(None, "one two three")] * 4, (4000, "u t s r q"), (4001, " ")]
+    docs = frame(spark, rows, clash=("__times", "key", "cut"))
+    plan = {}
+    source = [r.source for r in docs.collect()]
+    for r in mixing._mix(docs).collect():
+        k = (r.doc_id, r["__source"], r.size)
+        plan[k] = plan.get(k, 0) + (int(r.taken / r.size + 0.5) if r.size else 1)
+    got = {}
+    for r in mixing.mixed(docs).collect():
+        k = (r.doc_id, r.source, len(brute.blank_words(r.text)))
+        got[k] = got.get(k, 0) + 1
+    assert got == {k: n for k, n in plan.items() if n} and len(set(source)) > 2
+
+
 def test_shards_match_brute_force(spark):
     rows = [*corpus(50, 8), (1, "again"), (None, "none"), (None, None)]
     got = sharding.shard(frame(spark, rows)).collect()
@@ -241,14 +287,46 @@ def test_token_files_round_trip(spark, small_tokenizer, monkeypatch):
     assert sorted(r.start for r in twice) == [0, 2, 3, 5]
 
 
-def test_pieces_equal_whole_texts(small_tokenizer):
-    from tokenizers import Tokenizer
-
-    t, run = Tokenizer.from_file(small_tokenizer), tokens.piece_encoder(small_tokenizer, 2)
+def odd_texts(n):
     r = random.Random(2)
     alphabet = "abtheTHEédÄßé .,!?'<>|()-_ \t\n\x0b\x0c\x1c\x85\xa0 123½²ΣςİǅﬁЖ中"
-    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(3000)]
-    assert [np.frombuffer(x, "<u2").tolist() for x in run(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(n)]
+    return [*texts, "<|endoftext|> a<|startoftext|>b", "Hello world The quick", "  two  blanks ", "12.5 a.b x..y", "the " * 30_000]
+
+
+def encoded(made, texts):
+    ids, n = made.ids(texts)
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+def test_pieces_equal_whole_texts(small_tokenizer, monkeypatch):
+    from tokenizers import Tokenizer
+
+    files = [small_tokenizer]
+    try:
+        import public_tokenizers
+
+        files += [public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")]
+    except ImportError:
+        pass
+    texts = odd_texts(3000)
+    for path, by_pieces in zip(files, (True, True, False), strict=False):
+        spec = open(path, encoding="utf-8").read()
+        assert tokens.piecewise(spec) == by_pieces
+        t, made = Tokenizer.from_file(path), tokens.encoder(spec, 2)
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert encoded(made, texts) == want
+        monkeypatch.setattr(tokens, "HELD_BYTES", 20_000)  # pieces are forgotten and learned again
+        assert [x for i in range(0, len(texts), 97) for x in encoded(made, texts[i : i + 97])] == want
+        assert not by_pieces or made.held.nbytes < 40_000
+
+
+def test_slices_hold_whole_texts():
+    import pyarrow as pa
+
+    texts = pa.array(["a" * 10, "", "b" * 100, "c", "d" * 5, ""])
+    assert list(tokens.slices(texts, 12)) == [(0, 2), (2, 3), (3, 6)]
+    assert list(tokens.slices(pa.array([], pa.string()), 12)) == []
 
 
 def test_huffman_codes_are_optimal_limited_and_decode():
@@ -282,10 +360,9 @@ def test_near_vectors_match_brute_force(spark, monkeypatch):
     rows = vectors()
     df = spark.createDataFrame([(i, v, "k") for i, v in rows], "vec_id long, embedding array<double>, kept string").repartition(4)
     want = brute.near_vectors(rows)
-    for cell, block in ((200, 4096), (5, 3)):
+    for cell, part in ((200, 4096), (5, 3)):
         monkeypatch.setattr(multiindex, "PER_CELL", cell)
-        monkeypatch.setattr(multiindex, "HOME_BLOCK", block)
-        monkeypatch.setattr(multiindex, "VISIT_BLOCK", 2 * block)
+        monkeypatch.setattr(multiindex, "PART", part)
         got = {r.vec_id: (r.n_links, r.component_id) for r in multiindex.near_vectors(df).collect()}
         assert got.keys() == want.keys()
         found, total = sum(n for n, _ in got.values()), sum(n for n, _ in want.values())
@@ -294,8 +371,16 @@ def test_near_vectors_match_brute_force(spark, monkeypatch):
     assert multiindex.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_near_vectors_of_any_size_and_length(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 1e-200]), (4, [1.0, 0.2]), (5, [1.0]), (6, [2.0]), (7, [-3.0]), (10, [1.0, 0.0]), (11, [2.0, 0.001]), (14, [5e-324, 5e-324])]
+    rows += [(20 + k, [1.0, 2.0, 3.0 + k * 5]) for k in range(5)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in multiindex.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    plain = [(i, (np.array(v) / max(map(abs, v))).tolist()) for i, v in rows]
+    assert got == brute.near_vectors(plain)
+
+
 def test_traversal_visits_nearest_cells_first():
-    x = multiindex.unit([np.random.default_rng(k).standard_normal(8).tobytes() for k in range(300)])
+    x = multiindex.unit([multiindex.packed(np.random.default_rng(k).standard_normal(8)) for k in range(300)], 8)
     index = multiindex.MultiIndex(x, 20_000, 0.95, 0.99)
     d1, d2 = index.distances(x[:20])
     grid = (d1[:, :, None] + d2[:, None, :]).reshape(20, -1)
@@ -377,11 +462,42 @@ def test_toxicity_without_labels(spark):
 
 
 def test_grammar_tells_forms_apart():
+    grammar = toxicity.Composed()
     tag = lambda s: [("I", 1.0) if w in toxicity.INSULTS else ("T", 1.0) if w in toxicity.THREATS else (toxicity.TAGS.get(w, "o"), 0.0) for w in s.split()]
-    pattern = lambda s: [m[0] for m in toxicity.clause_matches(tag(s))]
-    assert pattern("you idiot") == [("I", False, False, True)]
-    assert pattern("idiot that you are") == [("I", False, False, True)]
-    assert pattern("not an idiot") == [("I", True, False, False)]
-    assert pattern("he said some idiot fell") == [("I", False, True, True)]
-    assert pattern("i will kill you") == [("T", False, False, True)]
+    pattern = lambda s: [m[0] for m in grammar.matches(tag(s))]
+    assert pattern("you idiot") == ["Ia"]
+    assert pattern("idiot that you are") == ["Ia"]
+    assert pattern("not an idiot") == ["In"]
+    assert pattern("he said some idiot fell") == ["Iar"]
+    assert pattern("i will kill you") == ["Ta"]
     assert pattern("bugs kill time") == []
+
+
+def test_composed_transducers_equal_the_cascade_and_the_rules():
+    grammar, (ahead, steps), r = toxicity.Composed(), toxicity.cascade(), random.Random(8)
+    assert grammar.priors["I"] == 0.92 and grammar.priors["Tanr"] == pytest.approx(0.85 * 0.4 * 0.5)
+    for _ in range(3000):
+        symbols = [r.choice("oooYNMRIT") for _ in range(r.randint(0, 14))]
+        path = [y for y, _ in ahead.run(reversed(symbols))][::-1]
+        weights = [1.0] * len(symbols)
+        for step in steps:
+            found = list(step.run(path))
+            path, weights = [y for y, _ in found], [w * v for w, (_, v) in zip(weights, found, strict=True)]
+        got = grammar.matches([(x, float(k)) for k, x in enumerate(symbols)])
+        assert got == [(y, float(k)) for k, y in enumerate(path) if y != "o"] == [(p, float(k)) for k, p in brute.clause(symbols)]
+        assert [w for y, w in zip(path, weights, strict=True) if y != "o"] == pytest.approx([grammar.priors[y] for y, _ in got])
+
+
+def test_toxicity_matches_brute_force_on_a_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the driver's tables")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    grammar = toxicity.fit(docs, labels)
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "calm words. " * 60_000 + "you will kill them, worthless scum!"), (-3, "you idiot"), (None, "you idiot")], "doc_id long, text string")
+    got = toxicity.score_toxicity(docs.select("doc_id", "text").union(extra), grammar).collect()
+    for row in got:
+        score, n = brute.toxicity(row.text, grammar, toxicity)
+        assert row.score == pytest.approx(score, abs=1e-12) and row.n_matches == n and row.predicted == int(row.score >= 0.7)
+    assert sum(row.n_matches > 0 for row in got) > 5
+    assert {row.predicted for row in got if row.text and row.text.endswith("scum!")} == {1}
