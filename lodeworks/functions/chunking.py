@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeworks.functions.text import clean, content_metrics, normalise, sentences, strip, word_count
-from lodeworks.functions.quality import sanity
+from lodeworks.functions.text import clean, content_metrics, normalised, sentences, strip, word_count
+from lodeworks.functions.quality import sanity_of
 from lodeworks.functions.urls import page_id
 
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
@@ -29,101 +31,121 @@ class Sizes:
     overlap: int = 100
 
 
+def stretches(sizes: list[int], room: int, head: Callable[[int, int], int], begun: int) -> Iterator[tuple[int, int]]:
+    """Cuts a list of sizes into stretches (first, end) that fit a room, each with the unit that didn't fit the last one.
+
+    Sizes include what joins a unit to the one before. head says, for a stretch that ends, how much of the room the next
+    one has taken before its first unit: a negative number makes up for the joint of a first unit behind nothing. The first
+    stretch has begun with so much.
+    """
+    upto, i = [0, *accumulate(sizes)], 0
+    least = begun < 0
+    while i < len(sizes):
+        j = max(i + least, bisect_right(upto, upto[i] + room - begun) - 1)
+        yield i, j
+        begun, i, least = head(i, j), j, True
+
+
 class Packer:
-    """Greedy packing in one pass over a text; sentence ends are found by a replaceable function."""
+    """Chunks of texts by their paragraphs, sentences and words: cut points from sums of lengths, texts joined at the end."""
 
     def __init__(self, sizes: Sizes, split: Callable[[str], list[str]] = split_sentences):
         self.sizes, self.split = sizes, split
 
-    def tail(self, chunk: str) -> str:
-        """What a next chunk repeats: last sentences that fit, else last characters from a word's start."""
+    def overlap(self, chunk: str) -> str:
+        """The end of a chunk that the next one repeats: whole, its last sentences, or its last words, as the room allows."""
         room = self.sizes.overlap
         if len(chunk) <= room:
             return chunk
-        kept: list[str] = []
-        used = 0
-        for sentence in reversed(self.split(chunk)):
-            if used + len(sentence) + 1 > room:
-                break
-            used += len(sentence) + (1 if kept else 0)
-            kept.insert(0, sentence)
-        if kept:
-            return " ".join(kept)
-        last = chunk[-room:] if room else ""
-        blank = last.find(" ")
-        return last[blank + 1 :] if blank > 0 else last
-
-    def by_words(self, text: str) -> list[str]:
-        out, now = [], ""
-        for word in text.split():
-            if len(now) + len(word) + 1 <= self.sizes.most:
-                now = f"{now} {word}" if now else word
-            elif not now:
-                out.append(word[: self.sizes.most])
-            else:
-                out.append(now.strip())
-                now = " ".join([*now.split()[-10:], word]) if self.sizes.overlap > 0 else word
-        return [*out, now.strip()] if now else out
-
-    def by_sentences(self, text: str) -> list[str]:
-        out, now = [], ""
-        for sentence in self.split(text):
-            if len(now) + len(sentence) + 1 <= self.sizes.most:
-                now = f"{now} {sentence}" if now else sentence
-            elif now:
-                out.append(now.strip())
-                now = f"{self.tail(now)} {sentence}" if self.sizes.overlap > 0 else sentence
-            else:
-                *done, now = self.by_words(sentence) or [""]
-                out += done
-        return [*out, now.strip()] if now else out
+        ending = self.split(chunk)[::-1]
+        joined = list(accumulate((len(s) + 1 for s in ending), initial=-1))
+        if ending and joined[1] < room:
+            return " ".join(ending[: bisect_right(joined, room) - 1][::-1])
+        last = chunk[len(chunk) - room :]
+        head, gap, rest = last.partition(" ")
+        return rest if head and gap else last
+
+    def _joined(self, units: list[str], gap: str, begin: str | None = None) -> Iterator[str]:
+        """Units joined by a gap within the limit, each chunk behind its predecessor's overlap; one may begin already."""
+        made: list[str] = []
+
+        def head(i: int, j: int) -> int:
+            nonlocal begin
+            begin = self.overlap(made[-1]) if self.sizes.overlap > 0 else None
+            return -len(gap) if begin is None else len(begin)
+
+        for i, j in stretches([len(u) + len(gap) for u in units], self.sizes.most, head, -len(gap) if begin is None else len(begin)):
+            made.append(gap.join([*([] if begin is None else [begin]), *units[i:j]]))
+            yield made[-1]
+        if not made and begin:
+            yield begin
+
+    def of_words(self, text: str) -> list[str]:
+        """Chunks of words, each with the last ten of its predecessor; words that are too long are cut while they come first."""
+        units, most, last = text.split(), self.sizes.most, 10 if self.sizes.overlap > 0 else 0
+        first = next((k for k, w in enumerate(units) if len(w) < most), len(units))
+        upto = [0, *accumulate(len(w) + 1 for w in units)]
+        starts = {first: first}
+
+        def head(i: int, j: int) -> int:
+            begin = max(starts[first + i], first + j - last)
+            starts[first + j] = begin
+            return upto[first + j] - upto[begin] - 1
+
+        whole = [(starts[first + i], first + j) for i, j in stretches([len(w) + 1 for w in units[first:]], most, head, -1)]
+        return [*(w[:most] for w in units[:first]), *(" ".join(units[i:j]) for i, j in whole)]
+
+    def of_sentences(self, text: str) -> list[str]:
+        """Chunks of sentences; a first one that is too long goes by words, a later one makes a long chunk."""
+        units = self.split(text)
+        words = self.of_words(units.pop(0)) if units and len(units[0]) >= self.sizes.most else []
+        begin = words.pop() if words else None
+        return [*words, *(c.strip() for c in self._joined(units, " ", begin))]
 
     def chunks(self, text: str | None) -> list[str]:
         """Paragraphs packed up to the limit; longer ones by sentences; what remains counts from the least size on."""
         if not text or len(text) < self.sizes.least:
             return []
-        out, now = [], ""
-        for paragraph in filter(None, map(str.strip, text.split("\n\n"))):
-            if len(paragraph) > self.sizes.most:
-                if now:
-                    out.append(now)
-                    now = ""
-                out += self.by_sentences(paragraph)
-            elif len(now) + len(paragraph) + 2 > self.sizes.most:
-                if now:
-                    out.append(now)
-                now = f"{self.tail(now)}\n\n{paragraph}" if now and self.sizes.overlap > 0 else paragraph
-            else:
-                now = f"{now}\n\n{paragraph}" if now else paragraph
-        return [*out, now] if now and len(now) >= self.sizes.least else out
-
-
-def packed(c: Column, sizes: Sizes = Sizes(), split: Callable[[str], list[str]] = split_sentences) -> Column:
-    """A text's chunks, in one vectorised call for a batch of texts."""
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
+        paragraphs = [p for p in map(str.strip, text.split("\n\n")) if p]
+        out: list[str] = []
+        long = False
+        for long, some in groupby(paragraphs, lambda p: len(p) > self.sizes.most):
+            out += (c for p in some for c in self.of_sentences(p)) if long else self._joined(list(some), "\n\n")
+        return out[:-1] if out and not long and len(out[-1]) < self.sizes.least else out
+
+
+CHUNK = T.StructType(
+    [T.StructField("text", T.StringType()), T.StructField("clean_text", T.StringType()), T.StructField("word_count", T.IntegerType()), T.StructField("sentence_count", T.IntegerType())]
+    + [T.StructField(k, T.DoubleType()) for k in ("score", "unique_ratio", "alpha_ratio", "avg_sentence_length")]
+)
+
+
+def chunk_rows(c: Column, sizes: Sizes = Sizes(), split: Callable[[str], list[str]] = split_sentences) -> Column:
+    """A text's chunks with their normal form and measures, in one vectorised call for a batch of texts."""
+
+    def row(chunk: str) -> dict:
+        tidy = normalised(chunk)
+        found = split_sentences(tidy)
+        return {"text": chunk, "clean_text": tidy, "word_count": len(tidy.split()), "sentence_count": len(found)} | sanity_of(tidy, len(found), sizes.least)
+
+    @F.pandas_udf(T.ArrayType(CHUNK))
     def run(texts: pd.Series) -> pd.Series:
         packer = Packer(sizes, split)
-        return texts.map(packer.chunks)
+        return texts.map(lambda t: [row(x) for x in packer.chunks(t)])
 
     return run(c)
 
 
 def chunk_pages(pages: DataFrame, url_col: str = "url", text_col: str = "text", sizes: Sizes = Sizes(), least_score: float = 0.3) -> DataFrame:
-    """Pages to their valid chunks: cleaned, packed, normalised, measured, and kept from the least sanity score on."""
-    rows = pages.withColumn("__chunks", packed(clean(F.col(text_col)), sizes))
-    rows = rows.select(*[c for c in pages.columns if c != text_col], F.posexplode("__chunks").alias("chunk_index", "text"))
-    rows = rows.withColumn("clean_text", normalise(F.col("text")))
-    rows = rows.withColumns(
-        {
-            "chunk_id": F.concat(page_id(F.col(url_col)), F.lit("_"), F.col("chunk_index").cast("string")),
-            "char_count": F.length("clean_text"),
-            "word_count": word_count(F.col("clean_text")),
-            "sentence_count": F.size(sentences(F.col("clean_text"))),
-            "sanity": sanity(F.col("clean_text"), sizes.least),
-        }
-    )
-    return rows.where(F.col("sanity.is_valid") & (F.col("sanity.score") >= least_score))
+    """Pages to their valid chunks: cleaned, packed, normalised, measured, and kept from the least sanity score on.
+
+    A chunk comes out of one call with all its measures, so that no filter on them works anything out again.
+    """
+    rows = pages.withColumn("__chunks", chunk_rows(clean(F.col(text_col)), sizes))
+    rows = rows.select(*[c for c in pages.columns if c != text_col], F.posexplode("__chunks").alias("chunk_index", "__chunk"))
+    valid = (F.length("__chunk.clean_text") >= sizes.least) & (F.col("__chunk.score") >= least_score)
+    rows = rows.where(valid).select(*[c for c in pages.columns if c != text_col], "chunk_index", *(F.col(f"__chunk.{k}").alias(k) for k in ("text", "clean_text", "word_count", "sentence_count")), F.struct(F.lit(True).alias("is_valid"), *(F.col(f"__chunk.{k}").alias(k) for k in CHUNK.names[4:])).alias("sanity"))
+    return rows.withColumns({"chunk_id": F.concat(page_id(F.col(url_col)), F.lit("_"), F.col("chunk_index").cast("string")), "char_count": F.length("clean_text")})
 
 
 def _fold(parts: Column, glue: str, most: int, least: int) -> Column:
@@ -152,9 +174,10 @@ def smart(c: Column, most: int = 800, least: int = 100) -> Column:
 
 
 def positioned(chunks: Column) -> Column:
-    """Chunks with places that count the chunks' own characters, but not what parted them."""
-    size = lambda i: F.aggregate(F.slice(chunks, 1, i), F.lit(0), lambda a, x: a + F.length(x))
-    return F.transform(chunks, lambda x, i: F.struct(i.alias("chunk_index"), x.alias("text"), size(i).alias("start_char"), (size(i) + F.length(x)).alias("end_char"), word_count(x).alias("word_count"), F.length(x).alias("char_count")))
+    """Chunks with places that count the chunks' own characters, but not what parted them: sums that run along the list."""
+    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("upto"))
+    starts = F.aggregate(F.transform(chunks, F.length), zero, lambda a, n: F.struct(F.array_append(a["starts"], a["upto"]).alias("starts"), (a["upto"] + n).alias("upto")), lambda a: a["starts"])
+    return F.transform(F.arrays_zip(chunks.alias("text"), starts.alias("start")), lambda x, i: F.struct(i.alias("chunk_index"), x["text"].alias("text"), x["start"].alias("start_char"), (x["start"] + F.length(x["text"])).alias("end_char"), word_count(x["text"]).alias("word_count"), F.length(x["text"]).alias("char_count")))
 
 
 def simple(c: Column, most: int = 500, least_line: int = 50) -> Column:
@@ -175,4 +198,4 @@ def simple(c: Column, most: int = 500, least_line: int = 50) -> Column:
     return F.flatten(F.transform(lines, line))
 
 
-__all__ = ["Packer", "Sizes", "by_paragraphs", "by_sentences", "chunk_pages", "content_metrics", "packed", "positioned", "simple", "smart", "split_sentences"]
+__all__ = ["Packer", "Sizes", "by_paragraphs", "by_sentences", "chunk_pages", "chunk_rows", "content_metrics", "positioned", "simple", "smart", "split_sentences", "stretches"]

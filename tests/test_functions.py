@@ -196,11 +196,99 @@ def test_chunk_overlap_and_long_words():
     p = chunking.Packer(chunking.Sizes(40, 5, 17))
     got = p.chunks("One short line. Two short line. Three short line. Four line.")
     assert len(got) > 1 and got[1].startswith("Two short line.")
-    assert p.by_words("x" * 90) == ["x" * 40]
-    assert p.tail("no sentence end at all here") == "end at all here"
+    assert p.of_words("x" * 90) == ["x" * 40]
+    assert p.overlap("no sentence end at all here") == "end at all here"
     assert p.chunks("abc") == [] and p.chunks(None) == []
 
 
+def fits_behind(chunk, sizes):
+    """What may stand before the next chunk's units: the longest of all whole endings that the rules allow."""
+    if not sizes.overlap:
+        return None
+    if len(chunk) <= sizes.overlap:
+        return chunk
+    found = chunking.split_sentences(chunk)
+    endings = [" ".join(found[k:]) for k in range(len(found))]
+    allowed = [e for k, e in enumerate(endings) if len(e) <= sizes.overlap and len(found[-1]) < sizes.overlap]
+    if allowed:
+        return max(allowed, key=len)
+    last = chunk[-sizes.overlap :]
+    return last if " " not in last or last.startswith(" ") else last[last.index(" ") + 1 :]
+
+
+def brute_words(text, sizes):
+    words, out, begin, at = text.split(), [], 0, 0
+    while at < len(words) and len(words[at]) + 1 > sizes.most:
+        out.append(words[at][: sizes.most])
+        at = begin = at + 1
+    while at < len(words):
+        at = max(j for j in range(at + 1, len(words) + 1) if j == at + 1 or all(len(" ".join(words[begin:k])) <= sizes.most for k in range(at + 2, j + 1)))
+        out.append(" ".join(words[begin:at]))
+        begin = max(begin, at - 10) if sizes.overlap else at
+    return out
+
+
+def brute_pack(units, gap, sizes, begin=None):
+    out, at, forced = [], 0, begin is None
+    while at < len(units) or not forced:
+        least = at + forced
+        at, before = max(j for j in range(least, len(units) + 1) if all(len(parts_of(begin, units, at, k, gap)) <= sizes.most for k in range(least + 1, j + 1))), at
+        out.append(parts_of(begin, units, before, at, gap))
+        begin, forced = fits_behind(out[-1], sizes), True
+    return out
+
+
+def parts_of(begin, units, i, j, gap):
+    return gap.join([*([] if begin is None else [begin]), *units[i:j]])
+
+
+def brute_chunks(text, sizes):
+    """The chunks of a text, each end found by trying all of them."""
+    if not text or len(text) < sizes.least:
+        return []
+    out, run, last = [], [], False
+    for p in [*(p.strip() for p in text.split("\n\n") if p.strip()), None]:
+        if p is not None and len(p) <= sizes.most:
+            run.append(p)
+            continue
+        if run:
+            out += brute_pack(run, "\n\n", sizes)
+            last = p is None
+            run = []
+        if p is not None:
+            units, begin = chunking.split_sentences(p), None
+            if len(units[0]) + 1 > sizes.most:
+                *done, begin = brute_words(units.pop(0), sizes)
+                out += done
+            out += [c.strip() for c in brute_pack(units, " ", sizes, begin)]
+    return out[:-1] if last and len(out[-1]) < sizes.least else out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abc .!?\n\n", max_size=400), st.sampled_from([(60, 10, 20), (30, 5, 0), (40, 1, 39), (25, 0, 7)]))
+def test_chunks_equal_brute_force(t, sizes):
+    sizes = chunking.Sizes(*sizes)
+    assert chunking.Packer(sizes).chunks(t) == brute_chunks(t, sizes)
+
+
+def test_chunks_of_long_texts_equal_brute_force():
+    r = random.Random(6)
+    for _ in range(30):
+        t = "".join(r.choice(["word", "longerword", "x" * r.randint(1, 120), "Ends. ", "Why? ", "\n\n", " ", " ", ", "]) for _ in range(r.randint(0, 500)))
+        for sizes in (chunking.Sizes(), chunking.Sizes(100, 20, 30), chunking.Sizes(100, 20, 0)):
+            assert chunking.Packer(sizes).chunks(t) == brute_chunks(t, sizes)
+
+
+def test_worker_measures_equal_the_columns(spark):
+    values = [v for v in ODD if v] + [GOOD, "One. Two! Three?", "a a a a a a a a a a a", "ab, cd. " * 40]
+    c = F.col("t")
+    rows = each(spark, lambda c: F.struct(text.normalise(c).alias("normal"), quality.sanity(c).alias("s"), F.size(text.sentences(c)).alias("n")), values)
+    for v, row in zip(values, rows, strict=True):
+        own = quality.sanity_of(v, len(chunking.split_sentences(v)))
+        assert text.normalised(v) == row.normal and row.n == len(chunking.split_sentences(v))
+        assert all(own[k] == pytest.approx(row.s[k]) for k in own)
+
+
 def test_packing_in_the_jvm(spark):
     c = F.col("t")
     t = "\n\n".join(f"para {i} " + "x" * 20 for i in range(6))
