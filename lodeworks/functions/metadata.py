@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+import string
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodeworks.functions.text import word_count, words
+from lodeworks.functions.text import fence, word_count
 
 # Vocabularies and patterns that decide results.
 TECH_PATTERNS = (
@@ -42,12 +52,14 @@ POSITIVE = (
     "reliable trusted proven effective efficient optimized scalable robust secure fast easy simple powerful"
 ).split()
 NEGATIVE = "difficult challenging complex complicated hard tough problem issue bug error fail failure broken slow expensive costly limited restricted outdated".split()
-TECH_TERMS = (
-    "python javascript java c++ c# ruby php go rust swift kotlin typescript scala r matlab sql "
-    "react angular vue django flask express spring laravel rails nextjs nuxt gatsby svelte ember "
-    "docker kubernetes jenkins git github gitlab bitbucket jira confluence slack teams zoom figma sketch "
-    "aws azure gcp heroku digitalocean linode vultr"
-).split() + ["google cloud", "amazon web services", "microsoft azure"]
+# fmt: off
+TECH_TERMS = [
+    "python", "javascript", "java", "c++", "c#", "ruby", "php", "go", "rust", "swift", "kotlin", "typescript", "scala", "r", "matlab", "sql",
+    "react", "angular", "vue", "django", "flask", "express", "spring", "laravel", "rails", "nextjs", "nuxt", "gatsby", "svelte", "ember",
+    "docker", "kubernetes", "jenkins", "git", "github", "gitlab", "bitbucket", "jira", "confluence", "slack", "teams", "zoom", "figma", "sketch",
+    "aws", "azure", "gcp", "google cloud", "amazon web services", "microsoft azure", "heroku", "digitalocean", "linode", "vultr",
+]
+# fmt: on
 BUSINESS_TERMS = (
     "ceo cto cfo coo founder co-founder director manager lead senior junior developer engineer designer analyst "
     "fintech healthtech edtech proptech insurtech regtech martech adtech cleantech biotech nanotech "
@@ -63,6 +75,9 @@ STOPWORDS = (
 ).split()
 
 
+VOWELS = re.compile("[aeiouy]+")
+
+
 def contains_any(c: Column, parts) -> Column:
     out = F.lit(False)
     for p in parts:
@@ -82,17 +97,33 @@ def content_type(text: Column, url: Column) -> Column:
     return out.when(F.contains(low, F.lit("experience")) & (F.length(text) < 1000), "team_bio").otherwise("general_content")
 
 
-def syllables(word: Column) -> Column:
+def _syllables(word: str) -> int:
     """Vowel groups of a word without punctuation at its ends, less a silent e; at least one, none for no word."""
-    w = F.regexp_replace(F.lower(word), r"^\p{Punct}+|\p{Punct}+$", "")
-    n = F.regexp_count(w, F.lit("[aeiouy]+"))
-    return F.when(w == "", 0).otherwise(F.greatest(F.lit(1), n - F.when(w.endswith("e") & (n > 1), 1).otherwise(0)))
+    w = word.lower().strip(string.punctuation)
+    n = len(VOWELS.findall(w))
+    return max(1, n - (w.endswith("e") and n > 1)) if w else 0
+
+
+@F.pandas_udf(T.IntegerType())
+def syllables(words: pd.Series) -> pd.Series:
+    return words.fillna("").map(_syllables)
+
+
+def _totals() -> Callable[[Column], Column]:
+    """The syllables of all words of a text; words recur, so each is counted once while it is held."""
+
+    @F.pandas_udf(T.LongType())
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = lru_cache(200_000)(_syllables)
+        for texts in parts:
+            yield texts.map(lambda t: sum(map(count, t.split())) if t else 0)
+
+    return run
 
 
 def readability(c: Column) -> Column:
     """Reading ease from sentence length and syllables, between 0 and 100; 0 without sentences."""
-    stops, n = F.regexp_count(c, F.lit("[.!?]+")), word_count(c)
-    total = F.aggregate(words(c), F.lit(0), lambda a, w: a + syllables(w))
+    stops, n, total = F.regexp_count(c, F.lit("[.!?]+")), word_count(c), _totals()(c)
     ease = F.lit(206.835) - F.lit(1.015) * (n / F.greatest(stops, F.lit(1))) - F.lit(84.6) * (total / F.greatest(n, F.lit(1)))
     return F.when((F.coalesce(stops, F.lit(0)) == 0) | (n == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), ease)))
 
@@ -123,24 +154,129 @@ def business_terms(c: Column) -> Column:
     return terms(c, BUSINESS_PATTERNS, BUSINESS_TERMS)
 
 
+LONE = re.compile(r"(?<!\w)[a-z]{3,}(?!\w)")
+TITLES, UPPERS = re.compile(r"[A-Z][a-z]*"), re.compile(r"[A-Z]+")
+
+
+def _capitalised(text: str) -> Callable[[str], bool]:
+    """Whether a text holds a word with a capital first, or in capitals, anywhere; by its capitals' runs alone."""
+    titles = sorted({t.lower() for t in TITLES.findall(text)})
+    uppers = " ".join(sorted(set(UPPERS.findall(text))))
+
+    def shown(word: str) -> bool:
+        k = bisect_left(titles, word)
+        return k < len(titles) and titles[k].startswith(word) or word.upper() in uppers
+
+    return shown
+
+
+def _top_words(text: str | None, most: int, stop: frozenset[str], domain: frozenset[str]) -> list[tuple[str, float]]:
+    counts = Counter(w for w in LONE.findall((text or "").lower()) if w not in stop)
+    shown = _capitalised(text) if counts else None
+    scores = ((n * (len(w) / 5.0) * (1.5 if w in domain else 1.0), w) for w, n in counts.items())
+    # A counter keeps the order of first places, and so do a stable sort's ties.
+    ranked = sorted(((w, s * (1.2 if shown(w) else 1.0)) for s, w in scores), key=lambda x: -x[1])
+    return ranked[:most]
+
+
 def keywords(docs: DataFrame, id_col: str, text_col: str, most: int = 10, stopwords: list[str] | None = None) -> DataFrame:
     """(id, rank, keyword, score): words by count and length, domain and capitalised ones ahead, ties by first place.
 
-    Words and their capitalised forms leave a document as two short lists, so that no text is shuffled: one aggregation
-    by (id, word) with partial sums, then a ranking within the document.
+    Each text is counted where it is read, in one pass over it, and leaves as its first few words: nothing is shuffled.
+    """
+    stop = frozenset(STOPWORDS if stopwords is None else stopwords)
+    domain = frozenset(t for t in (*TECH_TERMS, *BUSINESS_TERMS) if t.isalpha() and len(t) > 2)
+    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("rank", T.IntegerType()), T.StructField("keyword", T.StringType()), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, rank, w, s) for k, t in enumerate(batch.column(1)) for rank, (w, s) in enumerate(_top_words(t.as_py(), most, stop, domain), 1)]
+            at, ranks, names, scores = zip(*found, strict=True) if found else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ranks, pa.int32()), pa.array(names, pa.string()), pa.array(scores, pa.float64())], out.names)
+
+    return docs.select(id_col, text_col).mapInArrow(run, out)
+
+
+#: Frequent short words of a language, by which its texts are told from others'.
+PROFILES = {
+    "en": "the and of to in is that for with was are this it you".split(),
+    "de": "der die und das ist nicht ein eine mit den von zu auf für".split(),
+    "fr": "le la les et des est une pour dans que qui sur pas avec".split(),
+    "es": "el los las y del es una para por que con se no en".split(),
+}
+
+
+def language_of(text: str | None, profiles: dict[str, list[str]]) -> tuple[str, float]:
+    """The profile with most words in a text, first in the alphabet of equals, and its share of all profiles' hits."""
+    counts = Counter(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    hits = {k: sum(counts[w] for w in own) for k, own in sorted(profiles.items())}
+    best, total = max(hits, key=hits.__getitem__), sum(hits.values())
+    return (best, round(hits[best] / total, 6)) if total else ("en", 0.5)
+
+
+def detect_language(c: Column, profiles: dict[str, list[str]] | None = None) -> Column:
+    """Language and confidence by profiles of frequent words; without any hit English at one half, as without a detector.
+
+    Another detector plugs in as another column of this type.
     """
-    stop = STOPWORDS if stopwords is None else stopwords or [""]
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.filter(_lone_words(F.col(text_col), 3), lambda w: ~w.isin(stop)).alias("found"))
-    shown = F.filter(F.array_distinct("found"), lambda w: F.contains(F.col("text"), F.initcap(w)) | F.contains(F.col("text"), F.upper(w)))
-    marked = found.select("id", F.concat(F.transform("found", lambda w, i: F.struct(w.alias("word"), i.alias("place"))), F.transform(shown, lambda w: F.struct(w.alias("word"), F.lit(None).cast("int").alias("place")))).alias("rows"))
-    rows = marked.select("id", F.inline("rows"))
-    by = rows.groupBy("id", "word").agg(F.count("place").alias("n"), F.min("place").alias("first"), F.max(F.col("place").isNull()).alias("shown"))
-    domain = [t for t in (*TECH_TERMS, *BUSINESS_TERMS) if t.isalpha() and len(t) > 2]
-    score = F.col("n") * (F.length("word") / 5.0) * F.when(F.col("word").isin(domain), 1.5).otherwise(1.0) * F.when(F.col("shown"), 1.2).otherwise(1.0)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "first"))
-    return by.withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= most).select(F.col("id").alias(id_col), "rank", F.col("word").alias("keyword"), "score")
-
-
-def detect_language(c: Column) -> Column:
-    """Language and confidence; without a detector, English at one half. Plug a function in by replacing this column."""
-    return F.struct(F.lit("en").alias("language"), F.lit(0.5).alias("confidence"))
+
+    @F.pandas_udf("language string, confidence double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([language_of(t, profiles or PROFILES) for t in texts], columns=["language", "confidence"])
+
+    return run(c)
+
+
+SPANS = re.compile(r"(?<=[^\W\d_A-Z] )([A-Z]\w+(?: [A-Z]\w+)*)")
+
+
+def entities_of(text: str | None, most: int) -> list[dict[str, str]]:
+    """Spans of capitalised words behind a word, each once, in order."""
+    return [{"text": s, "type": "PERSON_OR_ORG" if " " in s else "NAME"} for s in dict.fromkeys(SPANS.findall((text or "")[:most]))]
+
+
+def named_entities(c: Column, most: int = 1000, recognise: Callable[[str | None, int], list[dict[str, str]]] | None = None) -> Column:
+    """Entities with their types in a text's first characters, as a feature; by capitals, or by a given recogniser."""
+
+    @F.pandas_udf("array<struct<text: string, type: string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: (recognise or entities_of)(t, most))
+
+    return run(c)
+
+
+#: Tags of closed classes, and of endings, the first that fits.
+CLOSED = {"DT": "the a an this that".split(), "CC": "and or but".split(), "IN": "of in to for with on at by from".split(), "PRP": "i you he she it we they".split()}
+ENDINGS = (("ly", "RB"), ("ing", "VBG"), ("ed", "VBD"), ("ion", "NN"), ("ness", "NN"), ("ment", "NN"), ("ous", "JJ"), ("ful", "JJ"), ("able", "JJ"), ("s", "NNS"))
+
+
+def tags_of(text: str | None, most: int) -> list[dict[str, str]]:
+    """Words with tags by class, shape and ending."""
+    out = []
+    for w in re.findall(r"\w+", (text or "")[:most]):
+        low = w.lower()
+        closed = next((tag for tag, own in CLOSED.items() if low in own), None)
+        out.append({"token": w, "tag": closed or ("CD" if w.isdigit() else next((tag for end, tag in ENDINGS if low.endswith(end)), "NN"))})
+    return out
+
+
+def pos_tags(c: Column, most: int = 500, tag: Callable[[str | None, int], list[dict[str, str]]] | None = None) -> Column:
+    """Words with tags in a text's first characters, as a feature; by simple rules, or by a given tagger."""
+
+    @F.pandas_udf("array<struct<token: string, tag: string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: (tag or tags_of)(t, most))
+
+    return run(c)
+
+
+def describe(docs: DataFrame, id_col: str, text_col: str, url: Column) -> DataFrame:
+    """Each text's metadata as one struct: keywords, language, content type, entities, tags, readability, sentiment, terms."""
+    c = F.col(text_col)
+    words = keywords(docs, id_col, text_col).groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("rank", "keyword"))).alias("__words"))
+    rows = docs.join(words, docs[id_col] == F.col("__id"), "left")
+    made = F.struct(
+        F.coalesce(F.transform("__words", lambda w: w["keyword"]), F.array().cast("array<string>")).alias("keywords"), detect_language(c).alias("language"), content_type(c, url).alias("content_type"),
+        named_entities(c).alias("named_entities"), pos_tags(c).alias("pos_tags"), readability(c).alias("readability"), sentiment(c).alias("sentiment"), technical_terms(c).alias("technical_terms"), business_terms(c).alias("business_terms"),
+    )
+    return fence(rows, metadata=made).drop("__id", "__words")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.functions.text import sentences, strip, word_count, words
+from lodeworks.functions.text import SPACE, fence, sentences, strip, word_count, words
 
 # Fixed values.
 WEIGHTS = {"length": 0.2, "language": 0.15, "readability": 0.25, "completeness": 0.2, "uniqueness": 0.2}
@@ -38,75 +38,118 @@ def present(*issues: Column) -> Column:
 
 
 def length_score(c: Column, least: int = 100, most: int = 5000, least_words: int = 20) -> Column:
-    n, w = F.length(strip(c)), word_count(c)
+    return _length_score(F.length(strip(c)), word_count(c), least, most, least_words)
+
+
+def _length_score(n: Column, w: Column, least: int, most: int, least_words: int) -> Column:
     return F.when(n < least, 0.0).when(n > most, 0.5).when(w < least_words, 0.3).when(n <= 1000, 1.0).when(n <= 2000, 0.9).otherwise(0.8)
 
 
-def length_issue(c: Column, least: int = 100, most: int = 5000, least_words: int = 20) -> Column:
-    n, w = F.length(strip(c)), word_count(c)
+def _length_issue(n: Column, w: Column, least: int, most: int, least_words: int) -> Column:
     say = lambda name, value, sign, bound: F.concat(F.lit(f"{name} ("), value.cast("string"), F.lit(f" {sign} {bound})"))
     return F.when(n < least, say("text_too_short", n, "<", least)).when(n > most, say("text_too_long", n, ">", most)).when(w < least_words, say("insufficient_words", w, "<", least_words))
 
 
-def _is_english(c: Column) -> Column:
-    low = F.lower(c)
+def _is_english(low: Column) -> Column:
     return sum((F.contains(low, F.lit(w)).cast("int") for w in ENGLISH), F.lit(0)) >= 2
 
 
 def _ascii_share(c: Column) -> Column:
-    return F.when(F.length(c) > 0, F.length(F.regexp_replace(c, r"[^\x00-\x7F]", "")) / F.length(c)).otherwise(F.lit(1.0))
+    return F.when(F.length(c) > 0, F.length(F.regexp_replace(c, r"[^\x00-\x7F]+", "")) / F.length(c)).otherwise(F.lit(1.0))
 
 
 def language_score(c: Column, language: Column) -> Column:
-    return F.when(_is_english(c), 1.0).when(language != "en", 0.2).when(_ascii_share(c) < 0.8, 0.5).otherwise(1.0)
+    return _language_score(_is_english(F.lower(c)), _ascii_share(c), language)
+
+
+def _language_score(english: Column, ascii_share: Column, language: Column) -> Column:
+    return F.when(english, 1.0).when(language != "en", 0.2).when(ascii_share < 0.8, 0.5).otherwise(1.0)
 
 
-def language_issue(c: Column, language: Column) -> Column:
-    return F.when(_is_english(c), F.lit(None)).when(language != "en", F.concat(F.lit("non_english_content ("), language, F.lit(")"))).when(_ascii_share(c) < 0.8, F.lit("excessive_non_ascii_characters"))
+def _language_issue(english: Column, ascii_share: Column, language: Column) -> Column:
+    return F.when(english, F.lit(None)).when(language != "en", F.concat(F.lit("non_english_content ("), language, F.lit(")"))).when(ascii_share < 0.8, F.lit("excessive_non_ascii_characters"))
 
 
-def _readability(c: Column) -> tuple[Column, Column, Column]:
-    gibberish = F.lit(False)
+def _gibberish(c: Column) -> Column:
+    found = F.lit(False)
     for p in GIBBERISH:
-        gibberish = gibberish | c.rlike(p)
-    proper = F.exists(F.split(c, r"[.!?]+"), lambda s: (F.length(strip(s)) > 10) & F.contains(strip(s), F.lit(" ")))
-    n = word_count(c)
-    marks = F.length(c) - F.length(F.translate(c, ".!?,:;", ""))
-    return gibberish, ~proper & (F.length(c) > 100), (n > 0) & (marks / F.greatest(n, F.lit(1)) > 0.5)
+        found = found | c.rlike(p)
+    return found
 
 
-def readability_score(c: Column) -> Column:
-    factors = zip(_readability(c), (0.5, 0.3, 0.7), strict=True)
-    out = F.lit(1.0)
-    for bad, by in factors:
-        out = out * F.when(bad, by).otherwise(1.0)
-    return out
+def _improper(c: Column, parts: Column) -> Column:
+    """Whether a long text has no sentence: no part between sentence ends with a blank inside and more than ten characters."""
+    return ~F.exists(parts, lambda s: (F.length(s) > 10) & (F.length(strip(s)) > 10) & F.contains(strip(s), F.lit(" "))) & (F.length(c) > 100)
+
+
+def _marks(c: Column) -> Column:
+    return F.length(c) - F.length(F.translate(c, ".!?,:;", ""))
 
 
-def readability_issues(c: Column) -> list[Column]:
-    names = ("gibberish_content_detected", "no_proper_sentences", "excessive_punctuation")
-    return [F.when(bad, F.lit(name)) for bad, name in zip(_readability(c), names, strict=True)]
+def _noisy(c: Column, low: Column) -> Column:
+    """Whether more than two patterns are in a text; each is tried only where its first word is."""
+    return sum((F.when(F.contains(low, F.lit(p.split(".*")[0])), c.rlike("(?i)" + p)).otherwise(False).cast("int") for p in NOISE), F.lit(0)) > 2
 
 
-def _completeness(c: Column) -> tuple[Column, Column, Column]:
-    noise = sum((c.rlike("(?i)" + p).cast("int") for p in NOISE), F.lit(0))
-    cut = F.lit(False)
+def _cut(s: Column) -> Column:
+    found = F.lit(False)
     for end in TRUNCATED:
-        cut = cut | strip(c).endswith(end)
-    n, long = word_count(c), F.size(F.filter(words(c), lambda w: F.length(w) > 3))
-    return noise > 2, cut, (n > 0) & (long / F.greatest(n, F.lit(1)) < 0.5)
+        found = found | s.endswith(end)
+    return found
 
 
-def completeness_score(c: Column) -> Column:
+def _product(*factors: tuple[Column, float]) -> Column:
     out = F.lit(1.0)
-    for bad, by in zip(_completeness(c), (0.5, 0.8, 0.6), strict=True):
+    for bad, by in factors:
         out = out * F.when(bad, by).otherwise(1.0)
     return out
 
 
-def completeness_issues(c: Column) -> list[Column]:
-    names = ("excessive_boilerplate_content", "truncated_content", "low_meaningful_content_ratio")
-    return [F.when(bad, F.lit(name)) for bad, name in zip(_completeness(c), names, strict=True)]
+def _readability(gibberish: Column, improper: Column, pointed: Column) -> Column:
+    return _product((gibberish, 0.5), (improper, 0.3), (pointed, 0.7))
+
+
+def _completeness(noisy: Column, cut: Column, thin: Column) -> Column:
+    return _product((noisy, 0.5), (cut, 0.8), (thin, 0.6))
+
+
+def _share_above(part: Column, n: Column, bound: float) -> Column:
+    return (n > 0) & (part / F.greatest(n, F.lit(1)) > bound)
+
+
+def _share_below(part: Column, n: Column, bound: float) -> Column:
+    return (n > 0) & (part / F.greatest(n, F.lit(1)) < bound)
+
+
+def readability_score(c: Column) -> Column:
+    return _readability(_gibberish(c), _improper(c, F.split(c, r"[.!?]+")), _share_above(_marks(c), word_count(c), 0.5))
+
+
+def completeness_score(c: Column) -> Column:
+    found = words(c)
+    return _completeness(_noisy(c, F.lower(c)), _cut(strip(c)), _share_below(F.size(F.filter(found, lambda w: F.length(w) > 3)), F.size(found), 0.5))
+
+
+def measured(df: DataFrame, text: str, language: Column, least: int = 100, most: int = 5000, least_words: int = 20) -> DataFrame:
+    """df with length_score, language_score, readability_score, completeness_score and issues of a text column.
+
+    Each sign of a text is found once and serves the scores and the issues alike.
+    """
+    c, q = F.col(text), lambda name: F.col(f"__q_{name}")
+    rows = fence(df, __q_s=strip(c), __q_low=F.lower(c), __q_language=language)
+    rows = fence(rows, __q_words=F.when(q("s") == "", F.array().cast("array<string>")).otherwise(F.split(q("s"), SPACE + "+")), __q_parts=F.split(c, r"[.!?]+"))
+    rows = fence(
+        rows, __q_n=F.length(q("s")), __q_w=F.size(q("words")), __q_long=F.size(F.filter(q("words"), lambda w: F.length(w) > 3)), __q_marks=_marks(c), __q_english=_is_english(q("low")), __q_ascii=_ascii_share(c),
+        __q_gibberish=_gibberish(c), __q_improper=_improper(c, q("parts")), __q_noisy=_noisy(c, q("low")), __q_cut=_cut(q("s")),
+    )
+    pointed, thin = _share_above(q("marks"), q("w"), 0.5), _share_below(q("long"), q("w"), 0.5)
+    named = ((q("gibberish"), "gibberish_content_detected"), (q("improper"), "no_proper_sentences"), (pointed, "excessive_punctuation"), (q("noisy"), "excessive_boilerplate_content"), (q("cut"), "truncated_content"), (thin, "low_meaningful_content_ratio"))
+    issues = present(_length_issue(q("n"), q("w"), least, most, least_words), _language_issue(q("english"), q("ascii"), q("language")), *(F.when(bad, F.lit(name)) for bad, name in named))
+    out = fence(
+        rows, length_score=_length_score(q("n"), q("w"), least, most, least_words), language_score=_language_score(q("english"), q("ascii"), q("language")),
+        readability_score=_readability(q("gibberish"), q("improper"), pointed), completeness_score=_completeness(q("noisy"), q("cut"), thin), issues=issues,
+    )
+    return out.drop(*(x for x in out.columns if x.startswith("__q_")))
 
 
 def overall(length: Column, language: Column, readability: Column, completeness: Column, uniqueness: Column) -> Column:
@@ -133,6 +176,17 @@ def sanity(c: Column, least: int = 50) -> Column:
     return F.struct((F.length(c) >= least).alias("is_valid"), F.greatest(F.lit(0.0), score).alias("score"), unique.alias("unique_ratio"), letters.alias("alpha_ratio"), average.alias("avg_sentence_length"))
 
 
+def sanity_of(t: str, n_sentences: int, least: int = 50) -> dict[str, float]:
+    """sanity's score and ratios of a string with so many sentences, in a worker."""
+    tokens = t.lower().split()
+    unique, letters, average = len(set(tokens)) / max(len(tokens), 1), sum(map(str.isalpha, t)) / max(len(t), 1), len(tokens) / max(n_sentences, 1)
+    off = ((len(t) < least, 0.2), (bool(tokens) and unique < 0.2, 0.1), (letters < 0.3, 0.1), (n_sentences == 0, 0.1), (average > 50, 0.1))
+    score = 1.0
+    for bad, by in off:
+        score -= by if bad else 0.0
+    return {"score": max(0.0, score), "unique_ratio": unique, "alpha_ratio": letters, "avg_sentence_length": average}
+
+
 def missing_metadata(chunk_id: Column, source_url: Column, index: Column, chars: Column, n_words: Column, metadata: Column) -> Column:
     """Names of required fields that a chunk lacks. Invalid counts are named twice, for the field and for the check."""
     blank = lambda c: F.coalesce(strip(c) == "", F.lit(True))

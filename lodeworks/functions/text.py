@@ -7,15 +7,17 @@ separators 1C to 1F; case and word boundaries follow Unicode.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Patterns whose exact form decides results.
 SPACE = r"(?U)[\s\x1c-\x1f]"
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 URL = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
 PHONE = r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b"
@@ -54,7 +56,13 @@ def sub(c: Column, pattern: str, by: str) -> Column:
 
 def strip(c: Column) -> Column:
     """Both ends without white space."""
-    return sub(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def fence(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are evaluated once a row: no later filter or projection repeats what makes them."""
+    made = F.explode(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))).alias("__made")
+    return df.select("*", made).select(*(F.col(f"`{c}`") for c in df.columns if c not in columns), *(F.col(f"__made.{k}").alias(k) for k in columns))
 
 
 def words(c: Column) -> Column:
@@ -63,7 +71,8 @@ def words(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(words(c))
+    inside = strip(c)
+    return F.when(inside == "", 0).otherwise(F.size(F.split(inside, SPACE + "+")))
 
 
 def squeeze(c: Column) -> Column:
@@ -100,6 +109,16 @@ def normalise(c: Column) -> Column:
     return strip(c)
 
 
+NORMAL = ((" {2,}", " "), ("\n +", "\n"), (" +\n", "\n"), (" +([,.!?;:])", r"\1"), ("([,.!?;:])([a-zA-Z])", r"\1 \2"))
+
+
+def normalised(t: str) -> str:
+    """normalise of a string in a worker."""
+    for pattern, by in NORMAL:
+        t = re.sub(pattern, by, t)
+    return t.strip()
+
+
 def clean_extracted(c: Column) -> Column:
     """The cleaning of extracted pages: spaces squeezed, entities decoded, addresses deleted, runs shortened."""
     c = squeeze(F.coalesce(c, F.lit("")))

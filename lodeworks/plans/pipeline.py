@@ -14,8 +14,7 @@ from lodeworks.sources import table
 def chunk_quality(docs: DataFrame) -> DataFrame:
     """Documents to simple chunks with sub-scores, without a shuffle."""
     rows = docs.select("doc_id", F.posexplode(chunking.simple(F.col("text"))).alias("chunk_index", "chunk"))
-    c, en = F.col("chunk"), F.lit("en")
-    return rows.select("doc_id", "chunk_index", c, quality.length_score(c).alias("length_score"), quality.language_score(c, en).alias("language_score"), quality.readability_score(c).alias("readability_score"), quality.completeness_score(c).alias("completeness_score"))
+    return quality.measured(rows, "chunk", F.lit("en"))
 
 
 def flagship(spark, sf_dir) -> DataFrame:
@@ -51,11 +50,12 @@ def ingest(pages: DataFrame, size: int = 64, threshold: float = 0.6) -> DataFram
     """
     content = html.pages_to_content(pages).select("page_id", "url", F.col("clean_text").alias("text"))
     chunks = chunking.chunk_pages(content, sizes=chunking.Sizes(1000, 100, 100))
-    c = F.col("clean_text")
-    issues = quality.present(quality.length_issue(c), *quality.readability_issues(c), *quality.completeness_issues(c))
-    kept = chunks.where(F.size(issues) == 0).withColumn("seq", F.col("page_id") * 100_000 + F.col("chunk_index"))
+    scored = quality.measured(chunks, "clean_text", F.lit("en"))
+    # Another language or a copy harms nobody.
+    kept = scored.where(~F.exists("issues", lambda i: ~i.startswith("non_english_content"))).withColumn("seq", F.struct("page_id", "chunk_index"))
     fresh = vectors.new_rows(kept, None, "clean_text")
-    return fresh.select("chunk_id", "url", "chunk_index", "clean_text", "content_hash", text.record_id(c, F.col("seq")).alias("record_id"), vectors.embed(c, size).alias("embedding"))
+    c = F.col("clean_text")
+    return fresh.select("chunk_id", "url", "chunk_index", c, "content_hash", text.record_id(c, F.concat_ws("_", "page_id", "chunk_index")).alias("record_id"), vectors.embed(c, size).alias("embedding"))
 
 
 def ingest_pages(spark, sf_dir) -> DataFrame:

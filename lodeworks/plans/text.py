@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.functions import chunking, metadata, quality, text, urls
+from lodeworks.functions.text import fence
+from lodeworks.operators import dedup
 from lodeworks.sources import table
 
 DOMAIN = "example.com"
@@ -195,16 +197,42 @@ SELECT doc_id, n >= 50 AS is_valid, round(greatest(0, 1.0::DOUBLE - CASE WHEN n
 
 
 def scored(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Documents as chunks with all sub-scores, the issues and the verdict; uniqueness by exact hash in the order of id."""
-    c, lang = F.col("text"), F.col("lang")
-    first = F.row_number().over(Window.partitionBy("hash").orderBy("doc_id")) == 1
-    rows = docs.withColumn("hash", text.content_hash(c)).select("doc_id", F.col("hash"), first.alias("first"), quality.length_score(c).alias("length_score"), quality.language_score(c, lang).alias("language_score"), quality.readability_score(c).alias("readability_score"), quality.completeness_score(c).alias("completeness_score"), quality.present(quality.length_issue(c), quality.language_issue(c, lang), *quality.readability_issues(c), *quality.completeness_issues(c)).alias("issues"))
+    """Documents as chunks with all sub-scores, the issues and the verdict; uniqueness by exact hash in the order of id.
+
+    The first of equal texts is the smallest id of their hash, found with partial minima, so that a text that many
+    documents share is never in one task. Without a hash of its own, a null text is unlike any other.
+    """
+    rows = quality.measured(docs.select("doc_id", "text", "lang"), "text", F.col("lang"))
+    rows = fence(rows, hash=text.content_hash(F.col("text"))).drop("text", "lang")
+    firsts = rows.groupBy("hash").agg(F.min("doc_id").alias("first_id"))
+    rows = rows.join(firsts, "hash", "left").withColumn("first", F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(True)))
     rows = rows.withColumns({"uniqueness_score": F.when(F.col("first"), 1.0).otherwise(0.0), "issues": F.when(F.col("first"), F.col("issues")).otherwise(F.array_append("issues", F.lit("duplicate_content")))})
     parts = [F.col(f"{k}_score") for k in quality.WEIGHTS]
     rows = rows.withColumn("overall_score", quality.overall(*parts))
     return rows.withColumn("passed", quality.passed(F.col("overall_score"), F.col("issues"), threshold))
 
 
+def quality_recent(spark, sf_dir):
+    """Uniqueness as a run sees it that takes a source's documents in the order of id: against its last accepted ones."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "source", "lang")
+    rows = quality.measured(docs, "text", F.col("lang"))
+    others = sum((F.col(f"{k}_score") * w for k, w in quality.WEIGHTS.items() if k != "uniqueness"), F.lit(0.0))
+    rows = fence(rows, others=F.when(F.size(F.filter("issues", lambda i: ~i.startswith("non_english_content"))) == 0, others))
+    return dedup.uniqueness(rows, "source", "doc_id", "text", "others").select(F.col("seq").alias("doc_id"), "uniqueness_score", "similar_to")
+
+
+def metadata_struct(spark, sf_dir):
+    """Every document's metadata struct, its parts side by side."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    m = metadata.describe(docs, "doc_id", "text", F.concat(F.lit(f"https://{DOMAIN}/p/"), F.col("doc_id").cast("string")))
+    flat = lambda c, *k: F.array_join(F.transform(c, lambda x: F.concat_ws("/", *(x[n] for n in k))), " ")
+    return m.select(
+        "doc_id", F.array_join("metadata.keywords", ",").alias("keywords"), F.col("metadata.language.language").alias("language"), F.round("metadata.language.confidence", 5).alias("language_confidence"), F.col("metadata.content_type").alias("content_type"),
+        flat("metadata.named_entities", "text", "type").alias("entities"), flat("metadata.pos_tags", "token", "tag").alias("tags"), F.round("metadata.readability", 4).alias("readability"),
+        F.col("metadata.sentiment.positive_indicators").alias("positive"), F.array_join("metadata.technical_terms", ",").alias("technical_terms"),
+    )
+
+
 def quality_scores(spark, sf_dir):
     s = scored(_docs(spark, sf_dir))
     return s.select("doc_id", *(F.round(f"{k}_score", 6).alias(f"{k}_score") for k in (*quality.WEIGHTS, "overall")), F.array_join("issues", "; ").alias("issues"))
@@ -459,6 +487,8 @@ QUERIES = {
     "chunk_smart": _packed(chunking.smart),
     "chunk_sanity": chunk_sanity,
     "quality_scores": quality_scores,
+    "quality_recent": quality_recent,
+    "metadata_struct": metadata_struct,
     "quality_pass": quality_pass,
     "quality_report": quality_report,
     "quality_issues_topk": quality_issues_topk,
