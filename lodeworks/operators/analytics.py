@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ THROUGHPUT, ERROR_RATE, DURATION = (1.0, 0.1), (0.05, 0.1), (5.0, 10.0)
 SLOW_MS, MANY_ERRORS, MANY_QUERIES = 5000, 0.1, 100
 STEP_WEIGHTS = (0.15, 0.20, 0.45, 0.15, 0.05)
 # End of fixed values.
+#: Width of a band of latencies.
+BAND = 1000
 
 
 def since(rows: DataFrame, span: str, ts: str = "ts", end: Column | None = None) -> DataFrame:
@@ -35,13 +40,15 @@ def histogram(rows: DataFrame, column: str) -> DataFrame:
 def latency(rows: DataFrame, value: str = "response_time_ms", by: str | None = None) -> DataFrame:
     """Minimum, maximum, mean, and the values at places n // 2 and int(n * 0.95) of the sorted list.
 
-    Equal values are counted first; a running count over distinct values then finds the places, within partitions of the
-    key if there is one, so that no list of all values is ever built.
+    Equal values are counted first. Running counts over distinct values then find the places, in bands of BAND units: what
+    the bands below hold is summed up over the few bands, so that no task sees more than one band's values.
     """
     key = [by] if by else []
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*key).orderBy(value) if key else Window.orderBy(value)
-    placed = counts.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(*key)))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("n")).withColumn("band", F.floor(F.col(value) / BAND))
+    bands = counts.groupBy(*key, "band").agg(F.sum("n").alias("held"))
+    below = Window.partitionBy(*key).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    bands = bands.select(*key, "band", F.coalesce(F.sum("held").over(below), F.lit(0)).alias("below"), F.sum("held").over(Window.partitionBy(*key)).alias("total"))
+    placed = counts.join(bands, [*key, "band"]).withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy(*key, "band").orderBy(value)))
     at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
     return placed.groupBy(*key).agg(
         F.min(value).alias("min"), F.max(value).alias("max"), (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("average"),
@@ -118,6 +125,27 @@ def stage_rates(counts: DataFrame, stages: tuple[str, ...]) -> DataFrame:
     return counts.select("*", *(F.try_divide(F.col(b), F.col(a)).alias(f"{b}_rate") for a, b in zip(stages, stages[1:], strict=False)))
 
 
+def ratios(results: DataFrame) -> DataFrame:
+    """Runs with the share that was loaded, the share of pages that came, and whether there are sources; 0 of nothing is 0."""
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    return results.withColumns({"upload_rate": share("uploaded", "total"), "success_percent": share("succeeded", "attempted") * 100, "duration_seconds": F.col("end_time") - F.col("start_time"), "has_sources": F.size("sources") > 0})
+
+
+def step_view(steps: DataFrame) -> DataFrame:
+    """Each step's duration, up to now if it runs, and items a second."""
+    took = F.coalesce("end_time", F.col("now")) - F.col("start_time")
+    return steps.withColumn("duration", took).withColumn("items_per_second", F.coalesce(F.try_divide(F.col("items_processed"), F.when(took > 0, took)), F.lit(0.0)))
+
+
+def system_samples(spark, sample: Callable[[], dict[str, float]], times: int, pause: float = 1.0) -> DataFrame:
+    """Rows of a given sampler of this machine, a pause apart."""
+    rows = []
+    for k in range(times):
+        rows.append((k, time.time(), *(float(sample().get(name, 0.0)) for name in HIGH_IS_BAD)))
+        time.sleep(pause if k + 1 < times else 0)
+    return spark.createDataFrame(rows, "seq int, ts double, " + ", ".join(f"{name} double" for name in HIGH_IS_BAD))
+
+
 def file_summary(files: DataFrame) -> DataFrame:
     ok = F.col("success")
     return files.agg(F.count("*").alias("files"), F.count_if(ok).alias("succeeded"), F.sum(F.when(ok, F.col("word_count"))).alias("words"), F.sum(F.when(ok, F.col("char_count"))).alias("characters"), F.avg(F.when(ok, F.col("word_count"))).alias("average_words"))

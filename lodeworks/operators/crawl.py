@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from itertools import count
 
@@ -12,11 +14,15 @@ from lodeworks.functions.urls import first_of_each
 
 
 def shared_dir(spark) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, a temporary one only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir of the session. Where it is unset, a temporary folder
+    serves a local master; others raise, as their executors would each write to a disk of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+
         where = "file://" + tempfile.mkdtemp(prefix="lodeworks-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -24,26 +30,46 @@ def shared_dir(spark) -> str:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a written table, so that each round's plan stays as short as the first's."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _appended(df, f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}")
+
+
+def _appended(df: DataFrame, path: str) -> DataFrame:
+    """The table at path after df has gone behind it; the table goes when Python ends."""
+    spark = df.sparkSession
+    if path not in _DROPPED:
+        _DROPPED.add(path)
+        atexit.register(_drop, spark, path)
+    df.write.mode("append").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_DROPPED: set[str] = set()
+
+
+def _drop(spark, path: str) -> None:
+    with contextlib.suppress(Exception):
+        sc = spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def crawl(seeds: DataFrame, links: DataFrame, depth: int | None = 3, most: int | None = None) -> DataFrame:
     """(url, depth): what links (url, link) reach from the seeds within so many rounds, each address at its first depth.
 
     depth, a feature of the crawl, bounds the rounds; with None they go on until the frontier is empty.
-    Each round joins the frontier to the links and drops what was visited; a frontier of any size is a table. most, if
+    Each round joins the frontier to the links, drops what was visited and goes behind it; a frontier of any size is a table. most, if
     given, bounds the pages by (depth, url), a feature of the crawl.
     """
-    seen = written(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "crawl")
+    spark = seeds.sparkSession
+    path = f"{shared_dir(spark)}/crawl-{uuid.uuid4().hex}"
+    seen = _appended(seeds.select("url").distinct().withColumn("depth", F.lit(0)), path)
     front = seen
     for k in count(1) if depth is None else range(1, depth + 1):
         found = front.join(links, "url").select(F.col("link").alias("url")).distinct().join(seen, "url", "left_anti")
-        front = written(found.withColumn("depth", F.lit(k)), "crawl")
+        front = written(found.withColumn("depth", F.lit(k)), "frontier")
         if front.isEmpty():
             break
-        seen = written(seen.union(front), "crawl")
+        seen = _appended(front, path)
     return seen if most is None else seen.orderBy("depth", "url").limit(most)
 
 

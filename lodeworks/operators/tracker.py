@@ -15,10 +15,10 @@ def step_dimension(spark: SparkSession) -> DataFrame:
 
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last row of each key: one aggregation, without a sort of the key's rows."""
+    """The last row of each key: one aggregation, without a sort of the key's rows. Ties go to the largest other fields."""
     fields = [c for c in rows.columns if c != key]
-    top = rows.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct(*order)).alias("__top"))
-    return top.select(key, "__top.*")
+    top = rows.groupBy(key).agg(F.max(F.struct(*(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), F.struct(*fields).alias("__row"))).alias("__top"))
+    return top.select(key, "__top.__row.*")
 
 
 def at_maximum(rows: DataFrame, key: str, ts: str) -> DataFrame:
@@ -91,7 +91,7 @@ def started(jobs: DataFrame, steps: DataFrame) -> DataFrame:
 def state(events: DataFrame) -> DataFrame:
     """Steps as their last event left them: the log of events is the only thing that is ever written."""
     last = events.groupBy("job_id", "step_name").agg(
-        F.max_by("status", "ts").alias("status"), F.max_by("progress", F.when(F.col("progress").isNotNull(), F.col("ts"))).alias("progress"),
+        F.max(F.struct("ts", "status"))["status"].alias("status"), F.max(F.when(F.col("progress").isNotNull(), F.struct("ts", "progress")))["progress"].alias("progress"),
         F.min(F.when(F.col("status").isin(*ACTIVE), F.col("ts"))).alias("start_time"), F.max(F.when(F.col("status").isin(*DONE), F.col("ts"))).alias("end_time"),
     )
     return last
@@ -101,6 +101,36 @@ def last_errors(logs: DataFrame, n: int = 10) -> DataFrame:
     return logs.where(F.col("level") == "ERROR").orderBy(F.desc("ts")).limit(n)
 
 
+def flat_logs(jobs: DataFrame, logs: str = "logs", order: str = "ts") -> DataFrame:
+    """The log lines of all jobs that carry theirs as a list, each with its job, in order of time."""
+    return jobs.select("job_id", F.explode(logs).alias("__l")).select("job_id", "__l.*").orderBy(order, "job_id")
+
+
+#: Columns of the tracker's tables; a log of events is all that is written.
+TABLES = {
+    "jobs": "job_id string, status string, start_time double, end_time double, input_urls array<string>, error_message string",
+    "steps": "job_id string, step_name string, step_order int, status string, ts double, progress double, items_total long, items_processed long",
+    "metrics": "job_id string, ts double, total_urls long, processed_urls long, successful_urls long, failed_urls long, total_chunks long, total_embeddings long, total_vectors long, duplicate_count long",
+    "logs": "job_id string, ts double, level string, message string, step_name string",
+}
+
+
+def create_tables(spark: SparkSession, root: str) -> None:
+    """The tracker's tables under a folder, where they aren't yet."""
+    for name, schema in TABLES.items():
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{root}/{name}")
+
+
+def record(rows: DataFrame, root: str, name: str) -> None:
+    """Appends rows to one of the tracker's tables; columns they lack are null, a later version's columns are kept out."""
+    lacking = [f for f in rows.sparkSession.createDataFrame([], TABLES[name]).schema]
+    rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in lacking)).write.mode("append").parquet(f"{root}/{name}")
+
+
+def read(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
+
+
 def without_jobs(rows: DataFrame, jobs: DataFrame) -> DataFrame:
     """Rows of other tables whose job is gone too."""
     return rows.join(jobs.select("job_id"), "job_id", "left_anti")

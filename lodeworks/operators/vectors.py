@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from lodeworks.functions.metadata import contains_any
 from lodeworks.functions.text import raw_hash, record_id
+from lodeworks.operators.crawl import written
 
 COSINE, DOT, EUCLID, MANHATTAN = "cosine", "dot", "euclid", "manhattan"
 #: Query vectors a search broadcasts at once.
@@ -73,6 +74,8 @@ def batch_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, thresh
 
     Queries are broadcast in blocks of a fixed size; each batch of vectors is scored against a block by matrix products
     and keeps its own best rows for each query, so that the ranking shuffles no more than limit rows of a batch and query.
+    As in search, a score is null and ranks last where a vector has null components or another length than the query's,
+    and for a zero vector's cosine.
     """
     spark = vectors.sparkSession
     given = queries.select(F.col(query_id).alias("q"), F.col(query_col).alias("v"))
@@ -85,7 +88,9 @@ def batch_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, thresh
         held = dealt.where(F.col("block") == k).select("q", "v").toArrow()
         if not held.num_rows:
             continue
-        sent = spark.sparkContext.broadcast((held.column("q").combine_chunks(), np.array(held.column("v").to_pylist(), dtype=float)))
+        lists = held.column("v").to_pylist()
+        dims = max((len(v) for v in lists if v), default=1)
+        sent = spark.sparkContext.broadcast((held.column("q").combine_chunks(), rectangle(lists, dims)))
 
         def best(batches, sent=sent):
             names, q = sent.value
@@ -93,36 +98,48 @@ def batch_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, thresh
                 batch = batch.filter(batch.column(1).is_valid())
                 if not batch.num_rows:
                     continue
-                x = np.array(batch.column(1).to_pylist(), dtype=float)
+                x = rectangle(batch.column(1).to_pylist(), q.shape[1])
                 for i in range(0, len(q), 256):
                     s = matrix(metric, q[i : i + 256], x)
-                    near = np.argsort(sign * s, axis=1, kind="stable")[:, :limit]
+                    none = np.isnan(s)
+                    far = np.where(none, np.inf, sign * s)
                     # Ties at the edge all stay, for the ranking by id.
-                    edge = np.take_along_axis(s, near[:, -1:], 1)
-                    a, b = np.nonzero(sign * s <= sign * edge)
-                    value = s[a, b]
-                    if threshold is not None:
-                        fine = sign * value <= sign * threshold
-                        a, b, value = a[fine], b[fine], value[fine]
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(a + i)), batch.column(0).take(pa.array(b)), pa.array(value)], ["q", "id", "score"])
-
-        parts.append(vectors.select(id_col, vector_col).mapInArrow(best, schema))
+                    edge = np.take_along_axis(far, np.argsort(far, axis=1, kind="stable")[:, :limit], 1)[:, -1:]
+                    kept = far <= (edge if threshold is None else np.minimum(edge, sign * threshold))
+                    a, b = np.nonzero(kept)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(a + i)), batch.column(0).take(pa.array(b)), pa.array(s[a, b], mask=none[a, b])], ["q", "id", "score"])
+
+        found = vectors.select(id_col, vector_col).mapInArrow(best, schema)
+        if blocks > 1:  # a block's queries leave with its results, so that one block is held at a time
+            found = written(found, "best")
+            sent.destroy()
+        parts.append(found)
     if not parts:
         return spark.createDataFrame([], T.StructType([T.StructField(query_id, schema["q"].dataType), T.StructField("rank", T.IntegerType()), *schema.fields[1:]]))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.union(p)
-    order = Window.partitionBy("q").orderBy(F.asc("score") if ascending(metric) else F.desc("score"), "id")
+    order = Window.partitionBy("q").orderBy(F.asc_nulls_last("score") if ascending(metric) else F.desc_nulls_last("score"), "id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(F.col("q").alias(query_id), "rank", F.col("id").alias(id_col), "score")
 
 
+def rectangle(lists: list[list[float] | None], dims: int) -> np.ndarray:
+    """Vectors as rows; NaN throughout for those that are null, have null components or another length."""
+    out = np.full((len(lists), dims), np.nan)
+    for row, v in zip(out, lists, strict=True):
+        if v is not None and len(v) == dims and None not in v:
+            row[:] = v
+    return out
+
+
 def matrix(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     if metric == MANHATTAN:
         return np.stack([np.abs(x - v).sum(1) for v in q])
     if metric == EUCLID:
         return np.stack([np.sqrt(((x - v) ** 2).sum(1)) for v in q])
     if metric == COSINE:
-        q, x = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (q, x))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            q, x = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (q, x))
     return q @ x.T
 
 
@@ -167,6 +184,37 @@ def new_rows(batch: DataFrame, existing: DataFrame | None, text_col: str = "text
     return rows if existing is None else rows.join(existing.select("content_hash").distinct(), "content_hash", "left_anti")
 
 
+def known_hashes(collection: DataFrame) -> DataFrame:
+    """The content hashes a collection holds, each once."""
+    return collection.select("content_hash").where("content_hash is not null").distinct()
+
+
+def held(spark: SparkSession, path: str) -> bool:
+    """Whether there is a collection at path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def drop(spark: SparkSession, path: str) -> bool:
+    """Deletes the collection at path; whether there was one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def validate_load(collection: DataFrame, probes: DataFrame, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """What a load has to show: vectors, probes (query_id, query), probes that a search finds something for, and the verdict."""
+    found = batch_search(collection, probes, 1, id_col=id_col, vector_col=vector_col).where("score is not null").agg(F.count("*").alias("answered"))
+    counts = collection.agg(F.count("*").alias("vectors")).crossJoin(probes.agg(F.count("*").alias("probes"))).crossJoin(found)  # one row by one row
+    return counts.withColumn("valid", (F.col("vectors") > 0) & (F.col("answered") == F.col("probes")))
+
+
+def health(collection: DataFrame, size: int, vector_col: str = "embedding") -> DataFrame:
+    """Vectors, those that a search of a size can use, and the status: unhealthy without any, degraded if some are useless."""
+    fit = (F.size(vector_col) == size) & ~F.exists(vector_col, lambda x: x.isNull())
+    rows = collection.agg(F.count("*").alias("vectors"), F.count_if(fit).alias("usable"))
+    return rows.withColumn("status", F.when(F.col("usable") == 0, "unhealthy").when(F.col("usable") < F.col("vectors"), "degraded").otherwise("healthy"))
+
+
 def exists(collection: DataFrame, content_hash: str) -> DataFrame:
     return collection.where(F.col("content_hash") == content_hash).limit(1)
 
@@ -184,10 +232,12 @@ def upsert(spark: SparkSession, batch: DataFrame, path: str, text_col: str = "te
             raise
         existing = None
     rows = new_rows(batch, existing, text_col, order).withColumn("record_id", record_id(F.col(text_col), F.col(order)))
-    before = 0 if existing is None else existing.count()
+    # What is new is settled in a table first: the append reads that, whatever the collection has become.
+    rows = written(rows, "new")
+    uploaded = rows.count()
     rows.write.mode("append").parquet(path)
-    after = spark.read.parquet(path).count()
-    return batch.agg(F.count("*").alias("total")).select("total", F.lit(after - before).alias("uploaded"), F.lit(after).alias("in_collection"))
+    total = uploaded + (0 if existing is None else existing.count())
+    return batch.agg(F.count("*").alias("total")).select("total", F.lit(uploaded).alias("uploaded"), F.lit(total).alias("in_collection"))
 
 
 def info(collection: DataFrame, vector_col: str = "embedding") -> DataFrame:
@@ -195,14 +245,13 @@ def info(collection: DataFrame, vector_col: str = "embedding") -> DataFrame:
     return collection.agg(F.count("*").alias("vectors_count"), F.max(F.size(vector_col)).alias("vector_size"), F.count_if(F.col(vector_col).isNull()).alias("without_vector")).withColumn("status", F.when(F.col("vectors_count") > 0, "healthy").otherwise("empty"))
 
 
-def filtered_count(collection: DataFrame, should: list[Column], needle: Column, at_least: int = 50, looked_at: int = 500) -> DataFrame:
-    """Rows that meet any of some filters; where none does, rows among the first looked-at ones that hold the needle."""
+def filtered_count(collection: DataFrame, should: list[Column], needle: Column) -> DataFrame:
+    """Rows that meet any of some filters, rows that hold a needle, and whether there are any of either, in the whole table."""
     any_of = should[0]
     for c in should[1:]:
         any_of = any_of | c
-    direct = collection.agg(F.count_if(any_of).alias("direct"), F.count("*").alias("total"))
-    seen = collection.limit(looked_at).agg(F.count_if(needle).alias("held"))
-    return direct.crossJoin(seen).select("direct", "held", "total", ((F.col("direct") > 0) | (F.col("held") > 0) | (F.col("total") > at_least)).alias("exists"))  # one row by one row
+    found = collection.agg(F.count_if(any_of).alias("direct"), F.count_if(needle).alias("held"), F.count("*").alias("total"))
+    return found.withColumn("exists", (F.col("direct") > 0) | (F.col("held") > 0))
 
 
 def operation_times(log: DataFrame) -> DataFrame:

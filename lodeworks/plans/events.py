@@ -227,6 +227,47 @@ JOB_DETAIL_SQL = J_SQL + """, l AS (SELECT job_id, arg_max(v, ts) AS vectors FRO
 SELECT j.job_id, j.status, l.vectors, k::INT AS steps, CASE WHEN k IS NOT NULL THEN least(k, 50) END::INT AS logs FROM j LEFT JOIN l USING (job_id) LEFT JOIN n USING (job_id)"""
 
 
+def step_rates(spark, sf_dir):
+    v = analytics.step_view(job_steps(spark, sf_dir).withColumn("now", F.lit(9.5e8)))
+    return v.select("job_id", "step_order", "duration", F.round("items_per_second", 6).alias("items_per_second"))
+
+
+STEP_RATES_SQL = J_SQL + """, d AS (SELECT *, coalesce(end_time, 9.5e8::DOUBLE) - start_time AS duration FROM s)
+SELECT job_id, step_order, duration, round(CASE WHEN duration > 0 THEN items_processed / duration ELSE 0 END, 6) AS items_per_second FROM d"""
+
+
+def result_ratios(spark, sf_dir):
+    """Customers' orders as runs: orders that ended well of all, failed ones among those that ended."""
+    by = jobs(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("run")), "job_id")
+    s = F.col("status")
+    runs = by.groupBy("run").agg(F.count("*").alias("total"), F.count_if(s == "completed").alias("uploaded"), F.count_if(s != "running").alias("attempted"), F.count_if(s == "completed").alias("succeeded"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.collect_set(F.when(s == "failed", F.col("kind"))).alias("sources"))
+    return analytics.ratios(runs).select("run", F.round("upload_rate", 6).alias("upload_rate"), F.round("success_percent", 6).alias("success_percent"), "duration_seconds", "has_sources")
+
+
+RESULT_RATIOS_SQL = J_SQL + """, r AS (SELECT o_custkey AS run, count(*) AS total, count_if(status = 'completed') AS good, count_if(status <> 'running') AS ended, count_if(status = 'failed') AS bad, min(start_time) AS a, max(end_time) AS b
+  FROM j JOIN orders ON job_id = o_orderkey GROUP BY o_custkey)
+SELECT run, round(good / total, 6) AS upload_rate, round(CASE WHEN ended > 0 THEN good / ended * 100 ELSE 0 END, 6) AS success_percent, b - a AS duration_seconds, bad > 0 AS has_sources FROM r"""
+
+
+def job_logs_flat(spark, sf_dir):
+    steps = job_steps(spark, sf_dir)
+    by = steps.groupBy("job_id").agg(F.collect_list(F.struct(F.col("start_time").alias("ts"), F.when(F.col("status") == "failed", "ERROR").otherwise("INFO").alias("level"), "step_order")).alias("logs"))
+    return tracker.flat_logs(by)
+
+
+JOB_LOGS_FLAT_SQL = J_SQL + "SELECT job_id, start_time AS ts, CASE WHEN status = 'failed' THEN 'ERROR' ELSE 'INFO' END AS level, step_order FROM s"
+
+
+def scrape_report(spark, sf_dir):
+    """Pages as a scrape's outcome: one whose id is divisible by seven failed, as an example of an error."""
+    from lodeworks.functions.text import word_count
+    from lodeworks.functions.urls import page_type
+    from lodeworks.sources import sinks
+
+    p = table(spark, sf_dir, "pages").select(page_type(F.col("url")).alias("page_type"), word_count(F.col("html")).alias("word_count"), F.when(F.col("page_id") % 7 == 0, "status 500").alias("error"))
+    return sinks.scraping_report(p)
+
+
 def step_progress(spark, sf_dir):
     return analytics.progress(job_steps(spark, sf_dir)).withColumn("progress", F.round("progress", 6))
 
@@ -319,6 +360,15 @@ t AS (SELECT CASE WHEN ends_with(l, '/') AND length(l) - length(replace(l, '/',
 SELECT page_type, count(*) AS pages, sum(w)::BIGINT AS words, sum(n)::BIGINT AS characters, (sum(w) // count(*))::BIGINT AS average_words FROM t GROUP BY page_type"""
 
 
+def _scrape_report_sql() -> str:
+    from lodeworks.functions.urls import PAGE_TYPES
+    from lodeworks.plans.text import _case, words_sql
+
+    return f"""WITH p AS (SELECT lower(url) AS l, len({words_sql('html')}) AS w, page_id % 7 <> 0 AS ok FROM pages),
+t AS (SELECT CASE WHEN ends_with(l, '/') AND length(l) - length(replace(l, '/', '')) <= 3 THEN 'homepage' ELSE {_case('l', PAGE_TYPES, "'other'")} END AS page_type, w, ok FROM p)
+SELECT page_type, count(*) AS pages, count_if(ok)::BIGINT AS succeeded, sum(CASE WHEN ok THEN w ELSE 0 END)::BIGINT AS words FROM t GROUP BY page_type"""
+
+
 QUERIES = {
     "usage_stats": usage_stats,
     "latency_stats": latency_stats,
@@ -343,6 +393,10 @@ QUERIES = {
     "job_search": job_search,
     "job_durations": job_durations,
     "job_detail": job_detail,
+    "job_logs_flat": job_logs_flat,
+    "step_rates": step_rates,
+    "result_ratios": result_ratios,
+    "scrape_report": scrape_report,
     "step_progress": step_progress,
     "eta": eta,
     "stage_success": stage_success,
@@ -371,7 +425,7 @@ ORACLES = {
     "system_alerts": SYSTEM_SQL,
     "current_stats": CURRENT_SQL,
     "job_stats": JOB_STATS_SQL,
-    "job_latest_metrics": J_SQL + "SELECT job_id, ts, line, vectors, urls FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, line DESC) AS k FROM m) WHERE k = 1",
+    "job_latest_metrics": J_SQL + "SELECT job_id, ts, line, vectors, urls FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, line DESC, vectors DESC, urls DESC) AS k FROM m) WHERE k = 1",
     "job_current_step": J_SQL + "SELECT job_id, max(step_order) AS step_order, 'step ' || max(step_order) AS step_name FROM s WHERE status = 'running' GROUP BY job_id",
     "job_history": J_SQL + "SELECT job_id, status, kind, start_time, end_time FROM j ORDER BY start_time DESC, job_id DESC LIMIT 20",
     "job_retention": J_SQL + "SELECT status, count(*) AS n FROM j WHERE NOT (start_time < 8.5e8 AND status IN ('completed', 'failed', 'stopped')) GROUP BY status",
@@ -380,6 +434,10 @@ ORACLES = {
     "job_search": J_SQL + "SELECT job_id::VARCHAR AS job_id, kind FROM j WHERE (contains(job_id::VARCHAR, 'urgent') OR contains(lower(kind), 'urgent')) AND status = 'completed'",
     "job_durations": JOB_DURATIONS_SQL,
     "job_detail": JOB_DETAIL_SQL,
+    "job_logs_flat": JOB_LOGS_FLAT_SQL,
+    "step_rates": STEP_RATES_SQL,
+    "result_ratios": RESULT_RATIOS_SQL,
+    "scrape_report": _scrape_report_sql(),
     "step_progress": STEP_PROGRESS_SQL,
     "eta": ETA_SQL,
     "stage_success": STAGE_SQL,

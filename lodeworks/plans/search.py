@@ -91,17 +91,36 @@ VEC_RESULT_DEDUP_SQL = _HITS_SQL + "SELECT query_id, rank, id, text FROM (SELECT
 
 def vec_filtered_count(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    return vectors.filtered_count(rows, [F.col("label") == 1, F.col("label") == 3, F.col("id") == 7], F.col("label") == 2, looked_at=1_000_000).drop("held")
+    return vectors.filtered_count(rows, [F.col("label") == 1, F.col("label") == 3, F.col("id") == 7], F.col("label") == 2)
 
 
-VEC_FILTERED_COUNT_SQL = "SELECT count_if(label = 1 OR label = 3 OR vec_id = 7)::BIGINT AS direct, count(*) AS total, true AS exists FROM embeddings"
+VEC_FILTERED_COUNT_SQL = "SELECT count_if(label = 1 OR label = 3 OR vec_id = 7)::BIGINT AS direct, count_if(label = 2)::BIGINT AS held, count(*) AS total, count_if(label IN (1, 2, 3) OR vec_id = 7) > 0 AS exists FROM embeddings"
+
+
+def vec_validation(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return vectors.validate_load(v, v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query")))
+
+
+VEC_VALIDATION_SQL = """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+a AS (SELECT p.vec_id, max(list_dot_product(p.v, e.v) / nullif(p.n * e.n, 0)) AS best FROM e p, e WHERE p.vec_id % 20 = 0 GROUP BY p.vec_id)
+SELECT (SELECT count(*) FROM e) AS vectors, (SELECT count(*) FROM e WHERE vec_id % 20 = 0) AS probes, count(best) AS answered, count(best) = (SELECT count(*) FROM e WHERE vec_id % 20 = 0) AND (SELECT count(*) FROM e) > 0 AS valid FROM a
+"""
+
+
+def vec_health(spark, sf_dir):
+    return vectors.health(_vectors(spark, sf_dir), 64)
+
+
+VEC_HEALTH_SQL = "SELECT count(*) AS vectors, count_if(len(embedding) = 64 AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL), true))::BIGINT AS usable, CASE WHEN usable = 0 THEN 'unhealthy' WHEN usable < vectors THEN 'degraded' ELSE 'healthy' END AS status FROM embeddings"
 
 
 def vec_info(spark, sf_dir):
     return vectors.info(_vectors(spark, sf_dir))
 
 
-VEC_INFO_SQL = "SELECT count(*) AS vectors_count, max(len(embedding))::INT AS vector_size, count_if(embedding IS NULL)::BIGINT AS without_vector, 'healthy' AS status FROM embeddings"
+VEC_INFO_SQL = "SELECT count(*) AS vectors_count, max(len(embedding))::INT AS vector_size, count_if(embedding IS NULL)::BIGINT AS without_vector, CASE WHEN count(*) > 0 THEN 'healthy' ELSE 'empty' END AS status FROM embeddings"
 
 
 def embed_search(spark, sf_dir):
@@ -184,21 +203,13 @@ LEADS = ("", "What services do you offer? ", "Show me your portfolio ", "Tell me
 
 
 def _asked(spark, sf_dir) -> DataFrame:
-    lead = F.element_at(F.array(*map(F.lit, LEADS)), ((F.col("conv_id") + F.col("turn")) % len(LEADS) + 1).cast("int"))
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(lead, F.when(F.col("conv_id") % 3 == 0, F.col("text")).otherwise(F.lit("#now!"))).alias("query"))
-
-
-_leads = "[" + ", ".join("'" + x + "'" for x in LEADS) + "]"
-ASKED_SQL = f"WITH a AS (SELECT conv_id, turn, {_leads}[(conv_id + turn) % {len(LEADS)} + 1] || CASE WHEN conv_id % 3 = 0 THEN text ELSE '#now!' END AS query FROM conversations WHERE role = 'user')\n"
-
-
-def _asked_all(spark, sf_dir) -> DataFrame:
-    """Every user turn's own text behind its lead; _asked keeps it in each third conversation only, as its SQL does."""
+    """Every user turn's own text behind its lead."""
     lead = F.element_at(F.array(*map(F.lit, LEADS)), ((F.col("conv_id") + F.col("turn")) % len(LEADS) + 1).cast("int"))
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(lead, "text").alias("query"))
 
 
-ASKED_ALL_SQL = f"WITH a AS (SELECT conv_id, turn, {_leads}[(conv_id + turn) % {len(LEADS)} + 1] || text AS query FROM conversations WHERE role = 'user')\n"
+_leads = "[" + ", ".join("'" + x + "'" for x in LEADS) + "]"
+ASKED_SQL = f"WITH a AS (SELECT conv_id, turn, {_leads}[(conv_id + turn) % {len(LEADS)} + 1] || text AS query FROM conversations WHERE role = 'user')\n"
 
 
 def query_validate(spark, sf_dir):
@@ -213,13 +224,6 @@ QUERY_VALIDATE_SQL = (
 )
 
 
-def query_validate_all(spark, sf_dir):
-    return _asked_all(spark, sf_dir).select("conv_id", "turn", chat.query_error(F.col("query")).alias("error"))
-
-
-QUERY_VALIDATE_ALL_SQL = QUERY_VALIDATE_SQL.replace(ASKED_SQL, ASKED_ALL_SQL)
-
-
 def query_preprocess(spark, sf_dir):
     return _asked(spark, sf_dir).select("conv_id", "turn", chat.preprocess(F.col("query")).alias("processed"))
 
@@ -227,13 +231,6 @@ def query_preprocess(spark, sf_dir):
 QUERY_PREPROCESS_SQL = ASKED_SQL + f"SELECT conv_id, turn, lower(regexp_replace(regexp_replace({strip_sql('query')}, '{WS}+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}\\p{{M}}_ .?!,:-]', '', 'g')) AS processed FROM a"
 
 
-def query_preprocess_all(spark, sf_dir):
-    return _asked_all(spark, sf_dir).select("conv_id", "turn", chat.preprocess(F.col("query")).alias("processed"))
-
-
-QUERY_PREPROCESS_ALL_SQL = QUERY_PREPROCESS_SQL.replace(ASKED_SQL, ASKED_ALL_SQL)
-
-
 def query_intent(spark, sf_dir):
     return _asked(spark, sf_dir).select("conv_id", "turn", chat.intent(F.col("query")).alias("i")).select("conv_id", "turn", "i.*")
 
@@ -249,16 +246,22 @@ SELECT conv_id, turn, category, (CASE WHEN named = 'contact' THEN 0.9 WHEN named
 )
 
 
-def query_intent_all(spark, sf_dir):
-    return _asked_all(spark, sf_dir).select("conv_id", "turn", chat.intent(F.col("query")).alias("i")).select("conv_id", "turn", "i.*")
+def query_process(spark, sf_dir):
+    rows = chat.process(_asked(spark, sf_dir))
+    return rows.select("conv_id", "turn", "error", F.col("intent.category").alias("category"), chat.confidence_level(F.col("intent.confidence")).alias("level"), F.array_join(chat.follow_ups(F.col("intent.category")), "|").alias("follow_ups"))
 
 
-QUERY_INTENT_ALL_SQL = QUERY_INTENT_SQL.replace(ASKED_SQL, ASKED_ALL_SQL)
+def _knowledge(spark, sf_dir) -> DataFrame:
+    """Documents as the chunks of a collection."""
+    c = F.col("text")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), vectors.embed(c, 64).alias("embedding"), "text", F.concat(F.lit("https://example.com/"), "source").alias("source_url"), text.word_count(c).alias("word_count"), F.size(text.sentences(c)).alias("sentence_count"))
 
 
-def query_process(spark, sf_dir):
-    rows = chat.process(_asked_all(spark, sf_dir))
-    return rows.select("conv_id", "turn", "error", F.col("intent.category").alias("category"), chat.confidence_level(F.col("intent.confidence")).alias("level"), F.array_join(chat.follow_ups(F.col("intent.category")), "|").alias("follow_ups"))
+def chat_batch(spark, sf_dir):
+    """All user turns through the whole service, with the documents as its knowledge."""
+    asked = _asked(spark, sf_dir).select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), "query")
+    told = chat.respond(asked, _knowledge(spark, sf_dir), lambda c: vectors.embed(c, 64))
+    return told.select("query_id", "error", "category", "answer", "n_results", F.round("confidence", 5).alias("confidence"), "level", F.array_join("follow_ups", "|").alias("follow_ups"))
 
 
 def session_counts(spark, sf_dir):
@@ -346,12 +349,12 @@ QUERIES = {f"vec_topk_{m}": _topk(m) for m in _D} | {
     "duplicate_map": duplicate_map,
     "duplicate_map_all": duplicate_map_all,
     "query_validate": query_validate,
-    "query_validate_all": query_validate_all,
     "query_preprocess": query_preprocess,
-    "query_preprocess_all": query_preprocess_all,
     "query_intent": query_intent,
-    "query_intent_all": query_intent_all,
     "query_process": query_process,
+    "chat_batch": chat_batch,
+    "vec_validation": vec_validation,
+    "vec_health": vec_health,
     "session_counts": session_counts,
     "session_context": session_context,
     "session_running": session_running,
@@ -367,16 +370,15 @@ ORACLES = {f"vec_topk_{m}": _topk_sql(m) for m in _D} | {
     "vec_result_dedup": VEC_RESULT_DEDUP_SQL,
     "vec_filtered_count": VEC_FILTERED_COUNT_SQL,
     "vec_info": VEC_INFO_SQL,
+    "vec_validation": VEC_VALIDATION_SQL,
+    "vec_health": VEC_HEALTH_SQL,
     "ingest_dedup": INGEST_DEDUP_SQL,
     "exact_dedup": EXACT_DEDUP_SQL,
     "exact_pairs": EXACT_PAIRS_SQL,
     "duplicate_map": DUPLICATE_MAP_SQL,
     "query_validate": QUERY_VALIDATE_SQL,
-    "query_validate_all": QUERY_VALIDATE_ALL_SQL,
     "query_preprocess": QUERY_PREPROCESS_SQL,
-    "query_preprocess_all": QUERY_PREPROCESS_ALL_SQL,
     "query_intent": QUERY_INTENT_SQL,
-    "query_intent_all": QUERY_INTENT_ALL_SQL,
     "session_counts": SESSION_COUNTS_SQL,
     "session_context": SESSION_CONTEXT_SQL,
     "session_running": SESSION_RUNNING_SQL,

@@ -177,6 +177,22 @@ def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str]], at_once: int =
     return urls.select("url").repartition(at_once).mapInPandas(run, FETCHED)
 
 
+def accessible(urls: DataFrame, probe: Callable[[str], int]) -> DataFrame:
+    """(url, ok) by a given function that asks for an address's status; a failure or a status from 400 on isn't ok."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ok = []
+            for url in batch["url"]:
+                try:
+                    ok.append(probe(url) < 400)
+                except Exception:  # an address that can't be asked isn't accessible
+                    ok.append(False)
+            yield pd.DataFrame({"url": batch["url"], "ok": ok})
+
+    return urls.select("url").mapInPandas(run, "url string, ok boolean")
+
+
 def fetch_stats(fetched: DataFrame) -> DataFrame:
     ok = F.col("error").isNull()
     return fetched.groupBy("method_used").agg(F.count("*").alias("pages"), F.count_if(ok).alias("succeeded"), F.expr("coalesce(sum(content_length) div nullif(count_if(error is null), 0), 0)").alias("average_length"))
