@@ -240,6 +240,16 @@ def extract_all(html: Column) -> Column:
     return run(html)
 
 
+def page_lists(html: Column) -> Column:
+    """All lists of a page, those of its menus among them."""
+
+    @F.pandas_udf(EXTRACTED["lists"].dataType)
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda markup: lists(parse(markup)))
+
+    return run(html)
+
+
 def pages_to_content(pages: DataFrame, strict: bool = False) -> DataFrame:
     """Pages with clean text, headings, lists, metadata, page type and metrics."""
     rows = pages.withColumn("x", extract(F.col("html"), strict))

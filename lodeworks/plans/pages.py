@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import html
 from lodeworks.operators import crawl
+from lodeworks.plans.text import _clean_extracted_sql
 from lodeworks.sources import table
 
 
@@ -26,7 +27,26 @@ def html_headings(spark, sf_dir):
 
 
 def html_lists(spark, sf_dir):
-    return _content(spark, sf_dir).select("page_id", F.posexplode("lists").alias("place", "l")).select("page_id", "place", "l.type", F.array_join("l.items", "|").alias("items"))
+    found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(html.page_lists(F.col("html"))).alias("place", "l"))
+    return found.select("page_id", "place", "l.type", F.array_join("l.items", "|").alias("items"))
+
+
+HTML_HEADINGS_SQL = f"""
+WITH h AS (SELECT page_id, replace(replace(replace(regexp_extract(html, '(?s)<article>.*?<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages WHERE regexp_matches(html, '(?s)<article>.*?<h1>'))
+SELECT page_id, 0 AS place, 1 AS level, {_clean_extracted_sql('title')} AS clean_text FROM h
+"""
+
+HTML_LISTS_SQL = """
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1)) AS body, generate_subscripts(regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1), 1) - 1 AS place FROM pages)
+SELECT page_id, place::INT AS place, 'unordered' AS type, array_to_string(regexp_extract_all(body, '<li><a [^>]*>([^<]*)</a></li>', 1), '|') AS items FROM l
+"""
+
+#: Addresses of a page in order, each at its first place, made absolute by its scheme and host.
+LINKS_SQL = """
+WITH h AS (SELECT url, regexp_extract(url, '^[a-z]+://[^/]*') AS site, regexp_extract_all(html, '<(?:a|link|area) [^>]*href="([^"]*)"', 1) AS found FROM pages),
+e AS (SELECT url, CASE WHEN starts_with(x, '/') THEN site || x ELSE x END AS link, k FROM (SELECT url, site, unnest(found) AS x, generate_subscripts(found, 1) AS k FROM h)),
+f AS (SELECT url, link, min(k) AS k FROM e GROUP BY url, link)
+"""
 
 
 def html_metrics(spark, sf_dir):
@@ -84,4 +104,10 @@ QUERIES = {
     "crawl_links": crawl_links,
 }
 
-ORACLES = {"crawl_bfs": CRAWL_SQL}
+ORACLES = {
+    "crawl_bfs": CRAWL_SQL,
+    "html_headings": HTML_HEADINGS_SQL,
+    "html_lists": HTML_LISTS_SQL,
+    "links": LINKS_SQL + "SELECT url, (row_number() OVER (PARTITION BY url ORDER BY k) - 1)::INT AS place, link FROM f",
+    "links_wide": LINKS_SQL + "SELECT url, (row_number() OVER (PARTITION BY url ORDER BY link) - 1)::INT AS place, link FROM f",
+}

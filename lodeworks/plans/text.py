@@ -168,6 +168,29 @@ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no, k) - 1)
 """
 
 
+_parts = {
+    "paragraph": f"list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '')",
+    "sentence": f"list_filter(regexp_split_to_array({_sub(strip_sql('text'), '([.!?])' + WS + '+', chr(92) + '1' + chr(1))}, chr(1)), lambda x: x <> '')",
+}
+
+
+def _packed_sql(kind: str, glue: str) -> str:
+    """Parts joined by a glue up to 800 characters, what remains from 100 on, with places that count the chunks alone."""
+    fits = f"(now = '' OR length(now) + length({glue}) + length(parts[k + 1]) <= 800)"
+    return f"""
+WITH RECURSIVE s AS (SELECT doc_id, {_parts[kind]} AS parts FROM documents),
+f AS (SELECT doc_id, parts, 0 AS k, ''::VARCHAR AS now, NULL::VARCHAR AS done FROM s
+  UNION ALL
+  SELECT doc_id, parts, k + 1,
+    CASE WHEN k = len(parts) THEN '' WHEN now = '' THEN parts[k + 1] WHEN {fits} THEN now || {glue} || parts[k + 1] ELSE parts[k + 1] END,
+    CASE WHEN k = len(parts) THEN CASE WHEN length(now) >= 100 THEN now END WHEN {fits} THEN NULL ELSE now END
+  FROM f WHERE k <= len(parts)),
+c AS (SELECT doc_id, done AS chunk, length(done) AS n, row_number() OVER p - 1 AS chunk_index, coalesce(sum(length(done)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_char
+  FROM f WHERE done IS NOT NULL WINDOW p AS (PARTITION BY doc_id ORDER BY k))
+SELECT doc_id, chunk_index::INT AS chunk_index, chunk, start_char::INT AS start_char, (start_char + n)::INT AS end_char, len({words_sql('chunk')})::INT AS word_count, n::INT AS char_count FROM c
+"""
+
+
 def chunk_live(spark, sf_dir):
     pages = _docs(spark, sf_dir).select(F.concat(F.lit(f"https://{DOMAIN}/documents/"), F.col("doc_id").cast("string")).alias("url"), "text")
     return chunking.chunk_pages(pages).select("chunk_id", "chunk_index", "clean_text", "char_count", "word_count", "sentence_count", F.round("sanity.score", 6).alias("score"))
@@ -513,6 +536,8 @@ ORACLES = {
     "record_id": "SELECT doc_id, CASE WHEN length(text) > 0 THEN 'kb_' || substring(md5(text), 1, 12) ELSE 'kb_' || doc_id END AS record_id FROM documents",
     "content_metrics": CONTENT_METRICS_SQL,
     "chunk_simple": CHUNK_SIMPLE_SQL,
+    "chunk_paragraph": _packed_sql("paragraph", "chr(10) || chr(10)"),
+    "chunk_sentence": _packed_sql("sentence", "' '"),
     "chunk_sanity": CHUNK_SANITY_SQL,
     "quality_scores": QUALITY_SCORES_SQL,
     "quality_pass": QUALITY_PASS_SQL,

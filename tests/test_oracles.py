@@ -1,4 +1,4 @@
-"""Every query that has SQL, against DuckDB on the smallest tables; every other one runs and has rows or a schema."""
+"""Every query that has SQL, against DuckDB on the smallest tables; every other one has rows (test_brute.py checks them)."""
 
 import collections
 import datetime
@@ -52,4 +52,5 @@ def test_query_equals_sql(spark, duck, name):
 def test_query_runs(spark, name):
     if name.startswith("near_dup"):
         pytest.skip("held against brute force elsewhere")
-    assert QUERIES[name](spark, SF).count() >= 0
+    df = QUERIES[name](spark, SF)
+    assert df.count() > 0 and df.columns
