@@ -71,8 +71,9 @@ def _language_issue(english: Column, ascii_share: Column, language: Column) -> C
 
 
 def _gibberish(c: Column) -> Column:
-    found = F.lit(False)
-    for p in GIBBERISH:
+    """Whether a pattern is in a text; the run of letters is tried where letters begin, as a run has one beginning."""
+    found = c.rlike("(?<![a-zA-Z])" + GIBBERISH[0])
+    for p in GIBBERISH[1:]:
         found = found | c.rlike(p)
     return found
 
@@ -131,15 +132,17 @@ def completeness_score(c: Column) -> Column:
 
 
 def measured(df: DataFrame, text: str, language: Column, least: int = 100, most: int = 5000, least_words: int = 20) -> DataFrame:
-    """df with length_score, language_score, readability_score, completeness_score and issues of a text column.
+    """df with length_score, language_score, readability_score, completeness_score, issues and content_hash of a text column.
 
-    Each sign of a text is found once and serves the scores and the issues alike.
+    Each sign of a text is found once and serves the scores and the issues alike. The words, joined by one blank and
+    lower-cased, serve the searches for words and the hash; a null text has no hash.
     """
     c, q = F.col(text), lambda name: F.col(f"__q_{name}")
-    rows = fence(df, __q_s=strip(c), __q_low=F.lower(c), __q_language=language)
+    rows = fence(df, __q_s=strip(c), __q_language=language)
     rows = fence(rows, __q_words=F.when(q("s") == "", F.array().cast("array<string>")).otherwise(F.split(q("s"), SPACE + "+")), __q_parts=F.split(c, r"[.!?]+"))
+    rows = fence(rows, __q_low=F.lower(F.array_join(q("words"), " ")))
     rows = fence(
-        rows, __q_n=F.length(q("s")), __q_w=F.size(q("words")), __q_long=F.size(F.filter(q("words"), lambda w: F.length(w) > 3)), __q_marks=_marks(c), __q_english=_is_english(q("low")), __q_ascii=_ascii_share(c),
+        rows, __q_hash=F.md5(q("low").cast("binary")), __q_n=F.length(q("s")), __q_w=F.size(q("words")), __q_long=F.size(F.filter(q("words"), lambda w: F.length(w) > 3)), __q_marks=_marks(c), __q_english=_is_english(q("low")), __q_ascii=_ascii_share(c),
         __q_gibberish=_gibberish(c), __q_improper=_improper(c, q("parts")), __q_noisy=_noisy(c, q("low")), __q_cut=_cut(q("s")),
     )
     pointed, thin = _share_above(q("marks"), q("w"), 0.5), _share_below(q("long"), q("w"), 0.5)
@@ -147,7 +150,7 @@ def measured(df: DataFrame, text: str, language: Column, least: int = 100, most:
     issues = present(_length_issue(q("n"), q("w"), least, most, least_words), _language_issue(q("english"), q("ascii"), q("language")), *(F.when(bad, F.lit(name)) for bad, name in named))
     out = fence(
         rows, length_score=_length_score(q("n"), q("w"), least, most, least_words), language_score=_language_score(q("english"), q("ascii"), q("language")),
-        readability_score=_readability(q("gibberish"), q("improper"), pointed), completeness_score=_completeness(q("noisy"), q("cut"), thin), issues=issues,
+        readability_score=_readability(q("gibberish"), q("improper"), pointed), completeness_score=_completeness(q("noisy"), q("cut"), thin), issues=issues, content_hash=q("hash"),
     )
     return out.drop(*(x for x in out.columns if x.startswith("__q_")))
 

@@ -52,7 +52,7 @@ def ingest(pages: DataFrame, size: int = 64, threshold: float = 0.6) -> DataFram
     chunks = chunking.chunk_pages(content, sizes=chunking.Sizes(1000, 100, 100))
     scored = quality.measured(chunks, "clean_text", F.lit("en"))
     # Another language or a copy harms nobody.
-    kept = scored.where(~F.exists("issues", lambda i: ~i.startswith("non_english_content"))).withColumn("seq", F.struct("page_id", "chunk_index"))
+    kept = scored.drop("content_hash").where(~F.exists("issues", lambda i: ~i.startswith("non_english_content"))).withColumn("seq", F.struct("page_id", "chunk_index"))
     fresh = vectors.new_rows(kept, None, "clean_text")
     c = F.col("clean_text")
     return fresh.select("chunk_id", "url", "chunk_index", c, "content_hash", text.record_id(c, F.concat_ws("_", "page_id", "chunk_index")).alias("record_id"), vectors.embed(c, size).alias("embedding"))

@@ -225,8 +225,7 @@ def scored(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
     The first of equal texts is the smallest id of their hash, found with partial minima, so that a text that many
     documents share is never in one task. Without a hash of its own, a null text is unlike any other.
     """
-    rows = quality.measured(docs.select("doc_id", "text", "lang"), "text", F.col("lang"))
-    rows = fence(rows, hash=text.content_hash(F.col("text"))).drop("text", "lang")
+    rows = quality.measured(docs.select("doc_id", "text", "lang"), "text", F.col("lang")).withColumnRenamed("content_hash", "hash").drop("text", "lang")
     firsts = rows.groupBy("hash").agg(F.min("doc_id").alias("first_id"))
     rows = rows.join(firsts, "hash", "left").withColumn("first", F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(True)))
     rows = rows.withColumns({"uniqueness_score": F.when(F.col("first"), 1.0).otherwise(0.0), "issues": F.when(F.col("first"), F.col("issues")).otherwise(F.array_append("issues", F.lit("duplicate_content")))})
