@@ -207,7 +207,9 @@ def scan(docs: DataFrame, text_col: str = "text", phrases: dict[str, str] | None
     gives the longest match that ends at each word: phrases are read off its states, and long matches are chained into
     spans of a template, or of a paragraph of BODIES with the same labels. score is 1 - (1 - largest share) * (0.4 with a phrase, else 1). One pass, no shuffle.
 
-    Null and empty texts have no words, no place and score 0; a column of docs named as one of the added gives way.
+    Null and empty texts have no words, no place and score 0; texts of any length are scanned whole, repeated rows each for
+    itself, whatever their ids; spans of equal labels come in order, of one template the best ones first taken. An empty
+    table gives no rows; a column of docs named as one of the added gives way.
     """
     bodies = None if templates else BODIES
     phrases, templates = phrases or PHRASES, templates or TEMPLATES

@@ -166,3 +166,29 @@ def toxicity(text, grammar, op):
             clean *= 1 - found[k][1] * grammar.arcs[pattern]
             n += 1
     return 1 - clean, n
+
+
+def license_verdict(text, phrases, texts, least=4, gap=12, share=0.4):
+    """(labels, score) of a text, with (label, template) texts: longest matches found by trying all, best chains by all pairs."""
+    w, base = lexical_words(text), license_places(text)[4]
+    known = [lexical_words(p) for p in phrases] + [lexical_words(t) for _, t in texts]
+    has = lambda part: any(part == k[i : i + len(part)] for k in known for i in range(len(k) - len(part) + 1))
+    parts = {}
+    for end in range(1, len(w) + 1):
+        n = next((n for n in range(end, 0, -1) if has(w[end - n : end])), 0) if has(w[end - 1 : end]) else 0
+        if n < least or end < len(w) and has(w[end - n : end + 1]):
+            continue
+        for t, (_, template) in enumerate(texts):
+            k = lexical_words(template)
+            parts.setdefault(t, []).extend((end - n, end, i, i + n) for i in range(len(k) - n + 1) if k[i : i + n] == w[end - n : end])
+    best, labels = 0.0, {x for x in base.split(",") if x}
+    for t, found in parts.items():
+        covered = [0]
+        for b, e, tb, te in found:
+            joined = [c + e - b - max(0, pe - b, pt - tb) for c, (_, pe, _, pt) in zip(covered[1:], found, strict=False) if pe < e and pt < te and b - pe <= gap and tb - pt <= gap]
+            covered.append(max([e - b, *joined]))
+        size = len(lexical_words(texts[t][1]))
+        if max(covered) >= share * size:
+            labels.add(texts[t][0])
+            best = max(best, min(1.0, max(covered) / size))
+    return ",".join(sorted(labels)), 1 - (1 - best) * (0.4 if base else 1.0)

@@ -399,6 +399,78 @@ def test_license_scan(spark):
     assert licenses.scan(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_license_labels_and_scores_match_brute_force(spark):
+    templates = {"a": "one two three four five six seven eight", "b": "three four five six nine ten", "c": "alpha beta gamma delta epsilon"}
+    r = random.Random(3)
+    words = "one two three four five six seven eight nine ten alpha beta gamma delta epsilon other mit license".split()
+    texts = [None, "", "mit license"]
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randint(1, 5)):
+            t = r.choice([*templates.values(), "mit license", " ".join(r.choice(words) for _ in range(6))]).split()
+            i = r.randrange(len(t))
+            parts += t[i if r.random() < 0.4 else 0 : r.randint(i + 1, len(t)) if r.random() < 0.4 else len(t)]
+            parts += ["other"] * r.choice([0, 0, 1, 3, 14])
+        texts.append(" ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in licenses.scan(docs, templates=templates).collect()}
+    for i, t in enumerate(texts):
+        labels, score = brute.license_verdict(t, licenses.PHRASES, list(templates.items()))
+        assert (got[i].labels, got[i].score) == (labels, pytest.approx(score)), t
+        assert all(0 <= x.begin < x.end <= got[i].n_words and x.share >= licenses.SHARE for x in got[i].spans)
+
+
+def test_license_scan_of_long_and_repeated_texts(spark):
+    notice = licenses.TEMPLATES["isc"]
+    long = "filler words here " * 40_000 + notice + " tail" * 50_000
+    docs = frame(spark, [(1, long), (1, long), (None, notice), (2, None)], clash=("LABELS", "spans", "x"))
+    got = licenses.scan(docs).collect()
+    assert sorted((str(r.doc_id), r.labels) for r in got) == [("1", "isc"), ("1", "isc"), ("2", ""), ("None", "isc")]
+    assert {r.spans[0].begin for r in got if r.doc_id == 1} == {120_000}
+
+
+def test_long_texts_are_taken_whole(spark, small_tokenizer):
+    from tokenizers import Tokenizer
+
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(1, passage), (2, "the ab " * 150_000 + passage), (3, "the ab " * 150_000 + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(substrings.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.removed(rows), key=str)
+    bench = spark.createDataFrame([(5, passage)], "item_id long, text string")
+    assert {r.doc_id: (r.n_hit, r.longest_match) for r in decontaminate.find_contamination(docs, bench).collect()} == {1: (20, 20), 2: (20, 20), 3: (20, 20)}
+    t = Tokenizer.from_file(small_tokenizer)
+    got = rows_of(tokens.round_trip(docs, small_tokenizer), "doc_id", "start", "n_tokens", "ids_crc32")
+    assert got == sorted(brute.token_files(rows, lambda x: t.encode(x, add_special_tokens=False).ids), key=str)
+    assert {r.doc_id: r.fingerprint for r in simhash.simhash_groups(docs).collect()} == {i: "%016x" % brute.simhash(x) for i, x in rows}
+
+
+def test_large_buckets_lose_no_link():
+    r = random.Random(12)
+    base = r.getrandbits(64)
+    prints = {base}
+    while len(prints) < 3000:
+        f = r.choice(list(prints)) if r.random() < 0.3 else base ^ r.getrandbits(22)
+        prints.add(f ^ (1 << r.randrange(64)))
+    prints = np.array(sorted(prints), np.uint64)
+    whole = brute.Groups(range(len(prints)))
+    for i in range(len(prints)):
+        for j in np.flatnonzero(np.bitwise_count(prints[i + 1 :] ^ prints[i]) <= 3).tolist():
+            whole.join(i, i + 1 + j)
+    place = {p: i for i, p in enumerate(prints.view(np.int64).tolist())}
+    got = brute.Groups(range(len(prints)))
+    for a, b in simhash.bucket_links(prints):
+        got.join(place[a], place[b])
+    assert [whole.find(i) for i in range(len(prints))] == [got.find(i) for i in range(len(prints))]
+
+
+def test_long_conversations_spread_over_parts(spark):
+    turns = [(1, k, "user" if k % 2 else "assistant", f"t{k}") for k in range(400)]
+    turns += [(2, *t[1:]) for t in turns[:399]] + [(3, *t[1:]) for t in turns[:200]] + [(4, *t[1:]) for t in turns[:199]] + [(4, 199, "user", "else")]
+    df = spark.createDataFrame(turns, "CONV_ID long, turn long, role string, text string").withColumn("key", F.lit(1)).withColumn("part", F.lit("x")).repartition(6)
+    got = {r.CONV_ID: (r.n_turns, r.n_equal, r.text.count("<|end|>")) for r in chat.format_chats(df, "CONV_ID").collect()}
+    assert got == {1: (400, 1, 400), 4: (200, 1, 200)}
+
+
 def test_automaton_knows_all_substrings():
     automaton = licenses.Automaton({"a b": "x"}, {"t": "a b c a b d", "u": "b c a"})
     ids = automaton.vocabulary

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -42,5 +43,25 @@ def test_stages_take_effect(spark):
     for r in mix.collect():
         times[r.doc_id] = times.get(r.doc_id, 0) + 1
     assert times == {i: n for i, (t, s) in taken.items() if (n := int(t / s + 0.5) if s else 1)}
-    assert files.count() == mix.count()
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    order = sorted(((r.doc_id, r.text) for r in mix.collect()), key=lambda r: r[0])
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in files.collect()) == sorted(brute.token_files(order, lambda x: t.encode(x, add_special_tokens=False).ids))
     assert simhash.keep_first(single).count() == single.count()
+
+
+def test_stages_take_odd_and_empty_tables(spark):
+    pytest.importorskip("public_tokenizers")
+    rows = [(1, "a good text of some words", "en", "s"), (1, "a good text of some words", "en", "s"), (None, "no id here at all", None, None), (2, None, "en", "s"), (3, "", "en", None), (None, None, None, None), (4, "you worthless idiot scum. " * 9, "en", "s"), (5, "word " * 20_000, "en", "t")]
+    schema = "doc_id long, text string, lang string, source string"
+    odd = spark.createDataFrame(rows, schema).withColumn("score", F.lit(1)).withColumn("Times", F.lit("x"))
+    for docs in (odd, spark.createDataFrame([], schema)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            assert name == "token files" or out.columns == docs.columns
+            got = [r.doc_id for r in out.collect()]
+            assert (len(got) > 0) == (docs is odd)
+            assert name != "toxicity" or docs is not odd or 4 not in got and got.count(1) == 2 and got.count(None) == 2
