@@ -68,12 +68,12 @@ def links_wide(spark, sf_dir):
 
 
 def crawl_bfs(spark, sf_dir):
-    """From the first page, over links that make a binary tree of page ids, within 20 rounds: a crawl of bounded depth."""
+    """From the first page, over links that make a binary tree of page ids, until no new address comes."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url").distinct()
     up = pages.select("url", F.explode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 2 + 2)).alias("page_id"))
     tree = up.join(pages.select("page_id", F.col("url").alias("link")), "page_id").select("url", "link").where("url <> link")
     seed = pages.where("page_id = 0").select("url")
-    return crawl.crawl(seed, tree, depth=20)
+    return crawl.crawl(seed, tree, depth=None)
 
 
 def crawl_links(spark, sf_dir):
@@ -87,7 +87,7 @@ def crawl_links(spark, sf_dir):
 CRAWL_SQL = """
 WITH RECURSIVE p AS (SELECT DISTINCT page_id, url FROM pages),
 e AS (SELECT a.url AS url, b.url AS link FROM p a JOIN p b ON b.page_id IN (a.page_id * 2 + 1, a.page_id * 2 + 2) WHERE a.url <> b.url),
-w AS (SELECT url, 0 AS depth FROM p WHERE page_id = 0 UNION SELECT e.link, w.depth + 1 FROM w JOIN e ON w.url = e.url WHERE w.depth < 20)
+w AS (SELECT url, 0 AS depth FROM p WHERE page_id = 0 UNION SELECT e.link, w.depth + 1 FROM w JOIN e ON w.url = e.url WHERE w.depth < (SELECT count(*) FROM p))
 SELECT url, min(depth)::INT AS depth FROM w GROUP BY url
 """
 
