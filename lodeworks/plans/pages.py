@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from lodeworks.functions import html
 from lodeworks.operators import crawl
 from lodeworks.plans.text import _clean_extracted_sql
-from lodeworks.sources import table
+from lodeworks.sources import spread, table
 
 
 def _content(spark, sf_dir):
-    return html.pages_to_content(table(spark, sf_dir, "pages"))
+    return html.pages_to_content(spread(table(spark, sf_dir, "pages")))
 
 
 def html_extract(spark, sf_dir):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions import chunking, html, quality, text
 from lodeworks.operators import vectors
 from lodeworks.plans.text import CHUNK_SIMPLE_SQL, SCORED_SQL
-from lodeworks.sources import table
+from lodeworks.sources import spread, table
 
 
 def chunk_quality(docs: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def chunk_quality(docs: DataFrame) -> DataFrame:
 
 def flagship(spark, sf_dir) -> DataFrame:
     """Documents, chunked and scored: passed chunks and mean scores by length class."""
-    rows = chunk_quality(table(spark, sf_dir, "documents"))
+    rows = chunk_quality(spread(table(spark, sf_dir, "documents")))
     score = quality.overall(F.col("length_score"), F.col("language_score"), F.col("readability_score"), F.col("completeness_score"), F.lit(1.0))
     rows = rows.withColumns({"score": score, "size": F.floor(F.length("chunk") / 100).cast("int")})
     return rows.groupBy("size").agg(F.count("*").alias("chunks"), F.count_if(F.col("score") >= 0.6).alias("passed"), F.round(F.avg("score"), 6).alias("avg_score"))
@@ -59,7 +59,7 @@ def ingest(pages: DataFrame, size: int = 64, threshold: float = 0.6) -> DataFram
 
 
 def ingest_pages(spark, sf_dir) -> DataFrame:
-    return ingest(table(spark, sf_dir, "pages")).select("chunk_id", "chunk_index", "content_hash", "record_id", F.size("embedding").alias("size"))
+    return ingest(spread(table(spark, sf_dir, "pages"))).select("chunk_id", "chunk_index", "content_hash", "record_id", F.size("embedding").alias("size"))
 
 
 QUERIES = {"flagship": flagship, "chunk_sizes": chunk_sizes, "ingest_pages": ingest_pages}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions import quality, text
 from lodeworks.operators import chat, dedup, vectors
 from lodeworks.plans.text import WS, _any, strip_sql
-from lodeworks.sources import table
+from lodeworks.sources import spread, table
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ VEC_INFO_SQL = "SELECT count(*) AS vectors_count, max(len(embedding))::INT AS ve
 
 def embed_search(spark, sf_dir):
     """Documents and a few queries through the same embedder; the best documents of each query."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), vectors.embed(F.col("text"), 64).alias("embedding"))
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), vectors.embed(F.col("text"), 64).alias("embedding"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), vectors.embed(F.col("text"), 64).alias("query"))
     return vectors.batch_search(docs, asked, 3).select("query_id", "rank", "id", F.round("score", 5).alias("score"))
 
@@ -144,7 +144,7 @@ SELECT min(doc_id) AS doc_id, content_hash FROM d WHERE content_hash NOT IN (SEL
 
 
 def _chunks(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("seq"), "text")
 
 
 def exact_dedup(spark, sf_dir):
@@ -254,7 +254,7 @@ def query_process(spark, sf_dir):
 def _knowledge(spark, sf_dir) -> DataFrame:
     """Documents as the chunks of a collection."""
     c = F.col("text")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), vectors.embed(c, 64).alias("embedding"), "text", F.concat(F.lit("https://example.com/"), "source").alias("source_url"), text.word_count(c).alias("word_count"), F.size(text.sentences(c)).alias("sentence_count"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), vectors.embed(c, 64).alias("embedding"), "text", F.concat(F.lit("https://example.com/"), "source").alias("source_url"), text.word_count(c).alias("word_count"), F.size(text.sentences(c)).alias("sentence_count"))
 
 
 def chat_batch(spark, sf_dir):

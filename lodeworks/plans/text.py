@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from lodeworks.functions import chunking, metadata, quality, text, urls
 from lodeworks.functions.text import fence
 from lodeworks.operators import dedup
-from lodeworks.sources import table
+from lodeworks.sources import spread, table
 
 DOMAIN = "example.com"
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _sql_list(items) -> str:

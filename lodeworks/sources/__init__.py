@@ -1,5 +1,5 @@
 """Readers and writers of pages, documents, sitemaps, logs and stage results."""
 
-from lodeworks.sources.tables import TABLES, table
+from lodeworks.sources.tables import TABLES, spread, table
 
-__all__ = ["TABLES", "table"]
+__all__ = ["TABLES", "spread", "table"]

@@ -7,3 +7,17 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes of files a core, below which a table's rows are dealt out to all cores.
+CORE_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where its files are so small that a few splits, or one row group, would hold all the work.
+
+    Larger tables keep the splits of their files: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * CORE_BYTES else df

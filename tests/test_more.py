@@ -139,3 +139,14 @@ def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         crawl.shared_dir(Far())
+
+
+def test_small_tables_are_spread_and_large_ones_left(spark, tmp_path, monkeypatch):
+    from lodeworks.sources import spread, tables
+
+    path = f"{tmp_path}/one"
+    spark.range(1000).coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(df).count() == 1000
+    monkeypatch.setattr(tables, "CORE_BYTES", 0)
+    assert spread(df).rdd.getNumPartitions() == df.rdd.getNumPartitions()
