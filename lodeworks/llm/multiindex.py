@@ -196,16 +196,18 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Repeated rows count as vectors of their own. An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows, _ = staged(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(_valid, "id long, raw binary, dims int").withColumn("key", F.md5("raw")), "vectors")
+    rows, rows_at = staged(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(_valid, "id long, raw binary, dims int").withColumn("key", F.md5("raw")), "vectors")
     classes = rows.where("raw is not null").groupBy("dims", "key").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.any_value("raw").alias("raw"))
     classes, classes_at = staged(classes, "classes")
+    keys, _ = staged(rows.select("id", "key", F.col("dims").alias("d")), "keys")
+    drop_path(spark, rows_at)
     # One row per length.
     sizes = sorted((r.dims, r["count"]) for r in classes.groupBy("dims").count().collect())
     own = classes.where("false").select("dims", F.col("key").alias("k"), F.col("n").alias("n_links"), F.col("first").alias("component_id"))
     for dims, total in sizes:
         own = own.unionAll(_linked(classes.where(F.col("dims") == dims), dims, total, threshold, recall))
     drop_path(spark, classes_at)
-    out = rows.select("id", "key", F.col("dims").alias("d")).join(own, (F.col("key") == F.col("k")) & (F.col("d") == F.col("dims")), "left")
+    out = keys.join(own, (F.col("key") == F.col("k")) & (F.col("d") == F.col("dims")), "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
@@ -222,9 +224,10 @@ def _linked(classes: DataFrame, dims: int, total: int, threshold: float, recall:
         index = MultiIndex(unit([r.raw for r in sample], dims), total, threshold, recall)
         place = lambda batches: _place(index, dims, batches)
         placed, placed_at = staged(classes.select(F.col("first").alias("id"), "n", "raw").mapInArrow(place, "id long, n long, raw binary, cells binary, visits array<int>"), "placed")
-        # Cells with more classes than a part holds; Spark broadcasts them only below its own threshold.
+        # Cells with more classes than a part holds; as a table of known size Spark broadcasts them below its threshold.
         large = placed.select(F.explode("visits").alias("cell")).groupBy("cell").count().where(F.col("count") > PART)
         large = large.select(F.col("cell").alias("large_cell"), F.ceil(F.col("count") / PART).cast("int").alias("parts"))
+        large, large_at = staged(large, "large")
         visits = placed.select("id", "n", "raw", "cells", F.explode("visits").alias("cell")).join(large, F.col("cell") == F.col("large_cell"), "left")
         visits = visits.withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))
         others = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -237,7 +240,7 @@ def _linked(classes: DataFrame, dims: int, total: int, threshold: float, recall:
         own = classes.join(links, F.col("first") == F.col("id"), "left").join(stars, F.col("first") == F.col("a"), "left")
         own = own.select("dims", F.col("key").alias("k"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("b", "first").alias("component_id"))
         own, _ = staged(own, "linked")
-        for path in (placed_at, found_at, stars_at):
+        for path in (placed_at, large_at, found_at, stars_at):
             drop_path(spark, path)
         return own
     else:
