@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeworks.functions.text import clean, content_metrics, normalised, sentences, strip, word_count
+from lodeworks.functions.text import clean, content_metrics, normalised, sentences, strip, unnested, word_count
 from lodeworks.functions.quality import sanity_of
 from lodeworks.functions.urls import page_id
 
@@ -141,8 +141,7 @@ def chunk_pages(pages: DataFrame, url_col: str = "url", text_col: str = "text",
 
     A chunk comes out of one call with all its measures, so that no filter on them works anything out again.
     """
-    rows = pages.withColumn("__chunks", chunk_rows(clean(F.col(text_col)), sizes))
-    rows = rows.select(*[c for c in pages.columns if c != text_col], F.posexplode("__chunks").alias("chunk_index", "__chunk"))
+    rows = unnested(pages, chunk_rows(clean(F.col(text_col)), sizes), "chunk_index", "__chunk")
     valid = (F.length("__chunk.clean_text") >= sizes.least) & (F.col("__chunk.score") >= least_score)
     rows = rows.where(valid).select(*[c for c in pages.columns if c != text_col], "chunk_index", *(F.col(f"__chunk.{k}").alias(k) for k in ("text", "clean_text", "word_count", "sentence_count")), F.struct(F.lit(True).alias("is_valid"), *(F.col(f"__chunk.{k}").alias(k) for k in CHUNK.names[4:])).alias("sanity"))
     return rows.withColumns({"chunk_id": F.concat(page_id(F.col(url_col)), F.lit("_"), F.col("chunk_index").cast("string")), "char_count": F.length("clean_text")})

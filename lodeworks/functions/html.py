@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeworks.functions.text import clean_extracted, content_metrics
+from lodeworks.functions.text import clean_extracted, content_metrics, unnested
 from lodeworks.functions.urls import DOMAIN, crawlable, page_type, page_type_of_path, valid
 
 # What is pruned and where content is looked for.
@@ -309,7 +309,7 @@ def links(pages: DataFrame, wide: bool = False, domain: str = DOMAIN, keep_inval
     def netloc(url: pd.Series) -> pd.Series:
         return url.map(lambda u: urlparse(u).netloc)
 
-    rows = pages.select("url", netloc("url").alias("host"), F.posexplode(run("html", "url")).alias("place", "link"))
+    rows = unnested(pages.select("url", "html", netloc("url").alias("host")), run("html", "url"), "place", "link")
     if not keep_invalid:
         rows = rows.where(valid(F.col("link"), domain) if wide else crawlable(F.col("link"), base=F.col("host")))
     return rows.select("url", "place", "link")

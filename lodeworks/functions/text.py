@@ -70,6 +70,14 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, SPACE + "+"), lambda w: w != "")
 
 
+def unnested(df: DataFrame, made: Column, place: str, value: str) -> DataFrame:
+    """df with a row for each value of a list, and its place.
+
+    A plain generator would let the optimiser ask first whether the list is empty, and so make it twice.
+    """
+    return df.select("*", F.posexplode_outer(made).alias(place, value)).where(F.col(place).isNotNull())
+
+
 def word_count(c: Column) -> Column:
     inside = strip(c)
     return F.when(inside == "", 0).otherwise(F.size(F.split(inside, SPACE + "+")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeworks.functions import html
+from lodeworks.functions.text import unnested
 from lodeworks.operators import crawl
 from lodeworks.plans.text import _clean_extracted_sql
 from lodeworks.sources import spread, table
@@ -23,11 +24,11 @@ def html_extract_all(spark, sf_dir):
 
 
 def html_headings(spark, sf_dir):
-    return _content(spark, sf_dir).select("page_id", F.posexplode("headings").alias("place", "h")).select("page_id", "place", "h.level", "h.clean_text")
+    return unnested(_content(spark, sf_dir), F.col("headings"), "place", "h").select("page_id", "place", "h.level", "h.clean_text")
 
 
 def html_lists(spark, sf_dir):
-    found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(html.page_lists(F.col("html"))).alias("place", "l"))
+    found = unnested(spread(table(spark, sf_dir, "pages")), html.page_lists(F.col("html")), "place", "l")
     return found.select("page_id", "place", "l.type", F.array_join("l.items", "|").alias("items"))
 
 

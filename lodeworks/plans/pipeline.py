@@ -13,7 +13,7 @@ from lodeworks.sources import spread, table
 
 def chunk_quality(docs: DataFrame) -> DataFrame:
     """Documents to simple chunks with sub-scores, without a shuffle."""
-    rows = docs.select("doc_id", F.posexplode(chunking.simple(F.col("text"))).alias("chunk_index", "chunk"))
+    rows = text.unnested(docs, chunking.simple(F.col("text")), "chunk_index", "chunk").select("doc_id", "chunk_index", "chunk")
     return quality.measured(rows, "chunk", F.lit("en"))
 
 
@@ -26,7 +26,7 @@ def flagship(spark, sf_dir) -> DataFrame:
 
 
 def chunk_sizes(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(chunking.simple(F.col("text"))).alias("chunk"))
+    rows = text.unnested(spread(table(spark, sf_dir, "documents")), chunking.simple(F.col("text")), "place", "chunk")
     return rows.groupBy(F.floor(F.length("chunk") / 100).cast("int").alias("size")).agg(F.count("*").alias("chunks"))
 
 

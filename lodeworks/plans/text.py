@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.functions import chunking, metadata, quality, text, urls
-from lodeworks.functions.text import fence
+from lodeworks.functions.text import fence, unnested
 from lodeworks.operators import dedup
 from lodeworks.sources import spread, table
 
@@ -152,7 +152,7 @@ SELECT doc_id, CASE WHEN length(text) <= 500 THEN text
 
 
 def chunk_simple(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(chunking.simple(F.col("text"))).alias("chunk_index", "chunk"))
+    return unnested(_docs(spark, sf_dir), chunking.simple(F.col("text")), "chunk_index", "chunk").select("doc_id", "chunk_index", "chunk")
 
 
 CHUNK_SIMPLE_SQL = f"""
@@ -198,7 +198,7 @@ def chunk_live(spark, sf_dir):
 
 def _packed(fn):
     def run(spark, sf_dir):
-        rows = _docs(spark, sf_dir).select("doc_id", F.inline(chunking.positioned(fn(F.col("text"), 800, 100))))
+        rows = unnested(_docs(spark, sf_dir).select("doc_id", "text"), chunking.positioned(fn(F.col("text"), 800, 100)), "place", "c").select("doc_id", "c.*")
         return rows.select("doc_id", "chunk_index", F.col("text").alias("chunk"), "start_char", "end_char", "word_count", "char_count")
 
     return run

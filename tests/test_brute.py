@@ -111,6 +111,17 @@ def test_extracted_pages(spark):
     assert good == {p.page_id: len(p.html) >= 100 and len(want[p.page_id].split()) >= 20 and bool(got[p.page_id].title) for p in found}
 
 
+def test_all_content_of_pages(spark):
+    want = {}
+    for p in rows(spark, "pages"):
+        strings = " ".join(x.strip() for x in article(p.html).split("\n") if x.strip())
+        want[p.page_id] = " ".join(strings.split())
+    got = {r.page_id: r.content for r in pages.html_extract_all(spark, SF).collect()}
+    long = {k for k, t in want.items() if len(t) > 100}
+    assert got.keys() == want.keys() and len(long) > 10
+    assert {k: got[k] for k in long} == {k: want[k] for k in long}
+
+
 def test_ingested_pages(spark):
     import hashlib
 
