@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import chat, decontaminate, licenses, mixing, multiindex, sharding, simhash, substrings, tokens, toxicity
+from lodeworks.llm import chat, codes, decontaminate, licenses, mixing, multiindex, sharding, simhash, substrings, tokens, toxicity, urlfilter, whitening
 from lodeworks.llm.common import table
 
 
@@ -60,6 +60,20 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).drop("deviation_exact")
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block list is made of the hosts in the table that have an unwanted word in their name."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.filter_urls(pages, urlfilter.unwanted_hosts(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
@@ -72,6 +86,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_license_scan": op9_license_scan,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_url_filters": op12_url_filters,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -83,4 +100,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_chat_formatting": chat.ORACLE,
         "op5_substring_dedup": substrings.ORACLE,
         "op6_decontamination": decontaminate.ORACLE,
+        "op12_url_filters": urlfilter.ORACLE,
+        "op13_vector_codes": codes.ORACLE,
     }

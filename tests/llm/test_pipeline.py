@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver'
 
 def test_queries_are_registered():
     names = entry.queries()
-    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 10 and "pipeline" in names
+    assert sum(n.startswith("op") and n[2].isdigit() for n in names) == 13 and "pipeline" in names
     assert len(corpus_pipeline.STAGES) == 5
 
 
