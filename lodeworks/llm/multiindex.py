@@ -18,6 +18,8 @@ SAMPLE, SAMPLE_BYTES = 20_000, 64_000_000
 PER_CELL, PER_WORD = 200, 4
 #: Vectors of a cell that meet in one task; a larger cell is dealt into parts, and each two of them meet.
 PART = 4096
+#: Visits that the fit tries; a grid on which so many don't give the target recall is searched exactly.
+MOST = 256
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
@@ -36,7 +38,9 @@ class MultiIndex:
     """Two codebooks, one for each half of the unit vectors, and how many cells of their product a vector visits.
 
     Two vectors meet if their visits have a cell in common. The number of visits is the least that gives the target recall
-    for partners at exactly the threshold, in random directions from sampled vectors.
+    for partners at exactly the threshold, in random directions from sampled vectors. With a target of 1, or where MOST
+    visits don't give it, a vector visits every cell that can be home to a partner instead, and no pair is lost: a point
+    of a codeword's region is at least as far away as the plane that parts it from the nearest codeword's.
     """
 
     def __init__(self, sample: np.ndarray, total: int, threshold: float, recall: float):
@@ -44,6 +48,10 @@ class MultiIndex:
         half = sample.shape[1] // 2
         self.half, self.k = half, k
         self.words = (kmeans(sample[:, :half], k), kmeans(sample[:, half:], k))
+        self.reach = (max(0.0, 2 - 2 * threshold)) ** 0.5 + 1e-9
+        self.exact, self.visits = recall >= 1, 1
+        if self.exact:
+            return
         rng = np.random.default_rng(11)
         a = sample[rng.permutation(len(sample))[:4000]]
         noise = rng.standard_normal(a.shape)
@@ -53,9 +61,10 @@ class MultiIndex:
         most = min(16, k * k)
         while True:  # until the target recall
             need = self._meeting(self.cells(a, most), self.cells(b, most))
-            if most == k * k or (need <= most).mean() >= recall:
+            if most >= min(MOST, k * k) or (need <= most).mean() >= recall:
                 break
             most = min(2 * most, k * k)
+        self.exact = most < k * k and (need <= most).mean() < recall
         self.visits = int(min(most, np.quantile(need, recall, method="higher")))
 
     @staticmethod
@@ -81,13 +90,33 @@ class MultiIndex:
         visits = visits or self.visits
         d1, d2 = self.distances(x)
         o1, o2 = np.argsort(d1, axis=1, kind="stable"), np.argsort(d2, axis=1, kind="stable")
-        r, s = np.divmod(np.arange(self.k * self.k), self.k)
+        near = min(visits, self.k)
+        r, s = np.divmod(np.arange(near * near), near)
         can = (r + 1) * (s + 1) <= visits
         r, s = r[can], s[can]
         sums = np.take_along_axis(d1, o1, 1)[:, r] + np.take_along_axis(d2, o2, 1)[:, s]
         first = np.argsort(sums, axis=1, kind="stable")[:, :visits]
         return np.take_along_axis(o1, r[first], 1) * self.k + np.take_along_axis(o2, s[first], 1)
 
+    def reachable(self, x: np.ndarray) -> list[np.ndarray]:
+        """All cells that can be home to a vector within reach of each one, its own included."""
+        far = []
+        for w, d in zip(self.words, self.distances(x), strict=True):
+            home = d.argmin(axis=1)
+            apart = np.linalg.norm(w[home][:, None, :] - w[None], axis=2)
+            gap = d - d[np.arange(len(d)), home][:, None]
+            far.append(np.where(apart > 0, gap / np.where(apart > 0, 2 * apart, 1), 0.0))
+        out = []
+        for a, b in zip(*far, strict=True):
+            i, j = np.flatnonzero(a <= self.reach), np.flatnonzero(b <= self.reach)
+            r, s = np.nonzero(a[i][:, None] ** 2 + b[j][None] ** 2 <= self.reach**2)
+            out.append(i[r] * self.k + j[s])
+        return out
+
+    def visited(self, x: np.ndarray) -> list[np.ndarray]:
+        """Each vector's cells, in order of number."""
+        return [np.sort(c).astype("<i4") for c in (self.reachable(x) if self.exact else self.cells(x))]
+
 
 def packed(x: np.ndarray) -> bytes:
     """A vector's components in single precision if that loses nothing, else in double precision; no -0.0.
@@ -126,11 +155,14 @@ def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The first cell of each row of a, which is sorted, that the row of b has too; -1 if there is none."""
+    """The first cell of each row of a, which is sorted, that the row of b has too; -1 if there is none.
+
+    Shorter rows are filled up with -1 in front.
+    """
     out = np.full(len(a), -1, a.dtype)
     for v in range(a.shape[1]):
         open_ = np.flatnonzero(out < 0)
-        here = (b[open_] == a[open_, v][:, None]).any(axis=1)
+        here = (b[open_] == a[open_, v][:, None]).any(axis=1) & (a[open_, v] >= 0)
         out[open_[here]] = a[open_[here], v]
     return out
 
@@ -145,7 +177,10 @@ def _verify(threshold: float, dims: int):
     def meet(cell: int, two: bool, rows: list) -> pa.RecordBatch:
         ids, n = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
         part, x = np.array([r[0] for r in rows]), unit([r[3] for r in rows], dims)
-        cells = np.array([np.frombuffer(r[4], "<i4") for r in rows])
+        lists = [np.frombuffer(r[4], "<i4") for r in rows]
+        cells = np.full((len(rows), max(map(len, lists))), -1, np.int32)
+        for k, c in enumerate(lists):
+            cells[k, cells.shape[1] - len(c) :] = c
         links, labels = np.zeros(len(ids), np.int64), np.arange(len(ids))
         for i in range(0, len(ids), 512):
             a, b = np.nonzero(x[i : i + 512] @ x[i:].T >= threshold)
@@ -189,7 +224,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     and as many as give the target recall for partners at exactly the threshold; classes with a cell in common meet there,
     and all found pairs are verified by cosine in double precision: none below the threshold links. A cell of more than
     PART classes is dealt into parts, each two of which meet in a task of their own. Only counts and a spanning forest
-    leave a task, not its pairs.
+    leave a task, not its pairs. recall=1 visits every cell that can hold a partner: slower, and no pair is lost.
 
     Vectors that are null, empty, zero, or have null or non-finite components, and rows with a null id, link with nothing
     and are their own component. Vectors of each length have an index of their own; those of one component link by sign.
@@ -198,6 +233,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     spark = vectors.sparkSession
     rows, rows_at = staged(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(_valid, "id long, raw binary, dims int").withColumn("key", F.md5("raw")), "vectors")
     classes = rows.where("raw is not null").groupBy("dims", "key").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.any_value("raw").alias("raw"))
+    classes = classes.withColumn("node", F.monotonically_increasing_id())  # ids may repeat; settled as the table is written
     classes, classes_at = staged(classes, "classes")
     keys, _ = staged(rows.select("id", "key", F.col("dims").alias("d")), "keys")
     drop_path(spark, rows_at)
@@ -223,7 +259,7 @@ def _linked(classes: DataFrame, dims: int, total: int, threshold: float, recall:
         sample = classes.orderBy("key").limit(max(256, min(SAMPLE, SAMPLE_BYTES // (8 * dims)))).select("raw").collect()
         index = MultiIndex(unit([r.raw for r in sample], dims), total, threshold, recall)
         place = lambda batches: _place(index, dims, batches)
-        placed, placed_at = staged(classes.select(F.col("first").alias("id"), "n", "raw").mapInArrow(place, "id long, n long, raw binary, cells binary, visits array<int>"), "placed")
+        placed, placed_at = staged(classes.select(F.col("node").alias("id"), "n", "raw").mapInArrow(place, "id long, n long, raw binary, cells binary, visits array<int>"), "placed")
         # Cells with more classes than a part holds; as a table of known size Spark broadcasts them below its threshold.
         large = placed.select(F.explode("visits").alias("cell")).groupBy("cell").count().where(F.col("count") > PART)
         large = large.select(F.col("cell").alias("large_cell"), F.ceil(F.col("count") / PART).cast("int").alias("parts"))
@@ -237,10 +273,13 @@ def _linked(classes: DataFrame, dims: int, total: int, threshold: float, recall:
         found, found_at = staged(dealt.mapInArrow(_verify(threshold, dims), "id long, links long, other long"), "found")
         stars, stars_at = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
         links = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
-        own = classes.join(links, F.col("first") == F.col("id"), "left").join(stars, F.col("first") == F.col("a"), "left")
-        own = own.select("dims", F.col("key").alias("k"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("b", "first").alias("component_id"))
+        own = classes.join(links, F.col("node") == F.col("id"), "left").join(stars, F.col("node") == F.col("a"), "left")
+        own, own_at = staged(own.select("dims", F.col("key").alias("k"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "first", F.coalesce("b", "node").alias("root")), "own")
+        # The smallest id of each component of more classes than one.
+        low = own.groupBy("root").agg(F.min("first").alias("low"), F.count("*").alias("size")).where("size > 1").select(F.col("root").alias("of"), "low")
+        own = own.join(low, F.col("root") == F.col("of"), "left").select("dims", "k", "n_links", F.coalesce("low", "first").alias("component_id"))
         own, _ = staged(own, "linked")
-        for path in (placed_at, large_at, found_at, stars_at):
+        for path in (placed_at, large_at, found_at, stars_at, own_at):
             drop_path(spark, path)
         return own
     else:
@@ -253,8 +292,8 @@ def _place(index: MultiIndex, dims: int, batches: Iterator[pa.RecordBatch]) -> I
     for batch in batches:
         for i in range(0, batch.num_rows, 1024):
             part = batch.slice(i, 1024)
-            cells = np.sort(index.cells(unit(part.column(2).to_pylist(), dims)).astype("<i4"), axis=1)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in cells], pa.binary()), pa.array(list(cells), pa.list_(pa.int32()))], ["id", "n", "raw", "cells", "visits"])
+            cells = index.visited(unit(part.column(2).to_pylist(), dims))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in cells], pa.binary()), pa.array(cells, pa.list_(pa.int32()))], ["id", "n", "raw", "cells", "visits"])
     release()
 
 
