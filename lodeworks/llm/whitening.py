@@ -11,8 +11,6 @@ from lodeworks.llm.common import drop_path, staged
 
 #: Entries become floor(SCALE * entry); beyond HELD either way they are held there, so that sums stay in range.
 SCALE, HELD = 256, 1 << 31
-#: Pairs of dimensions in one aggregation; vectors of more than about 360 dimensions take several.
-PAIRS = 65_536
 OUT = T.StructType(
     [
         T.StructField("component", T.IntegerType()),
@@ -47,15 +45,20 @@ def _dot(mean: np.ndarray, weights: np.ndarray) -> str:
 
 
 def covariance(fit: DataFrame, mean: np.ndarray, n: int) -> np.ndarray:
-    """Covariance with divisor n of the vectors x of fit: the upper triangle's centred products, summed in one aggregation."""
+    """Covariance with divisor n of the vectors x of fit: the upper triangle's centred products, summed in one aggregation.
+
+    Row k of the triangle and row dims - 1 - k have dims + 1 products together. They are one group of the aggregation, with
+    a sum for each place: as many expressions as there are dimensions, where one for each pair would be too large to compile.
+    """
     dims = len(mean)
-    centred = fit.select(F.expr(f"zip_with(x, {_literal(mean.tolist())}, (a, m) -> a - m) AS y"))
-    pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
+    last, half = dims - 1, (dims + 1) // 2
+    centred = fit.selectExpr(f"zip_with(x, {_literal(mean.tolist())}, (a, m) -> a - m) AS y").select("y", F.explode(F.sequence(F.lit(0), F.lit(half - 1))).alias("k"))
+    upper, lower = [f"y[k] * y[k + {t}]" for t in range(dims)], [f"y[{last} - k] * y[{t}]" for t in range(dims)]
+    sums = [upper[0], *(f"IF(k + {t} <= {last}, {upper[t]}, {lower[t - 1]})" for t in range(1, dims)), lower[last]]
     out = np.empty((dims, dims))
-    for k in range(0, len(pairs), PAIRS):
-        some = pairs[k : k + PAIRS]
-        sums = centred.selectExpr(*(f"sum(y[{i}] * y[{j}]) AS s{i}_{j}" for i, j in some)).first()
-        for (i, j), s in zip(some, sums, strict=True):
+    for k, *row in centred.groupBy("k").agg(*(F.expr(f"sum({s})").alias(f"s{t}") for t, s in enumerate(sums))).collect():
+        for t, s in enumerate(row):
+            i, j = (k, k + t) if k + t <= last else (last - k, t - 1)
             out[i, j] = out[j, i] = s / n
     return out
 

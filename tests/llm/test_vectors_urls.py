@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeworks.llm import codes, queries, urlfilter, whitening
+from lodeworks.llm import codes, multiindex, queries, urlfilter, whitening
 
 SF = "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
@@ -65,11 +65,10 @@ def check_whitening(got, rows, dims, components=4):
     assert all(signs.values())
 
 
-def test_whitening_matches_exact_arithmetic(spark, monkeypatch):
-    rows = vectors()
-    check_whitening(whitening.whiten(frame(spark, rows)).collect(), rows, 8)
-    monkeypatch.setattr(whitening, "PAIRS", 7)  # several aggregations
-    check_whitening(whitening.whiten(frame(spark, rows), components=3).collect(), rows, 8, 3)
+@pytest.mark.parametrize("dims", [1, 2, 5, 8])
+def test_whitening_matches_exact_arithmetic(spark, dims):
+    rows = vectors(200, dims)
+    check_whitening(whitening.whiten(frame(spark, rows), components=3).collect(), rows, dims, 3)
 
 
 @tables
@@ -216,3 +215,60 @@ def test_queries_equal_sql(spark, name):
     result = con.execute(queries.oracle_sql()[name])
     assert [d[0] for d in result.description] == df.columns
     assert sorted(map(tuple, df.collect()), key=str) == sorted(result.fetchall(), key=str)
+
+
+def plain_links(rows, threshold=0.95):
+    """(id, links, component) of each row, whatever its id repeats."""
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= threshold
+    np.fill_diagonal(near, False)
+    up = list(range(len(rows)))
+    for a, b in zip(*np.nonzero(near), strict=True):
+        while up[a] != a:
+            a = up[a]
+        while up[b] != b:
+            b = up[b]
+        up[max(a, b)] = min(a, b)
+    root = []
+    for k in range(len(rows)):
+        while up[k] != k:
+            k = up[k]
+        root.append(k)
+    low = {}
+    for (i, _), k in zip(rows, root, strict=True):
+        low[k] = min(i, low.get(k, i))
+    return sorted((i, int(n), low[k]) for (i, _), n, k in zip(rows, near.sum(axis=1), root, strict=True))
+
+
+def test_vectors_that_repeat_an_id_are_nodes_of_their_own(spark):
+    some = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.001]), (7, [-1.0, 0.0])]
+    r = random.Random(8)
+    many = []
+    for k in range(40):
+        v = [r.gauss(0, 1) for _ in range(6)]
+        for _ in range(r.randint(1, 5)):
+            many.append((r.randint(0, 30), [c + r.gauss(0, 0.12) for c in v]))
+    many += many[:9]
+    for rows in (some, many):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+        got = sorted((r.vec_id, r.n_links, r.component_id) for r in multiindex.near_vectors(df, recall=1).collect())
+        assert got == plain_links(rows)
+
+
+def test_exact_search_loses_no_pair_on_a_large_grid(spark, monkeypatch):
+    monkeypatch.setattr(multiindex, "PER_CELL", 8)
+    r = np.random.default_rng(12)
+    base = r.standard_normal((400, 10))
+    side = r.standard_normal((400, 10))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    t = 0.95 + r.choice([1e-9, -1e-9, 0.004], 400)
+    rows = [(k, v.tolist()) for k, v in enumerate(np.concatenate([base, t[:, None] * base + (1 - t[:, None] ** 2) ** 0.5 * side]))]
+    assert multiindex.MultiIndex(np.array([v for _, v in rows]), len(rows), 0.95, 1).k ** 2 >= 100
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in multiindex.near_vectors(df, recall=1).collect())
+    assert got == plain_links(rows)
+    monkeypatch.setattr(multiindex, "MOST", 1)  # a grid too fine for the visits tried goes the exact way by itself
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in multiindex.near_vectors(df, recall=0.9999).collect()) == got
