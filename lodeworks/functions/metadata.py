@@ -197,6 +197,18 @@ def keywords(docs: DataFrame, id_col: str, text_col: str, most: int = 10, stopwo
     return docs.select(id_col, text_col).mapInArrow(run, out)
 
 
+def top_keywords(c: Column, most: int = 10, stopwords: list[str] | None = None) -> Column:
+    """The same words as a column of the row they are from, best first."""
+    stop = frozenset(STOPWORDS if stopwords is None else stopwords)
+    domain = frozenset(t for t in (*TECH_TERMS, *BUSINESS_TERMS) if t.isalpha() and len(t) > 2)
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [w for w, _ in _top_words(t, most, stop, domain)])
+
+    return run(c)
+
+
 #: Frequent short words of a language, by which its texts are told from others'.
 PROFILES = {
     "en": "the and of to in is that for with was are this it you".split(),
@@ -270,13 +282,14 @@ def pos_tags(c: Column, most: int = 500, tag: Callable[[str | None, int], list[d
     return run(c)
 
 
-def describe(docs: DataFrame, id_col: str, text_col: str, url: Column) -> DataFrame:
-    """Each text's metadata as one struct: keywords, language, content type, entities, tags, readability, sentiment, terms."""
+def describe(docs: DataFrame, text_col: str, url: Column) -> DataFrame:
+    """Each text's metadata as one struct: keywords, language, content type, entities, tags, readability, sentiment, terms.
+
+    All of it is made of the row alone: ids may repeat or be null, and nothing is shuffled.
+    """
     c = F.col(text_col)
-    words = keywords(docs, id_col, text_col).groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("rank", "keyword"))).alias("__words"))
-    rows = docs.join(words, docs[id_col] == F.col("__id"), "left")
     made = F.struct(
-        F.coalesce(F.transform("__words", lambda w: w["keyword"]), F.array().cast("array<string>")).alias("keywords"), detect_language(c).alias("language"), content_type(c, url).alias("content_type"),
+        top_keywords(c).alias("keywords"), detect_language(c).alias("language"), content_type(c, url).alias("content_type"),
         named_entities(c).alias("named_entities"), pos_tags(c).alias("pos_tags"), readability(c).alias("readability"), sentiment(c).alias("sentiment"), technical_terms(c).alias("technical_terms"), business_terms(c).alias("business_terms"),
     )
-    return fence(rows, metadata=made).drop("__id", "__words")
+    return fence(docs, metadata=made)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions.metadata import contains_any
@@ -228,7 +228,7 @@ def filtered(urls: DataFrame, order: str, domain: str = DOMAIN, column: str = "u
     return first_of_each(rows.where(valid(F.col(column), domain)), order, column)
 
 
-def generated(spark: SparkSession, domain: str = DOMAIN) -> DataFrame:
-    """Addresses by pattern: every prefix of a kind with every name of it."""
-    rows = [("/".join(x for x in (f"https://{domain}", p, n) if x),) for prefixes, names in GENERATED for p in prefixes for n in names.split()]
-    return spark.createDataFrame(sorted(set(rows)), "url string")
+def generated(hosts: DataFrame, column: str = "host") -> DataFrame:
+    """Addresses by pattern at some hosts: every prefix of a kind with every name of it."""
+    paths = sorted({"".join(f"/{x}" for x in (p, n) if x) for prefixes, names in GENERATED for p in prefixes for n in names.split()})
+    return hosts.select(F.col(column).alias("__host"), F.explode(F.array(*map(F.lit, paths))).alias("__path")).select(F.concat(F.lit("https://"), "__host", "__path").alias("url"))

@@ -28,6 +28,14 @@ def shared_dir(spark) -> str:
     return where.rstrip("/")
 
 
+def scratch(spark, tag: str) -> str:
+    """A new folder in the shared one, for what goes when Python ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _DROPPED.add(path)
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a written table, so that each round's plan stays as short as the first's."""
     return _appended(df, f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}")

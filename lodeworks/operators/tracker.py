@@ -98,12 +98,13 @@ def state(events: DataFrame) -> DataFrame:
 
 
 def last_errors(logs: DataFrame, n: int = 10) -> DataFrame:
-    return logs.where(F.col("level") == "ERROR").orderBy(F.desc("ts")).limit(n)
+    return logs.where(F.col("level") == "ERROR").orderBy(F.desc("ts"), *(c for c in logs.columns if c != "ts")).limit(n)
 
 
 def flat_logs(jobs: DataFrame, logs: str = "logs", order: str = "ts") -> DataFrame:
     """The log lines of all jobs that carry theirs as a list, each with its job, in order of time."""
-    return jobs.select("job_id", F.explode(logs).alias("__l")).select("job_id", "__l.*").orderBy(order, "job_id")
+    rows = jobs.select("job_id", F.explode(logs).alias("__l")).select("job_id", "__l.*")
+    return rows.orderBy(order, "job_id", *(c for c in rows.columns if c not in (order, "job_id")))
 
 
 #: Columns of the tracker's tables; a log of events is all that is written.

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,15 +99,17 @@ def batch_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, thresh
                 batch = batch.filter(batch.column(1).is_valid())
                 if not batch.num_rows:
                     continue
+                batch = batch.take(pa.array(np.argsort(_places(batch.column(0)), kind="stable")))  # ties go by id
                 x = rectangle(batch.column(1).to_pylist(), q.shape[1])
                 for i in range(0, len(q), 256):
                     s = matrix(metric, q[i : i + 256], x)
                     none = np.isnan(s)
                     far = np.where(none, np.inf, sign * s)
-                    # Ties at the edge all stay, for the ranking by id.
-                    edge = np.take_along_axis(far, np.argsort(far, axis=1, kind="stable")[:, :limit], 1)[:, -1:]
-                    kept = far <= (edge if threshold is None else np.minimum(edge, sign * threshold))
-                    a, b = np.nonzero(kept)
+                    first = np.argsort(far, axis=1, kind="stable")[:, :limit]
+                    a, b = np.repeat(np.arange(len(far)), first.shape[1]), first.ravel()
+                    if threshold is not None:
+                        kept = far[a, b] <= sign * threshold
+                        a, b = a[kept], b[kept]
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(a + i)), batch.column(0).take(pa.array(b)), pa.array(s[a, b], mask=none[a, b])], ["q", "id", "score"])
 
         found = vectors.select(id_col, vector_col).mapInArrow(best, schema)
@@ -123,6 +126,14 @@ def batch_search(vectors: DataFrame, queries: DataFrame, limit: int = 10, thresh
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(F.col("q").alias(query_id), "rank", F.col("id").alias(id_col), "score")
 
 
+def _places(ids: pa.Array) -> np.ndarray:
+    """Each id's place in the order of ids, nulls first."""
+    order = pc.sort_indices(ids, null_placement="at_start").to_numpy() if not pa.types.is_nested(ids.type) else np.array(sorted(range(len(ids)), key=lambda i: tuple(ids[i].as_py().values())))
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.arange(len(ids))
+    return out
+
+
 def rectangle(lists: list[list[float] | None], dims: int) -> np.ndarray:
     """Vectors as rows; NaN throughout for those that are null, have null components or another length."""
     out = np.full((len(lists), dims), np.nan)

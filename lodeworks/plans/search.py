@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.functions import quality, text
-from lodeworks.operators import chat, dedup, vectors
+from lodeworks.operators import chat, dedup, store, vector_index, vectors
+from lodeworks.operators.crawl import scratch
 from lodeworks.plans.text import WS, _any, strip_sql
 from lodeworks.sources import spread, table
 
@@ -55,6 +56,29 @@ SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM r WHERE ra
 """
 
 
+def vec_index_topk(spark, sf_dir):
+    """The same queries through an index that is built over all vectors first; held against exact search in the tests."""
+    v = _vectors(spark, sf_dir)
+    queries = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector_index.build(v, scratch(spark, "vector-index"), 64).search(queries, 10).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+def versioned_load(spark, sf_dir):
+    """Loads of documents into a store: those in English, all, all once more, and the turns of conversations."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text", "lang")
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text", F.lit("").alias("lang"))
+    return store.Store(spark, scratch(spark, "store")).load_all([docs.where("lang = 'en'"), docs, docs, turns])
+
+
+VERSIONED_LOAD_SQL = """
+WITH b AS (SELECT 0 AS batch, text FROM documents WHERE lang = 'en' UNION ALL SELECT unnest([1, 2]), text FROM documents UNION ALL SELECT 3, text FROM conversations),
+f AS (SELECT text, min(batch) AS batch FROM b WHERE text IS NOT NULL GROUP BY text),
+n AS (SELECT batch, count(*) AS total FROM b GROUP BY batch), u AS (SELECT batch, count(*) AS uploaded FROM f GROUP BY batch),
+r AS (SELECT batch, total, coalesce(uploaded, 0) AS uploaded FROM n LEFT JOIN u USING (batch))
+SELECT batch::INT AS batch, total, uploaded, (sum(uploaded) OVER (ORDER BY batch))::BIGINT AS in_collection, (count_if(uploaded > 0) OVER (ORDER BY batch))::BIGINT AS version, NULL::VARCHAR AS failure FROM r
+"""
+
+
 def _hits(spark, sf_dir) -> DataFrame:
     """Search results of some queries, dressed as chunks with text, address and sizes by id."""
     rows = vec_batch_topk(spark, sf_dir)
@@ -341,6 +365,8 @@ QUERIES = {f"vec_topk_{m}": _topk(m) for m in _D} | {
     "embed_search": embed_search,
     "ingest_dedup": ingest_dedup,
     "exact_dedup": exact_dedup,
+    "vec_index_topk": vec_index_topk,
+    "versioned_load": versioned_load,
     "exact_pairs": exact_pairs,
     "near_dup_pairs": near_dup_pairs,
     "near_dup_removed": near_dup_removed,
@@ -374,6 +400,7 @@ ORACLES = {f"vec_topk_{m}": _topk_sql(m) for m in _D} | {
     "vec_health": VEC_HEALTH_SQL,
     "ingest_dedup": INGEST_DEDUP_SQL,
     "exact_dedup": EXACT_DEDUP_SQL,
+    "versioned_load": VERSIONED_LOAD_SQL,
     "exact_pairs": EXACT_PAIRS_SQL,
     "duplicate_map": DUPLICATE_MAP_SQL,
     "query_validate": QUERY_VALIDATE_SQL,

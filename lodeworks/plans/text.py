@@ -246,7 +246,7 @@ def quality_recent(spark, sf_dir):
 def metadata_struct(spark, sf_dir):
     """Every document's metadata struct, its parts side by side."""
     docs = _docs(spark, sf_dir).select("doc_id", "text")
-    m = metadata.describe(docs, "doc_id", "text", F.concat(F.lit(f"https://{DOMAIN}/p/"), F.col("doc_id").cast("string")))
+    m = metadata.describe(docs, "text", F.concat(F.lit(f"https://{DOMAIN}/p/"), F.col("doc_id").cast("string")))
     flat = lambda c, *k: F.array_join(F.transform(c, lambda x: F.concat_ws("/", *(x[n] for n in k))), " ")
     return m.select(
         "doc_id", F.array_join("metadata.keywords", ",").alias("keywords"), F.col("metadata.language.language").alias("language"), F.round("metadata.language.confidence", 5).alias("language_confidence"), F.col("metadata.content_type").alias("content_type"),
@@ -486,10 +486,12 @@ URL_BREAKDOWN_SQL = ADDRESSES_SQL + f"SELECT CASE WHEN {_home_sql} OR {_any('l',
 
 
 def url_generated(spark, sf_dir):
-    return urls.generated(spark, DOMAIN)
+    """Every pattern at every host that the pages have."""
+    hosts = table(spark, sf_dir, "pages").select(F.lower(F.regexp_extract("url", "://([^/?#]+)", 1)).alias("host")).where("host <> ''").distinct()
+    return urls.generated(hosts)
 
 
-URL_GENERATED_SQL = "SELECT DISTINCT unnest([" + ", ".join(sorted("'" + "/".join(x for x in (f"https://{DOMAIN}", p, n) if x) + "'" for prefixes, names in urls.GENERATED for p in prefixes for n in names.split())) + "]) AS url"
+URL_GENERATED_SQL = "WITH h AS (SELECT DISTINCT lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host FROM pages) SELECT 'https://' || host || unnest([" + ", ".join(sorted({"'" + "".join(f"/{x}" for x in (p, n) if x) + "'" for prefixes, names in urls.GENERATED for p in prefixes for n in names.split()})) + "]) AS url FROM h WHERE host <> ''"
 
 
 QUERIES = {
