@@ -82,3 +82,30 @@ def test_whole_documents_equal_brute_force(spark):
                 want[a, b] = round(s, 6)
     got = {(p.first, p.again): p.similarity for p in search.near_dup_pairs(spark, SF).collect() if p.kind != "exact"}
     assert got == want and want
+
+
+@pytest.mark.parametrize("held, last, seed", [(5, 3, 1), (12, 8, 2), (40, 2, 3)])
+def test_stretches_agree_with_the_sequential_rule(spark, monkeypatch, held, last, seed):
+    monkeypatch.setattr(dedup, "STRETCHES", 1)
+    r = random.Random(seed)
+    bases = ["".join(r.choice("abcdefg ") for _ in range(40)) for _ in range(9)]
+    rows = []
+    for k in range(260):
+        t = r.choice(bases)
+        rows.append((r.choice(["hot"] * 8 + ["b", None]), k, edited(r, t, 0.04, "abc") if r.random() < 0.7 else t, r.choice([None, 0.4, 0.55, 0.6, 0.75])))
+    df = spark.createDataFrame(rows, "run string, seq long, t string, others double").repartition(5)
+    got = {x.seq: (x.uniqueness_score, x.similar_to) for x in dedup.uniqueness(df, "run", "seq", "t", "others", last=last, held=held).collect()}
+    want, runs = {}, {}
+    for run, k, t, others in rows:
+        recent, t = runs.setdefault(run, {}), " ".join(t.lower().split())
+        found = recent.get(t)
+        score = 0.0 if t in recent else 1.0
+        if t not in recent:
+            found = next((p for u, p in list(recent.items())[-last:] if SequenceMatcher(None, t, u).ratio() >= 0.85), None)
+            score = 1.0 if found is None else 0.2
+        want[k] = (score, found)
+        if others is not None and others + 0.2 * score >= 0.7 and t not in recent:
+            recent[t] = k
+            if len(recent) > held:
+                recent.pop(next(iter(recent)))
+    assert got == want
