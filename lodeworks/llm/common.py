@@ -83,10 +83,29 @@ def staged(df: DataFrame, tag: str, codec: str = "zstd") -> tuple[DataFrame, str
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     drop_at_exit(spark, path)
+    for made in _MADE:
+        made.append(path)
     write(df, path, codec)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Paths of the tables staged within each open temporary().
+_MADE: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables staged within go at the end, but for those taken out of the list that this yields."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE[:] = [m for m in _MADE if m is not made]
+        for path in made:
+            drop_path(spark, path)
+
+
 def drop_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(_drop_late, spark, path)
 

@@ -65,3 +65,14 @@ def test_stages_take_odd_and_empty_tables(spark):
             got = [r.doc_id for r in out.collect()]
             assert (len(got) > 0) == (docs is odd)
             assert name != "toxicity" or docs is not odd or 4 not in got and got.count(1) == 2 and got.count(None) == 2
+
+
+def test_a_run_leaves_one_table(spark):
+    pytest.importorskip("public_tokenizers")
+    from lodeworks.llm import common
+
+    at = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(at))
+    out = corpus_pipeline.run(spark, SF)
+    left = set(os.listdir(at)) - before
+    assert len(left) == 1 and left.pop().startswith("token-files") and out.count() > 0 and not common._MADE
