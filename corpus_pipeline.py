@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeworks.llm import decontaminate, mixing, simhash, tokens, toxicity
-from lodeworks.llm.common import staged, table
+from lodeworks.llm.common import drop_path, staged, table, temporary
 from lodeworks.llm.queries import tokenizer_path
 
 
@@ -50,7 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; a stage's own tables, and the table it has read, go when its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with temporary(spark) as made:
+            docs, path = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            made.remove(path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return docs
