@@ -83,8 +83,6 @@ def staged(df: DataFrame, tag: str, codec: str = "zstd") -> tuple[DataFrame, str
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     drop_at_exit(spark, path)
-    for made in _MADE:
-        made.append(path)
     write(df, path, codec)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -95,7 +93,7 @@ _MADE: list[list[str]] = []
 
 @contextlib.contextmanager
 def temporary(spark: SparkSession) -> Iterator[list[str]]:
-    """Tables staged within go at the end, but for those taken out of the list that this yields."""
+    """Tables and files left in the shared folder within go at the end, but for those taken out of the list that this yields."""
     made: list[str] = []
     _MADE.append(made)
     try:
@@ -107,6 +105,8 @@ def temporary(spark: SparkSession) -> Iterator[list[str]]:
 
 
 def drop_at_exit(spark: SparkSession, path: str) -> None:
+    for made in _MADE:
+        made.append(path)
     atexit.register(_drop_late, spark, path)
 
 
