@@ -282,14 +282,15 @@ def pos_tags(c: Column, most: int = 500, tag: Callable[[str | None, int], list[d
     return run(c)
 
 
-def describe(docs: DataFrame, text_col: str, url: Column) -> DataFrame:
+def describe(docs: DataFrame, text_col: str, url: Column, language: Column | None = None) -> DataFrame:
     """Each text's metadata as one struct: keywords, language, content type, entities, tags, readability, sentiment, terms.
 
-    All of it is made of the row alone: ids may repeat or be null, and nothing is shuffled.
+    All of it is made of the row alone: ids may repeat or be null, and nothing is shuffled. Another detector's column, such
+    as language.detect, can stand for the language.
     """
     c = F.col(text_col)
     made = F.struct(
-        top_keywords(c).alias("keywords"), detect_language(c).alias("language"), content_type(c, url).alias("content_type"),
+        top_keywords(c).alias("keywords"), (detect_language(c) if language is None else language).alias("language"), content_type(c, url).alias("content_type"),
         named_entities(c).alias("named_entities"), pos_tags(c).alias("pos_tags"), readability(c).alias("readability"), sentiment(c).alias("sentiment"), technical_terms(c).alias("technical_terms"), business_terms(c).alias("business_terms"),
     )
     return fence(docs, metadata=made)

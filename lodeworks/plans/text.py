@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.functions import chunking, metadata, quality, text, urls
+from lodeworks.functions import chunking, language, metadata, quality, text, urls
 from lodeworks.functions.text import fence, unnested
 from lodeworks.operators import dedup
 from lodeworks.sources import spread, table
@@ -494,7 +494,15 @@ def url_generated(spark, sf_dir):
 URL_GENERATED_SQL = "WITH h AS (SELECT DISTINCT lower(regexp_extract(url, '://([^/?#]+)', 1)) AS host FROM pages) SELECT 'https://' || host || unnest([" + ", ".join(sorted({"'" + "".join(f"/{x}" for x in (p, n) if x) + "'" for prefixes, names in urls.GENERATED for p in prefixes for n in names.split()})) + "]) AS url FROM h WHERE host <> ''"
 
 
+def language_fitted(spark, sf_dir):
+    """Every document's language by a model of the labels of four fifths of them; held_out marks the others."""
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text", "lang").withColumn("held_out", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0)
+    found = language.detect(F.col("text"), language.fit(docs.where("NOT held_out")))
+    return fence(docs, found=found).select("doc_id", "lang", "held_out", "found.language", "found.confidence")
+
+
 QUERIES = {
+    "language_fitted": language_fitted,
     "text_clean": text_clean,
     "text_normalize": text_normalize,
     "text_clean_extracted": text_clean_extracted,
