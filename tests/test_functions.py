@@ -175,7 +175,9 @@ def test_url_lists(spark):
     good, bad = urls.split_valid(df)
     assert good.count() == 3 and bad.count() == 1
     assert urls.matching(df, ["B[.]css"]).count() == 1
-    assert urls.generated(spark).count() == 56
+    hosts = spark.createDataFrame([("a.example",), ("b.example",)], "host string")
+    made = [r.url for r in urls.generated(hosts).collect()]
+    assert len(made) == len(set(made)) == 2 * 56 and all(u.startswith(("https://a.example", "https://b.example")) for u in made)
 
 
 SIZES = chunking.Sizes(100, 10, 20)
