@@ -5,7 +5,6 @@ from __future__ import annotations
 import gzip
 import io
 import re
-import time
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
@@ -147,36 +146,6 @@ def high_priority(catalogue: DataFrame, each: int = 5) -> DataFrame:
     return catalogue.where((F.col("category") == "core") | (F.col("pos") < each))
 
 
-FETCHED = "url string, status_code int, html string, content_length int, method_used string, seconds double, error string"
-
-
-def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str]], at_once: int = 5, pause: float = 0.5, tries: int = 3) -> DataFrame:
-    """Pages of addresses through a given function: so many tasks at once, a pause between calls, retries on busy answers.
-
-    Every address gives a row; one that fails has its error.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for url in batch["url"]:
-                began, status, html, error = time.monotonic(), None, None, None
-                for k in range(tries):
-                    try:
-                        status, html = get(url)
-                        error = None if status < 400 else f"status {status}"
-                    except Exception as reason:  # any failure of one address is that row's error
-                        error = str(reason)
-                    if error is None or status not in (None, 429, 500, 502, 503, 504):
-                        break
-                    time.sleep(pause * 2**k)
-                out.append((url, status, html if error is None else None, len(html or ""), "static", time.monotonic() - began, error))
-                time.sleep(pause)
-            yield pd.DataFrame(out, columns=["url", "status_code", "html", "content_length", "method_used", "seconds", "error"])
-
-    return urls.select("url").repartition(at_once).mapInPandas(run, FETCHED)
-
-
 def accessible(urls: DataFrame, probe: Callable[[str], int]) -> DataFrame:
     """(url, ok) by a given function that asks for an address's status; a failure or a status from 400 on isn't ok."""
 

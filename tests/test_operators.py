@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions import html
 from lodeworks.operators import analytics, chat, crawl, dedup, tracker, vectors
 from lodeworks.sources import pages as sources
-from lodeworks.sources import sinks
+from lodeworks.sources import sinks, web
 from lodeworks.streaming import windows
 
 
@@ -302,7 +302,7 @@ def test_fetch_gives_a_row_for_each_address(spark):
         return (503, "") if "busy" in url else (200, "<p>x</p>")
 
     df = spark.createDataFrame([("good",), ("bad",), ("busy",)], "url string")
-    rows = sources.fetch(df, get, at_once=2, pause=0, tries=2)
+    rows = web.fetch(df, get, at_once=2, pause=0, tries=2)
     got = {r.url: (r.status_code, r.error) for r in rows.collect()}
     assert got == {"good": (200, None), "bad": (None, "no route"), "busy": (503, "status 503")}
     assert sources.fetch_stats(rows).first().succeeded == 1
