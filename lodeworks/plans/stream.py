@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.operators.crawl import shared_dir
 from lodeworks.sources import table
-from lodeworks.streaming import windows
+from lodeworks.streaming import expiry, windows
 
 
 def _events(spark, sf_dir):
@@ -36,9 +36,27 @@ def stream_distinct(spark, sf_dir):
     return _run(windows.first_seen(keyed).select("event_id", "content_hash"), "append")
 
 
-QUERIES = {"stream_tumbling": stream_tumbling, "stream_distinct": stream_distinct}
+def stream_cache(spark, sf_dir):
+    """Users' events as requests to a cache whose answers are good for half a day: which ones find one."""
+    requests = _events(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("request_id"), "ts")
+    with expiry.running(spark):
+        out = _run(expiry.cached(requests, 43_200), "append")
+    return out.select("key", "request_id", "hit")
+
+
+#: An answer is found by a user's first event, and then by the first one after the last answer's end.
+STREAM_CACHE_SQL = """
+WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS key, event_id AS request_id, ts FROM events WHERE ts IS NOT NULL),
+found AS (SELECT key, min(ts) AS at FROM e GROUP BY key
+  UNION ALL SELECT f.key, min(e.ts) FROM found f JOIN e ON e.key IS NOT DISTINCT FROM f.key AND e.ts > f.at + INTERVAL 12 HOUR GROUP BY f.key),
+o AS (SELECT *, row_number() OVER (PARTITION BY key, ts ORDER BY request_id) AS nth FROM e)
+SELECT o.key, o.request_id, NOT (o.nth = 1 AND f.at IS NOT NULL) AS hit FROM o LEFT JOIN found f ON f.key IS NOT DISTINCT FROM o.key AND f.at = o.ts
+"""
+
+QUERIES = {"stream_cache": stream_cache, "stream_tumbling": stream_tumbling, "stream_distinct": stream_distinct}
 
 ORACLES = {
+    "stream_cache": STREAM_CACHE_SQL,
     "stream_tumbling": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_distinct": "SELECT DISTINCT event_id, md5(event_id::VARCHAR) AS content_hash FROM events",
 }
