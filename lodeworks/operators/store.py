@@ -19,14 +19,8 @@ BUCKETS = 256
 _TURN = threading.Lock()
 
 
-class Store:
-    """Rows at path, each text once; every load is a folder, and a manifest names the folders of a version.
-
-    A load writes its rows and their hashes beside the others' and then renames a manifest to the next number. If another
-    load was first, its hashes alone are compared and the load tries again, so that two loads at once leave each text
-    once, and a load that dies leaves nothing that a reader sees. Hashes are tables of their own in buckets: finding what
-    is new reads neither texts nor vectors. The manifest carries the number of rows. Rows without a text aren't loaded.
-    """
+class Versions:
+    """Numbered manifests at path, each naming the loads of a version; one is made by renaming a file into its place."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -53,18 +47,6 @@ class Store:
             return {"loads": [], "rows": 0}
         return json.loads("".join(r.value for r in self.spark.read.text(self._manifest(number), wholetext=True).collect()))
 
-    def read(self, number: int | None = None) -> DataFrame | None:
-        """The rows of a version, by default the newest; None if there are none."""
-        loads = self.manifest(number)["loads"]
-        return self.spark.read.parquet(*(f"{self.path}/loads/{x}/rows" for x in loads)) if loads else None
-
-    def _hashes(self, loads: list[str], buckets: list[int]) -> DataFrame:
-        found = None
-        for x in loads:
-            own = self.spark.read.schema("content_hash string, bucket int").parquet(f"{self.path}/loads/{x}/hashes")
-            found = own if found is None else found.union(own)
-        return found.where(F.col("bucket").isin(buckets)).select("content_hash")
-
     def _commit(self, number: int, manifest: dict) -> bool:
         """Whether the manifest has become that of a version that had none."""
         new = self._path(f"{self.path}/manifests/.{uuid.uuid4().hex}")
@@ -81,6 +63,44 @@ class Store:
                 raise
             return False
 
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Deletes all but the last versions and the loads that only those have, dead ones included; not while loads run."""
+        last = self.version()
+        kept = range(max(1, last - keep + 1), last + 1)
+        alive = {x for n in kept for x in self.manifest(n)["loads"]}
+        for n in range(1, kept.start):
+            self._fs.delete(self._path(self._manifest(n)), False)
+        at = self._path(f"{self.path}/loads")
+        dead = [s.getPath().getName() for s in self._fs.listStatus(at) if s.getPath().getName() not in alive] if self._fs.exists(at) else []
+        for x in dead:
+            self._drop(x)
+        return sorted(dead)
+
+    def _drop(self, load: str) -> None:
+        self._fs.delete(self._path(f"{self.path}/loads/{load}"), True)
+
+
+class Store(Versions):
+    """Rows at path, each text once; every load is a folder, and a manifest names the folders of a version.
+
+    A load writes its rows and their hashes beside the others' and then renames a manifest to the next number. If another
+    load was first, its hashes alone are compared and the load tries again, so that two loads at once leave each text
+    once, and a load that dies leaves nothing that a reader sees. Hashes are tables of their own in buckets: finding what
+    is new reads neither texts nor vectors. The manifest carries the number of rows. Rows without a text aren't loaded.
+    """
+
+    def read(self, number: int | None = None) -> DataFrame | None:
+        """The rows of a version, by default the newest; None if there are none."""
+        loads = self.manifest(number)["loads"]
+        return self.spark.read.parquet(*(f"{self.path}/loads/{x}/rows" for x in loads)) if loads else None
+
+    def _hashes(self, loads: list[str], buckets: list[int]) -> DataFrame:
+        found = None
+        for x in loads:
+            own = self.spark.read.schema("content_hash string, bucket int").parquet(f"{self.path}/loads/{x}/hashes")
+            found = own if found is None else found.union(own)
+        return found.where(F.col("bucket").isin(buckets)).select("content_hash")
+
     def _write(self, rows: DataFrame) -> tuple[str, int, list[int]]:
         """Rows and hashes as a load that nobody knows yet; its name, size and buckets."""
         name = uuid.uuid4().hex
@@ -137,22 +157,6 @@ class Store:
         self._drop(name)
         return self.version()
 
-    def vacuum(self, keep: int = 1) -> list[str]:
-        """Deletes all but the last versions and the loads that only those have, dead ones included; not while loads run."""
-        last = self.version()
-        kept = range(max(1, last - keep + 1), last + 1)
-        alive = {x for n in kept for x in self.manifest(n)["loads"]}
-        for n in range(1, kept.start):
-            self._fs.delete(self._path(self._manifest(n)), False)
-        at = self._path(f"{self.path}/loads")
-        dead = [s.getPath().getName() for s in self._fs.listStatus(at) if s.getPath().getName() not in alive] if self._fs.exists(at) else []
-        for x in dead:
-            self._drop(x)
-        return sorted(dead)
-
-    def _drop(self, load: str) -> None:
-        self._fs.delete(self._path(f"{self.path}/loads/{load}"), True)
-
 
 def _bucket():
     return F.pmod(F.xxhash64("content_hash"), F.lit(BUCKETS)).cast("int").alias("bucket")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.operators import analytics, tracker
+from lodeworks.operators import analytics, incremental, tracker
 from lodeworks.sources import table
 
 
@@ -369,7 +369,29 @@ t AS (SELECT CASE WHEN ends_with(l, '/') AND length(l) - length(replace(l, '/',
 SELECT page_type, count(*) AS pages, count_if(ok)::BIGINT AS succeeded, sum(CASE WHEN ok THEN w ELSE 0 END)::BIGINT AS words FROM t GROUP BY page_type"""
 
 
+#: The day that parts two snapshots of what users did.
+SNAPSHOT_DAY = "2024-01-16"
+
+
+def snapshot_changes(spark, sf_dir):
+    """What users did, by kind, before a day and from it on, as two snapshots: what came, changed and went."""
+    e = table(spark, sf_dir, "events")
+    profile = lambda rows: rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    day = F.lit(SNAPSHOT_DAY).cast("timestamp_ntz")
+    ts = F.col("ts").cast("timestamp_ntz")
+    return incremental.changes(profile(e.where(ts < day)), profile(e.where(ts >= day)), ["user_id", "event_type"])
+
+
+SNAPSHOT_SQL = f"""
+WITH a AS (SELECT user_id, event_type, count(*) AS n, min(value) AS least, max(value) AS most FROM events WHERE ts < TIMESTAMP '{SNAPSHOT_DAY}' GROUP BY 1, 2),
+b AS (SELECT user_id, event_type, count(*) AS n, min(value) AS least, max(value) AS most FROM events WHERE ts >= TIMESTAMP '{SNAPSHOT_DAY}' GROUP BY 1, 2)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM a FULL JOIN b ON a.user_id IS NOT DISTINCT FROM b.user_id AND a.event_type IS NOT DISTINCT FROM b.event_type
+WHERE a.n IS DISTINCT FROM b.n OR a.least IS DISTINCT FROM b.least OR a.most IS DISTINCT FROM b.most
+"""
+
 QUERIES = {
+    "snapshot_changes": snapshot_changes,
     "usage_stats": usage_stats,
     "latency_stats": latency_stats,
     "latency_by_category": latency_by_category,
@@ -411,6 +433,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "snapshot_changes": SNAPSHOT_SQL,
     "usage_stats": I_SQL + "SELECT count(*) AS total_queries, count(DISTINCT session_id) AS unique_sessions, round(avg(response_time_ms), 6) AS average_response_time, round(avg((NOT error_occurred)::INT), 6) AS success_rate, round(avg(confidence_score), 6) AS average_confidence FROM r",
     "latency_stats": _latency_sql(),
     "latency_by_category": _latency_sql("category"),
