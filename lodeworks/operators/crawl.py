@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+from collections.abc import Callable
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions.urls import first_of_each
@@ -81,6 +82,60 @@ def crawl(seeds: DataFrame, links: DataFrame, depth: int | None = 3, most: int |
     return seen if most is None else seen.orderBy("depth", "url").limit(most)
 
 
+#: Folders that known addresses are kept in: a round looks only into those that its own finds fall into. So many are
+#: listed without a job.
+BUCKETS = 32
+
+
+def _bucket(c: str = "url") -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+
+
+def best_first(seeds: DataFrame, links: DataFrame, score: Callable[[Column], Column], each: int = 10, rounds: int | None = 3, most: int | None = None, by_host: bool = False) -> DataFrame:
+    """(url, round, score): what a crawl takes that opens the `each` best open addresses a round, of every host with by_host.
+
+    The best have the highest score, then the smallest address; unscored ones come last. What a page links to is open from the next round
+    on, and an address is taken once. each, rounds and most (pages in all, the best of the last round) are features of the crawl; with
+    rounds=None it goes on until nothing is open. Known addresses are a table in buckets by hash, so that a round compares what it finds with
+    a few of them only; what is taken is a table as well. Open ones are found by a scan of known addresses with a limit for each partition.
+    """
+    spark = seeds.sparkSession
+    known_at, taken_at = scratch(spark, "known"), scratch(spark, "taken")
+    kept = "url string, score double, bucket int"
+
+    def learn(urls: DataFrame) -> None:
+        rows = urls.where("url IS NOT NULL").select("url", score(F.col("url")).cast("double").alias("score"), _bucket().alias("bucket"))
+        rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(known_at)
+
+    learn(seeds.select("url").distinct())
+    taken = _appended(spark.createDataFrame([], "url string, round int, score double"), taken_at)
+    best = [F.desc_nulls_last("score"), "url"]
+    total = 0
+    for k in count(1) if rounds is None else range(1, rounds + 1):
+        known = spark.read.schema(kept).parquet(known_at)
+        todo = known.join(taken.select("url"), "url", "left_anti").select("url", "score")
+        if by_host:
+            host = F.coalesce(F.lower(F.try_parse_url("url", F.lit("HOST"))), F.col("url"))
+            rank = F.row_number().over(Window.partitionBy("host").orderBy(*best))
+            now = todo.withColumn("host", host).withColumn("rank", rank).where(F.col("rank") <= each).select("url", "score")
+        else:
+            now = todo.orderBy(*best).limit(each)
+        if most is not None:
+            now = now.orderBy(*best).limit(most - total)
+        now = written(now.select("url", F.lit(k).alias("round"), "score"), "round")
+        n = now.count()
+        if not n:
+            break
+        total += n
+        taken = _appended(now, taken_at)
+        if total == most:
+            break
+        found = written(now.select("url").join(links.select("url", "link"), "url").select(F.col("link").alias("url")).distinct(), "found")
+        near = [r.b for r in found.select(_bucket().alias("b")).distinct().collect()]  # at most BUCKETS
+        learn(found.join(known.where(F.col("bucket").isin(near)).select("url"), "url", "left_anti"))
+    return taken
+
+
 def same_host(links: DataFrame) -> DataFrame:
     """Links that stay on their page's host."""
     host = lambda c: F.parse_url(F.col(c), F.lit("HOST"))

@@ -374,20 +374,17 @@ SNAPSHOT_DAY = "2024-01-16"
 
 
 def snapshot_changes(spark, sf_dir):
-    """What users did, by kind, before a day and from it on, as two snapshots: what came, changed and went."""
-    e = table(spark, sf_dir, "events")
-    profile = lambda rows: rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    """How often users did what at which hour, before a day and from it on, as two snapshots: what came, changed and went."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    profile = lambda rows: rows.groupBy("user_id", "event_type", F.hour("ts").alias("hour")).agg(F.count("*").alias("n"))
     day = F.lit(SNAPSHOT_DAY).cast("timestamp_ntz")
-    ts = F.col("ts").cast("timestamp_ntz")
-    return incremental.changes(profile(e.where(ts < day)), profile(e.where(ts >= day)), ["user_id", "event_type"])
+    return incremental.changes(profile(e.where(F.col("ts") < day)), profile(e.where(F.col("ts") >= day)), ["user_id", "event_type", "hour"])
 
 
 SNAPSHOT_SQL = f"""
-WITH a AS (SELECT user_id, event_type, count(*) AS n, min(value) AS least, max(value) AS most FROM events WHERE ts < TIMESTAMP '{SNAPSHOT_DAY}' GROUP BY 1, 2),
-b AS (SELECT user_id, event_type, count(*) AS n, min(value) AS least, max(value) AS most FROM events WHERE ts >= TIMESTAMP '{SNAPSHOT_DAY}' GROUP BY 1, 2)
-SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'changed' END AS change
-FROM a FULL JOIN b ON a.user_id IS NOT DISTINCT FROM b.user_id AND a.event_type IS NOT DISTINCT FROM b.event_type
-WHERE a.n IS DISTINCT FROM b.n OR a.least IS DISTINCT FROM b.least OR a.most IS DISTINCT FROM b.most
+WITH e AS (SELECT user_id, event_type, hour(ts)::INT AS hour, ts < TIMESTAMP '{SNAPSHOT_DAY}' AS early FROM events WHERE ts IS NOT NULL),
+n AS (SELECT user_id, event_type, hour, count_if(early) AS a, count_if(NOT early) AS b FROM e GROUP BY 1, 2, 3)
+SELECT user_id, event_type, hour, CASE WHEN a = 0 THEN 'added' WHEN b = 0 THEN 'removed' ELSE 'changed' END AS change FROM n WHERE a <> b
 """
 
 QUERIES = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodeworks.functions import html
+from lodeworks.functions import html, urls
 from lodeworks.functions.text import unnested
 from lodeworks.operators import crawl
 from lodeworks.plans.text import _clean_extracted_sql
@@ -85,6 +85,14 @@ def crawl_links(spark, sf_dir):
     return crawl.crawl(seeds, found, depth=None)
 
 
+def crawl_best(spark, sf_dir):
+    """From all pages' addresses, over their links: what a crawl of five rounds takes that opens, of every host, the ten best by additive
+    priority. Quota and rounds are the crawl's own."""
+    pages = table(spark, sf_dir, "pages").select("url", "html")
+    found = crawl.written(html.links(pages, keep_invalid=True).select("url", "link").distinct(), "links")
+    return crawl.best_first(pages.select("url"), found, urls.priority_score, each=10, rounds=5, by_host=True)
+
+
 CRAWL_SQL = """
 WITH RECURSIVE p AS (SELECT DISTINCT page_id, url FROM pages),
 e AS (SELECT a.url AS url, b.url AS link FROM p a JOIN p b ON b.page_id IN (a.page_id * 2 + 1, a.page_id * 2 + 2) WHERE a.url <> b.url),
@@ -103,6 +111,7 @@ QUERIES = {
     "links_wide": links_wide,
     "crawl_bfs": crawl_bfs,
     "crawl_links": crawl_links,
+    "crawl_best": crawl_best,
 }
 
 ORACLES = {
