@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.functions import quality, text
-from lodeworks.operators import chat, dedup, store, vector_index, vectors
-from lodeworks.operators.crawl import scratch
+from lodeworks.operators import chat, dedup, latent, store, vector_index, vectors
+from lodeworks.operators.crawl import scratch, written
 from lodeworks.plans.text import WS, _any, strip_sql
 from lodeworks.sources import spread, table
 
@@ -154,6 +154,15 @@ def embed_search(spark, sf_dir):
     return vectors.batch_search(docs, asked, 3).select("query_id", "rank", "id", F.round("score", 5).alias("score"))
 
 
+def embed_latent(spark, sf_dir):
+    """The same search with an embedder that is fitted on all documents; held against a dense decomposition in the tests."""
+    docs = written(spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), latent.counted(F.col("text")).alias("features")), "features")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), latent.counted(F.col("text")).alias("features"))
+    sent = spark.sparkContext.broadcast(latent.fit(docs))
+    docs = docs.select("id", latent.embed(F.col("features"), sent.value, sent).alias("embedding"))
+    return vectors.batch_search(docs, asked.select("query_id", latent.embed(F.col("features"), sent.value, sent).alias("query")), 3).select("query_id", "rank", "id", F.round("score", 5).alias("score"))
+
+
 def ingest_dedup(spark, sf_dir):
     """Documents that are new to a collection that holds the benchmark's texts, and new in the batch."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text")
@@ -363,6 +372,7 @@ QUERIES = {f"vec_topk_{m}": _topk(m) for m in _D} | {
     "vec_filtered_count": vec_filtered_count,
     "vec_info": vec_info,
     "embed_search": embed_search,
+    "embed_latent": embed_latent,
     "ingest_dedup": ingest_dedup,
     "exact_dedup": exact_dedup,
     "vec_index_topk": vec_index_topk,
