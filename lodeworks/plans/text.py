@@ -7,9 +7,10 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.functions import chunking, language, metadata, quality, text, urls
+from lodeworks.functions import chunking, language, metadata, quality, tagging, text, urls
 from lodeworks.functions.text import fence, unnested
 from lodeworks.operators import dedup
+from lodeworks.operators.crawl import written
 from lodeworks.sources import spread, table
 
 DOMAIN = "example.com"
@@ -501,8 +502,17 @@ def language_fitted(spark, sf_dir):
     return fence(docs, found=found).select("doc_id", "lang", "held_out", "found.language", "found.confidence")
 
 
+def tags_fitted(spark, sf_dir):
+    """The tags of every document's words, by a model that is fitted on all documents."""
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    model = tagging.fit(docs, stage=lambda df: written(df, "symbols"))
+    found = tagging.tags(F.col("text"), model)
+    return fence(docs, tags=found).select("doc_id", F.size(F.filter(F.split("tags", " "), lambda t: t != "")).alias("n_words"), "tags")
+
+
 QUERIES = {
     "language_fitted": language_fitted,
+    "tags_fitted": tags_fitted,
     "text_clean": text_clean,
     "text_normalize": text_normalize,
     "text_clean_extracted": text_clean_extracted,
