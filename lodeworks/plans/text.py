@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.functions import chunking, language, metadata, quality, tagging, text, urls
+from lodeworks.functions import chunking, entities, language, metadata, quality, tagging, text, urls
 from lodeworks.functions.text import fence, unnested
 from lodeworks.operators import dedup
 from lodeworks.operators.crawl import written
@@ -510,7 +510,16 @@ def tags_fitted(spark, sf_dir):
     return fence(docs, tags=found).select("doc_id", F.size(F.filter(F.split("tags", " "), lambda t: t != "")).alias("n_words"), "tags")
 
 
+def entities_fitted(spark, sf_dir):
+    """Every entity of every document, by a model that is fitted on all documents."""
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    model = entities.fit(docs, stage=lambda df: written(df, "casing"))
+    found = docs.select("doc_id", F.posexplode(entities.entities(F.col("text"), model)).alias("place", "entity"))
+    return found.select("doc_id", "place", F.col("entity.text").alias("entity"), "entity.type")
+
+
 QUERIES = {
+    "entities_fitted": entities_fitted,
     "language_fitted": language_fitted,
     "tags_fitted": tags_fitted,
     "text_clean": text_clean,
