@@ -27,6 +27,8 @@ TASKS = 4_096
 SCALE = float(1 << 20)
 #: Cells (words with padding) of the sentences that are worked on side by side.
 AREA = 1 << 14
+#: Texts whose sentences are held and decoded together.
+GROUP = 128
 #: What each possible event counts for beside what is seen, and how much likelier a word's ending makes its tag at first.
 SMOOTH, LEAN = 0.01, 10.0
 
@@ -183,7 +185,8 @@ def symbols_of(c: Column, model: TagModel) -> Column:
 
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [s for own in model.sentences(t)[1] for s in (*own.tolist(), -1)])
+        mark = np.array([-1], np.int32)
+        return texts.map(lambda t: np.concatenate([x for own in model.sentences(t)[1] for x in (own, mark)] or [mark[:0]]))
 
     return run(c)
 
@@ -204,8 +207,8 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = 4, stage=lambda d
             first, moves, emits = sent.value
             # Rows: one for each symbol, one for each tag that is left, one for the first tags, one for the log likelihood.
             total = np.zeros((n + k + 2, k), np.int64)
-            for batch in batches:
-                flat = batch.column(0).flatten().to_numpy()
+            for part in (batch.slice(k, GROUP) for batch in batches for k in range(0, batch.num_rows, GROUP)):
+                flat = part.column(0).flatten().to_numpy()
                 sentences = np.split(flat, np.flatnonzero(flat == -1) + 1)[:-1]
                 for begun, moved, symbols, chance, likely in expectations([s[:-1] for s in sentences], first, moves, emits):
                     order = np.argsort(symbols, kind="stable")
@@ -232,12 +235,15 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = 4, stage=lambda d
 
 
 def tags(c: Column, model: TagModel) -> Column:
-    """Tags of a whole text's words, parted by blanks; sentences of a batch of texts are decoded side by side."""
+    """Tags of a whole text's words, parted by blanks; sentences of some texts are decoded side by side."""
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        own = [model.sentences(t)[1] for t in texts]
-        paths = iter(best_paths([s for some in own for s in some], model.first, model.moves, model.emits))
-        return pd.Series([" ".join(TAGS[k] for _ in some for k in next(paths)) for some in own])
+        out = []
+        for k in range(0, len(texts), GROUP):
+            own = [model.sentences(t)[1] for t in texts.iloc[k : k + GROUP]]
+            paths = iter(best_paths([s for some in own for s in some], model.first, model.moves, model.emits))
+            out += [" ".join(TAGS[k] for _ in some for k in next(paths)) for some in own]
+        return pd.Series(out, dtype=object)
 
     return run(c)
