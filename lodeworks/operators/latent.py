@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,16 +39,19 @@ def feature(word: str, features: int) -> int:
 def counted(c: Column, features: int = FEATURES) -> Column:
     """A text's lower-cased words by their hashes, ascending, with how often they occur. A null text has none."""
 
-    @F.pandas_udf("ids array<int>, counts array<int>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        rows = []
+    @F.arrow_udf("ids array<int>, counts array<int>")
+    def run(texts: pa.Array) -> pa.Array:
+        ids, counts, at = array("i"), array("i"), array("i", [0])
         for t in texts:
             own = Counter()
-            for w, n in Counter(_WORD.findall((t or "").lower())).items():
+            for w, n in Counter(_WORD.findall((t.as_py() or "").lower())).items():
                 own[feature(w, features)] += n
-            ids = sorted(own)
-            rows.append((ids, [own[i] for i in ids]))
-        return pd.DataFrame(rows, columns=["ids", "counts"])
+            order = sorted(own)
+            ids.extend(order)
+            counts.extend(own[i] for i in order)
+            at.append(len(ids))
+        starts = pa.array(np.array(at, np.int32))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(starts, pa.array(np.array(v, np.int32))) for v in (ids, counts)], ["ids", "counts"])
 
     return run(c)
 
@@ -165,14 +168,14 @@ def embed(c: Column, model: LatentModel, sent=None) -> Column:
     """Unit vectors of counted texts; zeros for those without a word that the corpus has. sent is the model's broadcast, if it is used often."""
     held = sent or model
 
-    def project(features: pd.DataFrame) -> pd.Series:
+    def project(features: pa.Array) -> pa.Array:
         m = held.value if hasattr(held, "value") else held
         out = np.zeros((len(features), m.directions.shape[1]), np.float32)
-        whole = pa.StructArray.from_arrays([pa.array(features[k].map(lambda v: () if v is None else v), pa.list_(pa.int32())) for k in ("ids", "counts")], ["ids", "counts"])
-        for own, starts, ids, counts in _blocks(whole):
+        for own, starts, ids, counts in _blocks(features):
             x = weighted(counts, ids, starts, m.weights)
             out[own] = np.add.reduceat(x[:, None] * m.directions[ids], starts)
         lengths = np.linalg.norm(out, axis=1, keepdims=True)
-        return pd.Series(list(out / np.where(lengths > 1e-9, lengths, 1)))
+        out /= np.where(lengths > 1e-9, lengths, 1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
 
-    return F.pandas_udf(project, "array<float>")(c)
+    return F.arrow_udf(project, "array<float>")(c)
