@@ -109,3 +109,24 @@ def test_stretches_agree_with_the_sequential_rule(spark, monkeypatch, held, last
             if len(recent) > held:
                 recent.pop(next(iter(recent)))
     assert got == want
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.85])
+def test_slices_lose_no_pair_and_leave_nothing_on_disk(spark, monkeypatch, threshold):
+    import os
+
+    from lodeworks.operators.crawl import shared_dir
+
+    monkeypatch.setattr(dedup, "SLICES", 5)
+    monkeypatch.setattr(dedup, "SLICE_CHARS", 1000)
+    monkeypatch.setattr(dedup, "TEXTS", 3)
+    r = random.Random(4)
+    texts = ["a", "ab", "abc", "abd"]
+    for n in (12, 40, 120, 260, 700, 2500):
+        base = "".join(r.choice("etaoinshrdlu     ") + r.choice(["", "", "q", "7"]) for _ in range(n))
+        texts += [base, *(edited(r, base, share, "etaoin qz") for share in (0.005, 0.03, 0.08, 0.15))]
+    texts = list(dict.fromkeys(" ".join(t.split()) for t in texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "seq long, text string").repartition(3)
+    got = {(p.first, p.again): round(p.similarity, 9) for p in dedup.near_pairs(df, threshold).collect()}
+    assert got == brute(texts, threshold) and len(got) > 10
+    assert not [x for x in os.listdir(shared_dir(spark).removeprefix("file://")) if x.startswith("later-")]
