@@ -310,3 +310,12 @@ def test_missing_metadata_names_counts_twice(spark):
     df = spark.createDataFrame([("a", "u", 0, 0, 5, {"page_title": "t"})], "id string, u string, i int, c int, w int, m map<string,string>")
     got = df.select(quality.missing_metadata(*(F.col(x) for x in ("id", "u", "i", "c", "w", "m"))).alias("x")).first().x
     assert got == ["char_count (invalid)", "metadata.page_type", "metadata.content_type", "metadata.language", "metadata.timestamp", "char_count (invalid)"]
+
+
+def test_terms_are_what_their_patterns_find(spark):
+    texts = [None, "", "Our API/CI/CD on node.js; apis not", "xAPI_ ai éai UX WEB-application", "nodexjs Kubernetes c++ KKubernetes", "scaling scale CI/CDs team's"]
+    got = each(spark, lambda c: metadata.technical_terms(c), texts)
+    low = lambda t: {x.lower() for p in metadata.TECH_PATTERNS for x in re.findall(p, t, re.IGNORECASE)} | {v for v in metadata.TECH_TERMS if v in t.lower()}
+    assert got == [None if t is None else sorted(low(t)) for t in texts]
+    own = each(spark, lambda c: metadata.terms(c, [r"\bx+\b", r"\b(?:b|c)\b"], ["zz"]), ["a XX b Czz"])
+    assert own == [["b", "xx", "zz"]]
