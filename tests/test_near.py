@@ -130,3 +130,28 @@ def test_slices_lose_no_pair_and_leave_nothing_on_disk(spark, monkeypatch, thres
     got = {(p.first, p.again): round(p.similarity, 9) for p in dedup.near_pairs(df, threshold).collect()}
     assert got == brute(texts, threshold) and len(got) > 10
     assert not [x for x in os.listdir(shared_dir(spark).removeprefix("file://")) if x.startswith("later-")]
+
+
+def test_many_texts_at_once_have_the_common_subsequences_of_each():
+    import numpy as np
+
+    r = random.Random(5)
+    for _ in range(60):
+        letters = r.choice(["ab", "abcdefgh ", "日本語😀x"])
+        a, *texts = ["".join(r.choice(letters) for _ in range(r.choice([1, 5, 63, 64, 65, 129, 199]))) for _ in range(6)]
+        held = np.full((5, max(map(len, texts))), 0xFFFFFFFF, np.uint32)
+        for row, t in zip(held, texts, strict=True):
+            row[: len(t)] = [ord(c) for c in t]
+        for enough in (3, 20, 50, 100):
+            assert dedup._enough(a, held, {}, np.full(5, enough)).tolist() == [dedup.common(a, t, enough) for t in texts]
+
+
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK_LEAST", 1000)
+    monkeypatch.setattr(dedup, "TEXTS", 4)
+    r = random.Random(6)
+    bases = ["".join(r.choice("etaoinshrdlu    ") for _ in range(n)) for n in (30, 90, 150, 400)]
+    texts = list(dict.fromkeys(" ".join(edited(r, b, share, "etaoin ").split()) for b in bases for share in (0.01, 0.04, 0.08, 0.12) for _ in range(3)))
+    df = spark.createDataFrame(list(enumerate(texts)), "seq long, text string").repartition(3)
+    got = {(p.first, p.again): round(p.similarity, 9) for p in dedup.near_pairs(df, 0.85).collect()}
+    assert got == brute(texts, 0.85) and len(got) > 10
