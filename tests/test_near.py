@@ -155,3 +155,16 @@ def test_blocks_lose_no_pair(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "seq long, text string").repartition(3)
     got = {(p.first, p.again): round(p.similarity, 9) for p in dedup.near_pairs(df, 0.85).collect()}
     assert got == brute(texts, 0.85) and len(got) > 10
+
+
+def test_what_stretches_hand_on_is_read_once_a_table(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "STRETCHES", 1)
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    leaves, write = [], dedup.written
+    monkeypatch.setattr(dedup, "written", lambda df, tag: (leaves.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size()) if tag == "judged" else None) or write(df, tag))
+    try:
+        rows = [("a", k, f"text {k * 7919 % 10007} of {k}", 0.7) for k in range(240)]
+        got = dedup.uniqueness(spark.createDataFrame(rows, "run string, seq long, t string, others double"), "run", "seq", "t", "others", last=2, held=10).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == 240 and len(leaves) > 1 and max(leaves) <= 1 + len(leaves)
