@@ -111,21 +111,18 @@ def _product(rows: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndar
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, basis = sent.value
-        total, touched = np.zeros((features, size), np.int64), np.zeros(features, bool)
+        total, touched = np.zeros((features, size)), np.zeros(features, bool)  # whole numbers of less than 2 ** 53
         for batch in batches:
             for _, starts, ids, counts in _blocks(batch.column(0)):
                 x = weighted(counts, ids, starts, weights)
-                seen = np.add.reduceat(x[:, None] * basis[ids], starts)  # texts by directions
-                parts = np.rint(x[:, None] * np.repeat(seen, np.diff(np.append(starts, len(x))), axis=0) * SCALE).astype(np.int64)
-                order = np.argsort(ids, kind="stable")
-                first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-                at = ids[order][first]
-                total[at] += np.add.reduceat(parts[order], first)
-                touched[at] = True
+                for own, y in zip(np.split(ids, starts[1:]), np.split(x, starts[1:]), strict=True):  # a text's features are all different
+                    parts = np.multiply.outer(y, (y @ basis[own]) * SCALE)
+                    total[own] += np.rint(parts, out=parts)
+                touched[ids] = True
         found = np.flatnonzero(touched)
         for k in range(0, len(found), 1_024):
             own = found[k : k + 1_024]
-            sums = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * size, pa.int32()), pa.array(total[own].ravel()))
+            sums = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * size, pa.int32()), pa.array(total[own].astype(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), sums], ["feature", "sums"])
 
     sums = F.array(*(F.sum(F.col("sums")[k]) for k in range(size))).alias("sums")
@@ -171,9 +168,10 @@ def embed(c: Column, model: LatentModel, sent=None) -> Column:
     def project(features: pa.Array) -> pa.Array:
         m = held.value if hasattr(held, "value") else held
         out = np.zeros((len(features), m.directions.shape[1]), np.float32)
-        for own, starts, ids, counts in _blocks(features):
+        for rows, starts, ids, counts in _blocks(features):
             x = weighted(counts, ids, starts, m.weights)
-            out[own] = np.add.reduceat(x[:, None] * m.directions[ids], starts)
+            for row, own, y in zip(rows, np.split(ids, starts[1:]), np.split(x, starts[1:]), strict=True):
+                out[row] = y @ m.directions[own].astype(np.float64)
         lengths = np.linalg.norm(out, axis=1, keepdims=True)
         out /= np.where(lengths > 1e-9, lengths, 1)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))

@@ -117,3 +117,18 @@ def test_odd_rows(spark):
     assert np.array_equal(*same)
     none = latent.fit(rows.where("id = 99"), size=8, features=1 << 12)
     assert not none.values.any() and not any(any(r.v) for r in rows.select(latent.embed(F.col("features"), none).alias("v")).collect())
+
+
+def test_sums_of_texts_are_whole_numbers_whatever_the_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rows = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 37}" for j in range(1, 30))) for k in range(50)], "id long, text string").repartition(3)
+    counted = rows.select(latent.counted(F.col("text"), 256).alias("features"))
+    weights, basis = np.linspace(0.5, 2, 256), np.random.default_rng(3).standard_normal((256, 5))
+    want = np.zeros((256, 5))
+    for r in counted.collect():
+        ids, counts = np.array(r.features.ids), np.array(r.features.counts)
+        x = latent.weighted(counts, ids, np.array([0]), weights)
+        want[ids] += np.rint(np.multiply.outer(x, (x[:, None] * basis[ids]).sum(axis=0)) * latent.SCALE)
+    got = latent._product(counted, weights, basis) * latent.SCALE
+    assert (got == np.rint(got)).all() and np.abs(got - want).max() <= 2
