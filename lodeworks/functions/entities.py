@@ -54,14 +54,16 @@ def tokens_of(text: str | None) -> Iterator[tuple[str, bool]]:
 COUNTS = ("capital", "small", "between", "followed", "person", "organization", "place")
 
 
-def count_words(text: str | None, counts: dict[str, np.ndarray]) -> None:
+def count_words(text: str | None, counts: dict[str, list[int]]) -> None:
     """Adds a text's words: within sentences capitalised or not, between two capitals, capitals that another one follows, cues."""
     words = list(tokens_of(text))
     for k, (w, begins) in enumerate(words):
         if begins or not w[0].isalpha():
             continue
         low = w.lower()
-        own = counts.setdefault(low, np.zeros(len(COUNTS), np.int64))
+        own = counts.get(low)
+        if own is None:
+            own = counts[low] = [0] * len(COUNTS)
         before = words[k - 1][0]
         after = words[k + 1][0] if k + 1 < len(words) and not words[k + 1][1] else ""
         if w[0].isupper():
@@ -92,8 +94,7 @@ class EntityModel:
         usual = min(0.95, (sum(w[0].isupper() for w in within) + 1) / (len(within) + 20))
         out, before = [], ""
         for w, begins in words:
-            low = w.lower()
-            if not w[0].isupper() or low in TITLES:
+            if not w[0].isupper() or (low := w.lower()) in TITLES:
                 out.append(-math.inf)
             else:
                 own = self.odds.get(low, self.unknown)
@@ -103,9 +104,9 @@ class EntityModel:
             before = w
         return out
 
-    def spans(self, text: str | None) -> list[tuple[int, int, str]]:
-        """First word, word behind the last, and kind of each span, in order."""
-        words = list(tokens_of(text))
+    def spans(self, text: str | None, words: list[tuple[str, bool]] | None = None) -> list[tuple[int, int, str]]:
+        """First word, word behind the last, and kind of each span, in order; words are the text's, if they are known."""
+        words = list(tokens_of(text)) if words is None else words
         if not words:
             return []
         emit = self.scores(words)
@@ -114,6 +115,9 @@ class EntityModel:
         best, back = [0.0, -math.inf, -math.inf, -math.inf], []
         for (w, begins), e in zip(words, emit, strict=True):
             out, head, inner, join = best
+            if e == head == inner == join == -math.inf:  # nothing begins or goes on
+                back.append((0, 0, 0, 0))
+                continue
             leave = max(((out, 0), (head + end, 1), (inner + end, 2)), key=lambda p: p[0])
             anew = leave if begins else max(((out, 0), (head + end - PARTED, 1), (inner + end - PARTED, 2)), key=lambda p: p[0])
             enter = -math.inf, 0
@@ -158,8 +162,8 @@ class EntityModel:
     def entities_of(self, text: str | None, most: int | None = None) -> list[dict[str, str]]:
         """Each entity of a text, or of its first characters, once, in order; fits metadata.named_entities."""
         text = (text or "")[:most]
-        words = [w for w, _ in tokens_of(text)]
-        found = dict.fromkeys((" ".join(words[k:n]), kind) for k, n, kind in self.spans(text))
+        words = list(tokens_of(text))
+        found = dict.fromkeys((" ".join(w for w, _ in words[k:n]), kind) for k, n, kind in self.spans(text, words))
         return [{"text": t, "type": kind} for t, kind in found]
 
 
@@ -170,7 +174,7 @@ def fit(docs: DataFrame, text_col: str = "text", stage=lambda df: df) -> EntityM
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own: dict[str, np.ndarray] = {}
+            own: dict[str, list[int]] = {}
             for t in batch.column(0):
                 count_words(t.as_py(), own)
             table = np.array(list(own.values()), np.int64).reshape(-1, len(COUNTS))

@@ -115,3 +115,10 @@ def test_odd_rows(spark, model):
     assert none.entities_of("the Mr Smith") is not None and none.entities_of(None) == []
     rows = df.where("id = 4").select(metadata.named_entities(F.col("text"), recognise=model.entities_of).alias("e")).collect()
     assert all(r.e[0].text == "Berlin" for r in rows)
+
+
+def test_words_are_found_once_a_text(monkeypatch):
+    calls, tokens_of = [], entities.tokens_of
+    monkeypatch.setattr(entities, "tokens_of", lambda t: calls.append(t) or tokens_of(t))
+    model = entities.EntityModel({"anna": 3.0, "berg": 3.0}, {}, frozenset(), 0.5, -3.0)
+    assert model.entities_of("we saw Anna Berg there and then went on") == [{"text": "Anna Berg", "type": "PERSON"}] and len(calls) == 1
