@@ -116,27 +116,31 @@ def side_by_side(sentences: list[np.ndarray]) -> Iterator[tuple[list[int], np.nd
 
 def expectations(sentences: list[np.ndarray], first: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]]:
     """By group of sentences: expected first tags and moves, symbols, the chance of each tag at each of them, log likelihood."""
+    by_symbol, ones = np.ascontiguousarray(emits.T), np.ones(len(first))
     for _, held, lengths in side_by_side(sentences):
         rows, size = held.shape
-        e = emits.T[held]
-        a, c = np.empty(e.shape), np.ones((rows, size))
+        on = np.searchsorted(lengths, np.arange(size), "right")  # sentences from here on have a word at this place
+        # Places first, so that all sentences' numbers of a place lie together.
+        symbols = np.ascontiguousarray(held.T)
+        e = by_symbol[symbols]
+        a, c = np.empty(e.shape), np.ones((size, rows))
         for t in range(size):
-            step = e[:, t] * (first if t == 0 else a[:, t - 1] @ moves)
-            total = np.maximum(step.sum(axis=1), 1e-300)
-            on = t < lengths
-            c[on, t] = total[on]
-            a[:, t] = np.where(on[:, None], step / total[:, None], 0)
+            k = on[t]
+            step = e[t, k:] * (first if t == 0 else a[t - 1, k:] @ moves)
+            np.maximum(step @ ones, 1e-300, out=c[t, k:])
+            np.divide(step, c[t, k:, None], out=a[t, k:])
         b, moved = np.ones((rows, len(first))), np.zeros_like(moves)
-        chance = np.empty(e.shape)
         for t in range(size - 1, -1, -1):
-            chance[:, t] = a[:, t] * b
+            k = on[t]
+            a[t, k:] *= b[k:]  # from here on the chance of each tag
             if t:
-                on = (t < lengths)[:, None]
-                ahead = np.where(on, e[:, t] * b / c[:, t, None], 0)
-                moved += moves * (a[:, t - 1].T @ ahead)
-                b = np.where(on, ahead @ moves.T, 1)
-        real = np.arange(size) < lengths[:, None]
-        yield chance[:, 0].sum(axis=0), moved, held[real], chance[real], float(np.log(c).sum())
+                ahead = e[t, k:]
+                ahead *= b[k:]
+                ahead /= c[t, k:, None]
+                moved += a[t - 1, k:].T @ ahead
+                np.matmul(ahead, moves.T, out=b[k:])
+        real = np.arange(size)[:, None] < lengths
+        yield a[0].sum(axis=0), moves * moved, symbols[real], a[real], float(np.log(c).sum())
 
 
 def best_paths(sentences: list[np.ndarray], first: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> list[np.ndarray]:
@@ -210,13 +214,16 @@ def fit(docs: DataFrame, text_col: str = "text", rounds: int = 4, stage=lambda d
             for part in (batch.slice(k, GROUP) for batch in batches for k in range(0, batch.num_rows, GROUP)):
                 flat = part.column(0).flatten().to_numpy()
                 sentences = np.split(flat, np.flatnonzero(flat == -1) + 1)[:-1]
+                seen = []
                 for begun, moved, symbols, chance, likely in expectations([s[:-1] for s in sentences], first, moves, emits):
-                    order = np.argsort(symbols, kind="stable")
-                    at = np.flatnonzero(np.diff(symbols[order], prepend=-1))
-                    total[symbols[order][at]] += np.add.reduceat(np.rint(chance[order] * SCALE).astype(np.int64), at)
+                    seen.append((symbols, np.rint(chance * SCALE)))
                     total[n : n + k] += np.rint(moved * SCALE).astype(np.int64)
                     total[n + k] += np.rint(begun * SCALE).astype(np.int64)
                     total[n + k + 1, 0] += int(round(likely * SCALE))
+                if seen:
+                    at, chances = (np.concatenate(v) for v in zip(*seen, strict=True))
+                    for j in range(k):
+                        total[:n, j] += np.bincount(at, chances[:, j], n).astype(np.int64)
             found = np.flatnonzero(total.any(axis=1))
             sums = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * k, pa.int32()), pa.array(total[found].ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), sums], ["at", "sums"])
