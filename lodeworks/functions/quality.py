@@ -10,7 +10,7 @@ from lodeworks.functions.text import SPACE, fence, sentences, strip, word_count,
 # Fixed values.
 WEIGHTS = {"length": 0.2, "language": 0.15, "readability": 0.25, "completeness": 0.2, "uniqueness": 0.2}
 ENGLISH = ("the", "and", "a", "to", "of", "in", "that", "is", "for", "with")
-GIBBERISH = (r"[a-zA-Z]{20,}", r"(?U)(\w)\1{5,}", r"[0-9]{10,}", r"(?U)[^a-zA-Z0-9\s\.,!?;:-]{5,}")
+GIBBERISH = (r"[a-zA-Z]{20,}", r"(?U)(\w)\1{5,}", r"[0-9]{10,}", r"(?U)[^a-zA-Z0-9\s\x1c-\x1f\.,!?;:-]{5,}")
 NOISE = (
     "cookie.*policy",
     "privacy.*policy",
@@ -50,16 +50,21 @@ def _length_issue(n: Column, w: Column, least: int, most: int, least_words: int)
     return F.when(n < least, say("text_too_short", n, "<", least)).when(n > most, say("text_too_long", n, ">", most)).when(w < least_words, say("insufficient_words", w, "<", least_words))
 
 
+def _lower(c: Column) -> Column:
+    """Lower case letter by letter: a dotted capital I and a Sigma at a word's end are as elsewhere."""
+    return F.lower(F.replace(F.replace(c, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
+
+
 def _is_english(low: Column) -> Column:
     return sum((F.contains(low, F.lit(w)).cast("int") for w in ENGLISH), F.lit(0)) >= 2
 
 
-def _ascii_share(c: Column) -> Column:
-    return F.when(F.length(c) > 0, F.length(F.regexp_replace(c, r"[^\x00-\x7F]+", "")) / F.length(c)).otherwise(F.lit(1.0))
+def _ascii_share(c: Column, of_empty: float = 1.0) -> Column:
+    return F.when(F.length(c) > 0, F.length(F.regexp_replace(c, r"[^\x00-\x7F]+", "")) / F.length(c)).when(F.length(c) == 0, of_empty).otherwise(F.lit(1.0))
 
 
 def language_score(c: Column, language: Column) -> Column:
-    return _language_score(_is_english(F.lower(c)), _ascii_share(c), language)
+    return _language_score(_is_english(_lower(c)), _ascii_share(c), language)
 
 
 def _language_score(english: Column, ascii_share: Column, language: Column) -> Column:
@@ -88,8 +93,13 @@ def _marks(c: Column) -> Column:
 
 
 def _noisy(c: Column, low: Column) -> Column:
-    """Whether more than two patterns are in a text; each is tried only where its first word is."""
-    return sum((F.when(F.contains(low, F.lit(p.split(".*")[0])), c.rlike("(?i)" + p)).otherwise(False).cast("int") for p in NOISE), F.lit(0)) > 2
+    """Whether more than two patterns are in a text, on one line each; each is tried only where its first word is.
+
+    Lines end at line feeds only, and a long s and the Kelvin sign count as their letters.
+    """
+    low = F.replace(low, F.lit("ſ"), F.lit("s"))
+    found = lambda p: c.rlike("(?id)" + p.replace("s", "[sſ]").replace("k", "[k\u212a]"))
+    return sum((F.when(F.contains(low, F.lit(p.split(".*")[0])), found(p)).otherwise(False).cast("int") for p in NOISE), F.lit(0)) > 2
 
 
 def _cut(s: Column) -> Column:
@@ -128,21 +138,22 @@ def readability_score(c: Column) -> Column:
 
 def completeness_score(c: Column) -> Column:
     found = words(c)
-    return _completeness(_noisy(c, F.lower(c)), _cut(strip(c)), _share_below(F.size(F.filter(found, lambda w: F.length(w) > 3)), F.size(found), 0.5))
+    return _completeness(_noisy(c, _lower(c)), _cut(strip(c)), _share_below(F.size(F.filter(found, lambda w: F.length(w) > 3)), F.size(found), 0.5))
 
 
-def measured(df: DataFrame, text: str, language: Column, least: int = 100, most: int = 5000, least_words: int = 20) -> DataFrame:
+def measured(df: DataFrame, text: str, language: Column, least: int = 100, most: int = 5000, least_words: int = 20, ascii_of_empty: float = 1.0) -> DataFrame:
     """df with length_score, language_score, readability_score, completeness_score, issues and content_hash of a text column.
 
     Each sign of a text is found once and serves the scores and the issues alike. The words, joined by one blank and
-    lower-cased, serve the searches for words and the hash; a null text has no hash.
+    lower-cased, serve the searches for words and the hash; a null text has no hash. ascii_of_empty is an empty text's share
+    of ASCII characters.
     """
     c, q = F.col(text), lambda name: F.col(f"__q_{name}")
     rows = fence(df, __q_s=strip(c), __q_language=language)
     rows = fence(rows, __q_words=F.when(q("s") == "", F.array().cast("array<string>")).otherwise(F.split(q("s"), SPACE + "+")), __q_parts=F.split(c, r"[.!?]+"))
-    rows = fence(rows, __q_low=F.lower(F.array_join(q("words"), " ")))
+    rows = fence(rows, __q_low=_lower(F.array_join(q("words"), " ")))
     rows = fence(
-        rows, __q_hash=F.md5(q("low").cast("binary")), __q_n=F.length(q("s")), __q_w=F.size(q("words")), __q_long=F.size(F.filter(q("words"), lambda w: F.length(w) > 3)), __q_marks=_marks(c), __q_english=_is_english(q("low")), __q_ascii=_ascii_share(c),
+        rows, __q_hash=F.md5(q("low").cast("binary")), __q_n=F.length(q("s")), __q_w=F.size(q("words")), __q_long=F.size(F.filter(q("words"), lambda w: F.length(w) > 3)), __q_marks=_marks(c), __q_english=_is_english(q("low")), __q_ascii=_ascii_share(c, ascii_of_empty),
         __q_gibberish=_gibberish(c), __q_improper=_improper(c, q("parts")), __q_noisy=_noisy(c, q("low")), __q_cut=_cut(q("s")),
     )
     pointed, thin = _share_above(q("marks"), q("w"), 0.5), _share_below(q("long"), q("w"), 0.5)
