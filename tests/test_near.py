@@ -168,3 +168,36 @@ def test_what_stretches_hand_on_is_read_once_a_table(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got == 240 and len(leaves) > 1 and max(leaves) <= 1 + len(leaves)
+
+
+def test_short_texts_have_the_common_subsequences_and_characters_of_each():
+    import numpy as np
+
+    r = random.Random(7)
+    for _ in range(120):
+        letters = r.choice(["ab", "abcdefgh ", "etaoinshrdlu    ", "日本語😀x"])
+        base = "".join(r.choice(letters) for _ in range(r.choice([1, 5, 40, 100, 190])))
+        new = [edited(r, base, r.choice([0.01, 0.1, 0.2]), letters)[:199] or "x" for _ in range(6)]
+        old = [edited(r, base + r.choice(["", base[:60]]), r.choice([0.01, 0.1, 0.2]), letters) or "x" for _ in range(5)]
+        short, threshold = dedup._Short(new), r.choice([0.6, 0.85, 0.97, 1.0])
+        x, y = (v.ravel() for v in np.meshgrid(np.arange(5), np.arange(6), indexing="ij"))
+        want = [dedup.common(old[i], new[j], threshold * (len(old[i]) + len(new[j])) / 2 - 1e-6) for i, j in zip(x, y, strict=True)]
+        assert short.enough(old, x, y, threshold).tolist() == want
+        assert all(n == sum(min(a.count(c), b.count(c)) for c in set(a)) for a, row in zip(old, short.shared(old), strict=True) for b, n in zip(new, row, strict=True))
+
+
+def test_an_index_without_common_windows_loses_nothing():
+    import numpy as np
+
+    r = random.Random(8)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 7))) for _ in range(60)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(60, 200))) for _ in range(12)]
+    texts += [edited(r, t, 0.03, "etaoin ") for t in texts]
+    for window in dedup.CLASSES:
+        marks = [dedup._least(t, window) for t in texts]
+        need = np.array([0.3 * (len(t) - window + 1) for t in texts])
+        index = dedup._Index(texts, np.array([len(t) for t in texts], float), window, need, 1 << 20)
+        bound = index.shared(texts) + index.left
+        assert index.left.sum() > 0 and (index.left <= need / 2).all()
+        if window > 3:
+            assert all(bound[i, j] >= sum(n for m, n in zip(*marks[j], strict=True) if m in marks[i][0]) for i in range(0, len(texts), 5) for j in range(len(texts)))
